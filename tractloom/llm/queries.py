@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tractloom.llm import bpe, decontaminate
+from tractloom.llm import bpe, decontaminate, kneser_ney
 from tractloom.llm.runtime import flat, table
 
 
@@ -25,5 +25,9 @@ def op8_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.drop("ids")
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.quality_rules(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
