@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tractloom.llm import bpe, decontaminate, kneser_ney
+from tractloom.llm import bpe, decontaminate, kneser_ney, neardup, toxicity
 from tractloom.llm.runtime import flat, table
 
 
@@ -20,11 +20,19 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contamination_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = flat(bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_file(), ["doc_id"]))
     return got.drop("ids")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.quality_rules(table(spark, sf_dir, "documents"))
 

@@ -24,10 +24,12 @@ from tractloom.llm.runtime import arrow_pass, held_out
 WINDOW, STRIDE = 16, 8
 HIDDEN = 8
 WORD_DIM, CHAR_DIM, CHAR_SLOTS = 8, 6, 2048
+BEGIN_DIM, BEGINS = 6, range(4, 9)
+INPUT_DIM = WORD_DIM + CHAR_DIM + BEGIN_DIM
 #: Labelled documents that training reads at most, windows of one of them, and words with a vector of their own.
-TRAIN_DOCS, TRAIN_WINDOWS, VOCABULARY = 3000, 48, 20_000
+TRAIN_DOCS, TRAIN_WINDOWS, VOCABULARY = 6000, 32, 20_000
 MIN_DOCS = 3
-EPOCHS, BATCH_DOCS, RATE = 8, 64, 0.01
+EPOCHS, BATCH_DOCS, RATE = 6, 64, 0.01
 THRESHOLD = 0.3
 BLOCK = 2048
 
@@ -59,30 +61,46 @@ def trigrams(b: ts.Bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarra
     return ((left * 65599 + x) * 65599 + right) * 0x9E3779B1 % (1 << 32) * CHAR_SLOTS >> 32, first
 
 
+def beginnings(b: ts.Bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the first 4..8 bytes of some words, one column each; 0 where a word is shorter."""
+    out = np.zeros((len(start), len(BEGINS)), np.uint64)
+    h = np.zeros(len(start), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(BEGINS[-1]):
+            at = start + k
+            on = at < end
+            h = h * np.uint64(0x100000001B3) + np.where(on, ts.LOWER[b.data[np.minimum(at, len(b.data) - 1)]], 0).astype(np.uint64) if len(b.data) else h
+            if k + 1 in BEGINS:
+                out[:, k + 1 - BEGINS[0]] = np.where(on, ts.mix_seed(h, k), 0)
+    return out
+
+
 class Network:
-    """Parameters by name; E: word vectors (row 0: unknown), C: trigram vectors, per direction W, U, b; attention A, v; output u, c."""
+    """Parameters by name; E: word vectors (row 0: unknown), C: trigram vectors, B: vectors of beginnings, per direction W, U, b; attention A, v; output u, c."""
 
-    def __init__(self, vocabulary: np.ndarray, rng: np.random.Generator) -> None:
-        self.vocabulary = vocabulary
-        d, h = WORD_DIM + CHAR_DIM, HIDDEN
+    def __init__(self, vocabulary: np.ndarray, begins: np.ndarray, rng: np.random.Generator) -> None:
+        self.vocabulary, self.begins = vocabulary, begins
+        d, h = INPUT_DIM, HIDDEN
         f = lambda *s, scale=0.3: (rng.standard_normal(s) * scale).astype(np.float32)
-        self.p = {"E": f(len(vocabulary) + 1, WORD_DIM, scale=0.1), "C": f(CHAR_SLOTS, CHAR_DIM, scale=0.1)}
+        self.p = {"E": f(len(vocabulary) + 1, WORD_DIM, scale=0.1), "C": f(CHAR_SLOTS, CHAR_DIM, scale=0.1), "B": f(len(begins) + 1, BEGIN_DIM, scale=0.05)}
+        self.p["B"][0] = 0
         for s in "fb":
             self.p |= {"W" + s: f(d, 3 * h), "U" + s: f(h, 3 * h), "b" + s: np.zeros(3 * h, np.float32)}
         self.p |= {"A": f(2 * h, h), "v": f(h), "u": f(2 * h), "c": np.full(1, -2.0, np.float32)}
         self.slope, self.shift = 1.0, 0.0
 
-    def vectors(self, word: np.ndarray, slot: np.ndarray, first: np.ndarray) -> np.ndarray:
+    def vectors(self, word: np.ndarray, slot: np.ndarray, first: np.ndarray, begin: np.ndarray) -> np.ndarray:
         n = np.diff(first)
         g = self.p["C"][slot]
         c = np.zeros((len(g) + 1, CHAR_DIM))
         np.cumsum(g, axis=0, out=c[1:])
         mean = ((c[first[1:]] - c[first[:-1]]) / np.maximum(n, 1)[:, None]).astype(np.float32)
-        return np.concatenate([self.p["E"][word], mean], axis=1)
+        return np.concatenate([self.p["E"][word], mean, self.p["B"][begin].sum(1)], axis=1)
 
-    def lookup(self, h: np.ndarray) -> np.ndarray:
-        i, found = ts.sorted_lookup(self.vocabulary, h)
-        return np.where(found, i + 1, 0)
+    @staticmethod
+    def lookup(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+        i, found = ts.sorted_lookup(table, h.ravel())
+        return np.where(found, i + 1, 0).reshape(h.shape)
 
     def states(self, xw: np.ndarray, idx: np.ndarray, mask: np.ndarray, s: str, keep: list | None = None) -> np.ndarray:
         """Hidden states of one direction; xw: inputs of distinct words times W + b."""
@@ -156,10 +174,11 @@ class Network:
 def embed(net: Network, b: ts.Bytes, w: ts.Words) -> tuple[np.ndarray, np.ndarray, tuple]:
     """Distinct words of a batch: their vectors, which one each word is, and what made the vectors. The last vector is that of no word."""
     _, one, inv = np.unique(w.hash, return_index=True, return_inverse=True)
-    word = net.lookup(w.hash[one])
+    word = net.lookup(net.vocabulary, w.hash[one])
     slot, first = trigrams(b, w.start[one], w.end[one])
-    vec = net.vectors(word, slot, first)
-    return np.concatenate([vec, np.zeros((1, vec.shape[1]), np.float32)]), inv, (word, slot, first)
+    begin = net.lookup(net.begins, beginnings(b, w.start[one], w.end[one]))
+    vec = net.vectors(word, slot, first, begin)
+    return np.concatenate([vec, np.zeros((1, vec.shape[1]), np.float32)]), inv, (word, slot, first, begin)
 
 
 def window_matrix(start: np.ndarray, size: np.ndarray, inv: np.ndarray, none: int) -> tuple[np.ndarray, np.ndarray]:
@@ -180,7 +199,7 @@ def worst_windows(net: Network, texts: pa.Array) -> np.ndarray:
         start, size, doc = windows(w.first)
         idx, mask = window_matrix(start, size, inv, len(vec) - 1)
         with np.errstate(over="ignore"):
-            key = ts.splitmix((idx.astype(np.uint64) * ts._powers(WINDOW)[0]).sum(1))
+            key = ts.splitmix((idx.astype(np.uint64) * ts._powers(WINDOW)[0][:WINDOW]).sum(1))
         _, one, back = np.unique(key, return_index=True, return_inverse=True)
         logit = np.empty(len(one))
         for k in range(0, len(one), BLOCK):
@@ -196,24 +215,18 @@ def train(texts: list[str | None], labels: np.ndarray, seed: int = 7) -> Network
     y = np.asarray(labels, np.float32)
     b = ts.as_bytes(pa.array(texts, pa.large_string()))
     w = ts.words(b, ts.ALNUM_WORDS)
-    order = np.lexsort((w.doc, w.hash))
-    h, doc = w.hash[order], w.doc[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    h, doc = h[new], doc[new]
-    vocab, first, n = np.unique(h, return_index=True, return_counts=True)
-    pos = np.add.reduceat(y[doc], first) if len(h) else np.zeros(0)
-    keep = np.flatnonzero(n >= MIN_DOCS)
-    keep = np.sort(keep[np.argsort(-n[keep], kind="stable")][:VOCABULARY])
-    net = Network(vocab[keep], rng)
     share = float(y.mean()) if len(y) else 0.0
+    vocab, odds = weighed(w.hash, w.doc, y, share)
+    starts = beginnings(b, w.start, w.end)
+    begins, begin_odds = weighed(starts.ravel(), np.repeat(w.doc, len(BEGINS)), y, share)
+    net = Network(vocab, begins, rng)
     net.p["c"][0] = np.log((share + 1e-3) / (1 - share + 1e-3))
     if not len(y) or y.min() == y.max():
         net.p["u"][:] = 0
         return net
-    # The first number of a word's vector begins as its smoothed log odds between the labels, over documents.
-    odds = np.log((pos[keep] + 3 * share) / (n[keep] - pos[keep] + 3 * (1 - share))) - np.log(share / (1 - share))
+    # The first number of a vector begins as the smoothed log odds of its word or beginning.
     net.p["E"][1:, 0] = odds
+    net.p["B"][1:, 0] = begin_odds
     vec, inv, made = embed(net, b, w)
     start, size, wdoc = windows(w.first)
     rank = np.arange(len(wdoc)) - np.flatnonzero(np.diff(wdoc, prepend=-1))[wdoc]
@@ -221,11 +234,11 @@ def train(texts: list[str | None], labels: np.ndarray, seed: int = 7) -> Network
     start, size, wdoc = start[fits], size[fits], wdoc[fits]
     idx, mask = window_matrix(start, size, inv, len(vec) - 1)
     of = np.searchsorted(wdoc, np.arange(b.n + 1))
-    word, slot, tri = made
+    word, slot, tri, begin = made
     mom = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     step = 0
     for _ in range(EPOCHS):
-        vec = np.concatenate([net.vectors(word, slot, tri), np.zeros((1, WORD_DIM + CHAR_DIM), np.float32)])
+        vec = np.concatenate([net.vectors(word, slot, tri, begin), np.zeros((1, INPUT_DIM), np.float32)])
         xf, xb = vec @ net.p["Wf"] + net.p["bf"], vec @ net.p["Wb"] + net.p["bb"]
         top = np.concatenate([net.forward(xf, xb, idx[k : k + BLOCK], mask[k : k + BLOCK]) for k in range(0, len(idx), BLOCK)])
         best = np.array([of[d] + np.argmax(top[of[d] : of[d + 1]]) for d in range(b.n)])
@@ -237,14 +250,16 @@ def train(texts: list[str | None], labels: np.ndarray, seed: int = 7) -> Network
             n_tri = tri[real + 1] - tri[real]
             sub_first = np.concatenate([[0], np.cumsum(n_tri)])
             sub_slot = slot[np.arange(sub_first[-1]) - np.repeat(sub_first[:-1], n_tri) + np.repeat(tri[real], n_tri)]
-            v = np.concatenate([net.vectors(word[real], sub_slot, sub_first), np.zeros((1, WORD_DIM + CHAR_DIM), np.float32)])
+            v = np.concatenate([net.vectors(word[real], sub_slot, sub_first, begin[real]), np.zeros((1, INPUT_DIM), np.float32)])
             g, dvec, _ = net.gradients(v, local.reshape(len(docs), WINDOW), mask[best[docs]], y[docs])
             dvec = dvec[: len(real)]
             ge, gc = np.zeros_like(net.p["E"]), np.zeros_like(net.p["C"])
             np.add.at(ge, word[real], dvec[:, :WORD_DIM])
-            ge[1:, :] += 0
-            np.add.at(gc, sub_slot, np.repeat(dvec[:, WORD_DIM:] / np.maximum(n_tri, 1)[:, None], n_tri, axis=0))
-            g |= {"E": ge, "C": gc}
+            np.add.at(gc, sub_slot, np.repeat(dvec[:, WORD_DIM : WORD_DIM + CHAR_DIM] / np.maximum(n_tri, 1)[:, None], n_tri, axis=0))
+            gb = np.zeros_like(net.p["B"])
+            np.add.at(gb, begin[real].ravel(), np.repeat(dvec[:, WORD_DIM + CHAR_DIM :], len(BEGINS), axis=0))
+            gb[0] = 0
+            g |= {"E": ge, "C": gc, "B": gb}
             step += 1
             for name, grad in g.items():  # Adam
                 m, s = mom[name]
@@ -257,6 +272,25 @@ def train(texts: list[str | None], labels: np.ndarray, seed: int = 7) -> Network
     return net
 
 
+def weighed(h: np.ndarray, doc: np.ndarray, y: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of enough documents (the most frequent ones, sorted), and their smoothed log odds between the labels."""
+    order = np.lexsort((doc, h))
+    h, doc = h[order], doc[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    new &= h != 0
+    h, doc = h[new], doc[new]
+    if not len(h):
+        return h, np.zeros(0)
+    value, first, n = np.unique(h, return_index=True, return_counts=True)
+    pos = np.add.reduceat(y[doc].astype(np.float64), first)
+    keep = np.flatnonzero(n >= MIN_DOCS)
+    keep = np.sort(keep[np.argsort(-n[keep], kind="stable")][:VOCABULARY])
+    n, pos = n[keep], pos[keep]
+    share = min(max(share, 1e-3), 1 - 1e-3)
+    return value[keep], np.log((pos + 3 * share) / (n - pos + 3 * (1 - share))) - np.log(share / (1 - share))
+
+
 def platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     a, c = 1.0, 0.0
     for _ in range(30):
