@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tractloom.llm import bpe, decontaminate, kneser_ney, neardup, pii, toxicity
+from tractloom.llm import bpe, decontaminate, katz, kneser_ney, neardup, pii, toxicity
 from tractloom.llm.runtime import flat, table
 
 
@@ -20,6 +20,10 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contamination_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.language_model(table(spark, sf_dir, "documents"))
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
