@@ -23,4 +23,21 @@ SELECT doc_id, n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_i
 FROM dw LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
-ORACLE = {"op3_benchmark_decontamination": OP3}
+OP6 = r"""
+WITH said AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS said FROM conversations),
+people AS (SELECT DISTINCT conv_id AS conv, speaker AS perspective FROM said),
+r AS (
+  SELECT conv_id, perspective, turn, speaker, said, speaker = perspective AS loss,
+    CASE WHEN speaker = perspective THEN '<|assistant|>' || chr(10) ELSE '<|user name=' || speaker || '|>' || chr(10) END AS head
+  FROM said JOIN people ON conv_id IS NOT DISTINCT FROM conv),
+p AS (
+  SELECT *, head || said || '<|end|>' || chr(10) AS rendered,
+    CAST(coalesce(sum(length(head) + length(said) + 8) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, said ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_char
+  FROM r)
+SELECT conv_id, perspective, turn, speaker, CASE WHEN loss THEN 'assistant' ELSE 'user' END AS role, CASE WHEN NOT loss THEN speaker END AS name,
+  rendered, loss, start_char, start_char + length(head) AS mask_start,
+  CASE WHEN loss THEN start_char + length(rendered) - 1 ELSE start_char + length(head) END AS mask_end
+FROM p
+"""
+
+ORACLE = {"op6_perspective_rotation": OP6, "op3_benchmark_decontamination": OP3}
