@@ -7,9 +7,9 @@ empty; an earlier round always wins over a later one. Documents meet where all c
 
 At the similarity asked for (0.85) two documents miss each other in every band with probability below 1e-6. Links
 are confirmed on full sets. A bucket first links its members to its first document (never to each other, so that a
-group of n copies costs n links), and after the components of these links are known, pairs of the same bucket
-that lie in different components are compared by sketch, block by block, and verified as well. So no link between
-components is lost to a bucket's size, and no cap is needed.
+group of n copies costs n links). After the components of these links are known, members of the same bucket that
+lie in different components are compared block by block, by sketch and then on full sets, and the links that join
+components are added. So no link between components is lost to a bucket's size, and no cap is needed.
 """
 
 from __future__ import annotations
@@ -36,6 +36,7 @@ PERCENT = 85
 LEAST_AGREE = 80
 #: Members of a bucket that are compared in one task.
 BLOCK = 2000
+BLOCK_SHINGLES = 1_000_000
 #: Ids that may be broadcast to pick documents (8 bytes each); beyond that the pick is a shuffled join.
 BROADCAST_IDS = 2_000_000
 
@@ -156,38 +157,69 @@ def agreeing(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def picked_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, set) of the documents with these ids."""
+    ids = stored(ids.distinct(), "ids")
+    chosen = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return stored(full_sets(docs.join(chosen, "id", "left_semi")).dropDuplicates(["id"]), "sets")
+
+
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs (a, b) whose full sets are similar enough."""
-    ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
-    chosen = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    sets = stored(full_sets(docs.join(chosen, "id", "left_semi")).dropDuplicates(["id"]), "sets")
+    sets = picked_sets(docs, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))))
     left = sets.select(F.col("id").alias("a"), F.col("set").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     return pairs.join(left, "a").join(right, "b").where(100 * both >= PERCENT * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
+def links_between(t: pa.Table) -> pa.Table:
+    """Links that join different components among some documents: a spanning set of them, verified on full sets.
+
+    t: id, n, root, own (block), lo, hi, sketch, set. Where lo and hi differ, only pairs of different blocks are compared.
+    """
+    ids, n, root, own = (t.column(c).to_numpy() for c in ("id", "n", "root", "own"))
+    across = len(ids) and t.column("lo")[0].as_py() != t.column("hi")[0].as_py()
+    s = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, T_SKETCH)
+    sets = t.column("set").combine_chunks()
+    sets = sets.chunk(0) if isinstance(sets, pa.ChunkedArray) else sets
+    off, values = sets.offsets.to_numpy(), sets.values.to_numpy()
+    _, comp = np.unique(root, return_inverse=True)
+    a, b = [], []
+    for i in range(len(ids) - 1):
+        rest = np.arange(i + 1, len(ids))
+        ok = (comp[rest] != comp[i]) & (100 * np.minimum(n[rest], n[i]) >= PERCENT * np.maximum(n[rest], n[i]))
+        if across:
+            ok &= own[rest] != own[i]
+        rest = rest[ok]
+        if not len(rest):
+            continue
+        rest = rest[(s[rest] == s[i]).sum(1) >= LEAST_AGREE]
+        if not len(rest):
+            continue
+        mine = np.sort(values[off[i] : off[i + 1]])
+        size = off[rest + 1] - off[rest]
+        first = np.cumsum(size) - size
+        other = values[np.arange(size.sum()) + np.repeat(off[rest] - first, size)]
+        both = np.add.reduceat(ts.sorted_lookup(mine, other)[1].astype(np.int64), first)
+        for j in rest[100 * both >= PERCENT * (len(mine) + size - both)]:
+            if comp[j] != comp[i]:
+                a.append(ids[i])
+                b.append(ids[j])
+                comp[comp == comp[j]] = comp[i]
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
 def compared(members: DataFrame) -> DataFrame:
-    """Candidate pairs of different components in the same bucket. members: key, m (bucket size), id, n, root, sketch."""
-    parts = F.greatest(F.lit(1), F.ceil(F.col("m") / BLOCK)).cast("int")
+    """Links between components of the same bucket. members: key, m (members), size (shingles) of the bucket, id, n, root, sketch, set.
+
+    Large buckets are cut into blocks, and each pair of blocks is a task's work; blocks are bounded in rows and in shingles.
+    """
+    parts = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("size") / BLOCK_SHINGLES)).cast("int")
     x = members.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     x = x.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
-
-    def run(t: pa.Table) -> pa.Table:
-        ids, n, root = (t.column(c).to_numpy() for c in ("id", "n", "root"))
-        s = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, T_SKETCH)
-        a, b = [], []
-        for i in range(len(ids) - 1):
-            rest = np.flatnonzero((root[i + 1 :] != root[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= PERCENT * np.maximum(n[i + 1 :], n[i]))) + i + 1
-            if len(rest):
-                ok = rest[(s[rest] == s[i]).sum(1) >= LEAST_AGREE]
-                a.append(np.full(len(ok), ids[i]))
-                b.append(ids[ok])
-        cat = lambda v: pa.array(np.concatenate(v) if v else np.zeros(0, np.int64), pa.int64())
-        return pa.table({"a": cat(a), "b": cat(b)})
-
-    return x.select("key", "lo", "hi", "id", "n", "root", "sketch").groupBy("key", "lo", "hi").applyInArrow(run, "a long, b long")
+    return x.select("key", "lo", "hi", "own", "id", "n", "root", "sketch", "set").groupBy("key", "lo", "hi").applyInArrow(links_between, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -216,9 +248,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = stored(verified(stored(agreeing(with_sketch(star)), "pairs"), texts), "verified")
     roots = components(links)
     member = full.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "m", "id", F.coalesce("root", "id").alias("root"))
-    mixed = member.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-    rest = stored(compared(member.join(mixed, "key").join(of, "id")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "rest")
-    more = stored(verified(rest, texts), "verified")
+    # Buckets that hold more than one component; of those with the same members, one.
+    member = stored(member.drop("m").join(of, "id"), "members")
+    mixed = member.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("size"), F.bit_xor(F.xxhash64("id")).alias("who"))
+    mixed = mixed.where("r0 <> r1").groupBy("m", "size", "who").agg(F.min("key").alias("key")).drop("who")
+    rest = stored(member.join(mixed, "key"), "mixed")
+    more = stored(compared(rest.join(picked_sets(texts, rest.select("id")), "id")), "verified")
     if more.take(1):
         roots = components(links.union(more))
     per_class = reps.join(roots.withColumnRenamed("node", "id"), "id", "left").select("k1", "k2", "n", F.coalesce("root", "id").alias("component_id"))
