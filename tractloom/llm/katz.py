@@ -34,12 +34,12 @@ END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 #: Pairs seen fewer times back off; counts from TOP on are not discounted.
 LEAST, TOP = 2, 6
 #: Bytes of text that a task packs at a time.
-PACK = 16 << 20
+PACK = 12 << 20
 
 
 def tokens(b: ts.Bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the words and the end of each text, the hash before each (START at first), and the text of each."""
-    w = ts.words(b, ts.SPACE_WORDS)
+    w = ts.all_words(b, ts.SPACE_WORDS)
     n = np.diff(w.first)
     doc = np.repeat(np.arange(b.n), n + 1)
     h = np.full(len(doc), END)

@@ -106,7 +106,7 @@ def as_bytes(texts: pa.Array) -> Bytes:
     return Bytes(raw, offsets - lo)
 
 
-def slices(b: Bytes, limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def slices(b: Bytes, limit: int = (2 << 20) - 2) -> Iterator[tuple[int, int]]:
     """Row ranges of about limit bytes each; a longer text stands alone and whole."""
     i = 0
     while i < b.n:
@@ -149,6 +149,18 @@ def words(b: Bytes, table: np.ndarray, lower: bool = True, hashes: bool = True)
     return Words(start, end, doc, first, h)
 
 
+def all_words(b: Bytes, table: np.ndarray, lower: bool = True) -> Words:
+    """words() slice by slice, so that what it works with stays small beside a large buffer."""
+    got = [(i, j, words(part(b, i, j), table, lower)) for i, j in slices(b)]
+    if not got:
+        return words(b, table, lower)
+    n = np.cumsum([0, *[len(w.hash) for _, _, w in got]])
+    return Words(
+        np.concatenate([w.start + b.offsets[i] for i, _, w in got]), np.concatenate([w.end + b.offsets[i] for i, _, w in got]), np.concatenate([w.doc + i for i, _, w in got]),
+        np.concatenate([[0], *[w.first[1:] + k for k, (_, _, w) in zip(n, got)]]), np.concatenate([w.hash for _, _, w in got]),
+    )
+
+
 def window_hash(h: np.ndarray, k: int) -> np.ndarray:
     """A 64-bit hash of each k consecutive entries of h (len(h) - k + 1 of them, over text borders too)."""
     n = len(h) - k + 1
