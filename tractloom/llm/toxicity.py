@@ -3,7 +3,8 @@
 A text is scored over all its windows of WINDOW words, each STRIDE words after the last, and takes its worst
 window. A word's input is a vector of its own (for the words of the training sample that occur in enough
 documents) beside the mean of vectors of its character trigrams. The network learns from documents, not windows:
-in each step the window that scores highest stands for its document.
+in each step the window that scores highest stands for its document. Of a training document those windows take part
+whose words are the most telling at the outset.
 
 The training sample is bounded by TRAIN_DOCS; scoring covers every word of every document.
 """
@@ -27,9 +28,10 @@ WORD_DIM, CHAR_DIM, CHAR_SLOTS = 8, 6, 2048
 BEGIN_DIM, BEGINS = 6, range(4, 9)
 INPUT_DIM = WORD_DIM + CHAR_DIM + BEGIN_DIM
 #: Labelled documents that training reads at most, windows of one of them, and words with a vector of their own.
-TRAIN_DOCS, TRAIN_WINDOWS, VOCABULARY = 6000, 32, 20_000
-MIN_DOCS = 3
-EPOCHS, BATCH_DOCS, RATE = 6, 64, 0.01
+TRAIN_DOCS, TRAIN_WINDOWS, VOCABULARY = 3000, 16, 20_000
+#: Documents of the sample that a vector needs, and the documents that its first odds are shrunk by.
+MIN_DOCS, PRIOR = 5, 10.0
+EPOCHS, BATCH_DOCS, RATE = 10, 64, 0.01
 THRESHOLD = 0.3
 BLOCK = 2048
 
@@ -91,11 +93,16 @@ class Network:
 
     def vectors(self, word: np.ndarray, slot: np.ndarray, first: np.ndarray, begin: np.ndarray) -> np.ndarray:
         n = np.diff(first)
-        g = self.p["C"][slot]
-        c = np.zeros((len(g) + 1, CHAR_DIM))
-        np.cumsum(g, axis=0, out=c[1:])
-        mean = ((c[first[1:]] - c[first[:-1]]) / np.maximum(n, 1)[:, None]).astype(np.float32)
-        return np.concatenate([self.p["E"][word], mean, self.p["B"][begin].sum(1)], axis=1)
+        out = np.empty((len(word), INPUT_DIM), np.float32)
+        for k in range(0, len(word), 1 << 16):
+            z = min(k + (1 << 16), len(word))
+            c = np.zeros((first[z] - first[k] + 1, CHAR_DIM))
+            np.cumsum(self.p["C"][slot[first[k] : first[z]]], axis=0, out=c[1:])
+            at = first[k : z + 1] - first[k]
+            out[k:z, WORD_DIM : WORD_DIM + CHAR_DIM] = (c[at[1:]] - c[at[:-1]]) / np.maximum(n[k:z], 1)[:, None]
+        out[:, :WORD_DIM] = self.p["E"][word]
+        out[:, WORD_DIM + CHAR_DIM :] = self.p["B"][begin].sum(1)
+        return out
 
     @staticmethod
     def lookup(table: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -171,9 +178,14 @@ class Network:
         return g, dvec, logit
 
 
-def embed(net: Network, b: ts.Bytes, w: ts.Words) -> tuple[np.ndarray, np.ndarray, tuple]:
+def embed(net: Network, b: ts.Bytes, w: ts.Words, used: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, tuple]:
     """Distinct words of a batch: their vectors, which one each word is, and what made the vectors. The last vector is that of no word."""
-    _, one, inv = np.unique(w.hash, return_index=True, return_inverse=True)
+    if used is None:
+        _, one, inv = np.unique(w.hash, return_index=True, return_inverse=True)
+    else:  # only these words are looked at
+        _, one, some = np.unique(w.hash[used], return_index=True, return_inverse=True)
+        one, inv = used[one], np.zeros(len(w.hash), np.int64)
+        inv[used] = some
     word = net.lookup(net.vocabulary, w.hash[one])
     slot, first = trigrams(b, w.start[one], w.end[one])
     begin = net.lookup(net.begins, beginnings(b, w.start[one], w.end[one]))
@@ -214,12 +226,20 @@ def train(texts: list[str | None], labels: np.ndarray, seed: int = 7) -> Network
     rng = np.random.default_rng(seed)
     y = np.asarray(labels, np.float32)
     b = ts.as_bytes(pa.array(texts, pa.large_string()))
-    w = ts.words(b, ts.ALNUM_WORDS)
+    w = ts.all_words(b, ts.ALNUM_WORDS)
     share = float(y.mean()) if len(y) else 0.0
-    vocab, odds = weighed(w.hash, w.doc, y, share)
-    starts = beginnings(b, w.start, w.end)
-    begins, begin_odds = weighed(starts.ravel(), np.repeat(w.doc, len(BEGINS)), y, share)
-    net = Network(vocab, begins, rng)
+    h, doc = distinct(w.hash, w.doc)
+    vocab, odds = weighed(h, doc, y, share)
+    _, one = np.unique(w.hash, return_index=True)
+    starts = beginnings(b, w.start[one], w.end[one])
+    which = np.searchsorted(w.hash[one], h)
+    by_doc = np.argsort(doc, kind="stable")
+    which, of_doc = which[by_doc], doc[by_doc]
+    of_begins = [weighed(*distinct(starts[which, k], of_doc), y, share) for k in range(len(BEGINS))]
+    begins = np.concatenate([x for x, _ in of_begins])
+    order = np.argsort(begins)
+    net = Network(vocab, begins[order], rng)
+    begin_odds = np.concatenate([x for _, x in of_begins])[order]
     net.p["c"][0] = np.log((share + 1e-3) / (1 - share + 1e-3))
     if not len(y) or y.min() == y.max():
         net.p["u"][:] = 0
@@ -227,11 +247,21 @@ def train(texts: list[str | None], labels: np.ndarray, seed: int = 7) -> Network
     # The first number of a vector begins as the smoothed log odds of its word or beginning.
     net.p["E"][1:, 0] = odds
     net.p["B"][1:, 0] = begin_odds
-    vec, inv, made = embed(net, b, w)
     start, size, wdoc = windows(w.first)
-    rank = np.arange(len(wdoc)) - np.flatnonzero(np.diff(wdoc, prepend=-1))[wdoc]
+    # A window's evidence: the summed log odds of its words and of their beginnings, where they speak for toxicity.
+    word_odds = np.concatenate([[0], np.maximum(odds, 0)])[net.lookup(vocab, w.hash[one])]
+    word_odds += np.maximum(np.concatenate([[0], begin_odds])[net.lookup(net.begins, starts)], 0).max(1)
+    told = np.concatenate([[0], np.cumsum(word_odds[np.searchsorted(w.hash[one], w.hash)])])
+    evidence = told[start + size] - told[start]
+    order = np.lexsort((-evidence, wdoc))
+    rank = np.empty(len(wdoc), np.int64)
+    rank[order] = np.arange(len(wdoc)) - np.flatnonzero(np.diff(wdoc, prepend=-1))[wdoc[order]]
     fits = rank < TRAIN_WINDOWS
     start, size, wdoc = start[fits], size[fits], wdoc[fits]
+    n_used = np.zeros(len(w.hash) + 1, np.int64)
+    np.add.at(n_used, start, 1)
+    np.add.at(n_used, start + size, -1)
+    vec, inv, made = embed(net, b, w, np.flatnonzero(np.cumsum(n_used)[:-1] > 0))
     idx, mask = window_matrix(start, size, inv, len(vec) - 1)
     of = np.searchsorted(wdoc, np.arange(b.n + 1))
     word, slot, tri, begin = made
@@ -272,14 +302,18 @@ def train(texts: list[str | None], labels: np.ndarray, seed: int = 7) -> Network
     return net
 
 
-def weighed(h: np.ndarray, doc: np.ndarray, y: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of enough documents (the most frequent ones, sorted), and their smoothed log odds between the labels."""
-    order = np.lexsort((doc, h))
+def distinct(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each hash once for each document, by hash; 0 stands for nothing."""
+    order = np.argsort(h, kind="stable")  # documents are in order already
     h, doc = h[order], doc[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
     new &= h != 0
-    h, doc = h[new], doc[new]
+    return h[new], doc[new]
+
+
+def weighed(h: np.ndarray, doc: np.ndarray, y: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of enough documents (the most frequent ones, sorted), and their smoothed log odds between the labels."""
     if not len(h):
         return h, np.zeros(0)
     value, first, n = np.unique(h, return_index=True, return_counts=True)
@@ -288,7 +322,7 @@ def weighed(h: np.ndarray, doc: np.ndarray, y: np.ndarray, share: float) -> tupl
     keep = np.sort(keep[np.argsort(-n[keep], kind="stable")][:VOCABULARY])
     n, pos = n[keep], pos[keep]
     share = min(max(share, 1e-3), 1 - 1e-3)
-    return value[keep], np.log((pos + 3 * share) / (n - pos + 3 * (1 - share))) - np.log(share / (1 - share))
+    return value[keep], np.log((pos + PRIOR * share) / (n - pos + PRIOR * (1 - share))) - np.log(share / (1 - share))
 
 
 def platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
