@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tractloom.plans import graphs
+from tractloom.plans import graphs, lines
 
-MODULES = (graphs,)
+MODULES = (graphs, lines)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
