@@ -32,7 +32,7 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Control characters that Python takes for white space and the file's normaliser doesn't.
 ODD_SPACES = "\x1c\x1d\x1e\x1f"
 END = 0x1000  # added to the code of a word's last character, where the vocabulary spells </w>
-CACHE_WORDS = 200_000
+CACHE_WORDS, CACHE_PAIRS = 100_000, 400_000
 
 
 def byte_chars() -> list[str]:
@@ -83,7 +83,7 @@ class WordBpe:
         for u, i in self.unit.items():
             self.automaton.add_word(u, (len(u), i))
         self.automaton.make_automaton()
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.shorter: dict[int, int] = {}
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -109,7 +109,7 @@ class WordBpe:
         at the border must not merge before the merge just undone; on the right side an equal rank counts as
         before, since merging goes from the left.
         """
-        known = self.fits.get((a, b))
+        known = self.fits.get(a << 20 | b)
         if known is not None:
             return known
         x, y, before = a, b, 1 << 60
@@ -126,9 +126,9 @@ class WordBpe:
                 before, x = x, px[1]
             else:
                 before, y = y + 1, py[0]
-        if len(self.fits) > 2_000_000:
+        if len(self.fits) >= CACHE_PAIRS:
             self.fits.clear()
-        self.fits[a, b] = fits
+        self.fits[a << 20 | b] = fits
         return fits
 
     def _shorter(self, token: int) -> int:
@@ -165,9 +165,8 @@ class WordBpe:
                 if end not in dead:
                     if not out:
                         break
-                    pair = (out[-1], token)
-                    fit = fits.get(pair)
-                    if self._fit(*pair) if fit is None else fit:
+                    fit = fits.get(out[-1] << 20 | token)
+                    if self._fit(out[-1], token) if fit is None else fit:
                         break
                 token = self._shorter(token)
             if token >= 0:

@@ -96,7 +96,7 @@ def describe(docs: DataFrame, carry: list[str]) -> DataFrame:
         def f(batch: pa.RecordBatch) -> dict:
             b = ts.as_bytes(batch.column(0))
             got: dict[str, list] = {x.name: [] for x in OUT.fields}
-            for i, j in ts.slices(b, 4 << 20):
+            for i, j in ts.slices(b, (2 << 20) - 2):
                 h, doc, n = shingle_sets(ts.part(b, i, j))
                 first = np.concatenate([[0], np.cumsum(n)])
                 with np.errstate(over="ignore"):
@@ -131,7 +131,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
         def f(batch: pa.RecordBatch) -> dict:
             b = ts.as_bytes(batch.column(0))
             hs, ns = [], []
-            for i, j in ts.slices(b, 4 << 20):
+            for i, j in ts.slices(b, (2 << 20) - 2):
                 h, _, n = shingle_sets(ts.part(b, i, j))
                 hs.append(h.view(np.int64))
                 ns.append(n)

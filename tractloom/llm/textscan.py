@@ -106,7 +106,7 @@ def as_bytes(texts: pa.Array) -> Bytes:
     return Bytes(raw, offsets - lo)
 
 
-def slices(b: Bytes, limit: int = (2 << 20) - 2) -> Iterator[tuple[int, int]]:
+def slices(b: Bytes, limit: int = (1 << 20) - 2) -> Iterator[tuple[int, int]]:
     """Row ranges of about limit bytes each; a longer text stands alone and whole."""
     i = 0
     while i < b.n:
