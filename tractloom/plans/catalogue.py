@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tractloom.plans import graphs, lines
+from tractloom.plans import graphs, lines, models
 
-MODULES = (graphs, lines)
+MODULES = (graphs, lines, models)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
