@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tractloom.llm import textscan as ts
-from tractloom.llm.runtime import arrow_pass, flat
+from tractloom.llm.runtime import arrow_pass, flat, lean
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -159,7 +159,7 @@ def vote_table(docs: DataFrame) -> DataFrame:
         text = [[" ".join(map(str, k[i])) for k in keys] for i in (0, 1)]
         yield pa.RecordBatch.from_arrays([pa.array(text[0], pa.string()), pa.array(text[1], pa.string()), pa.array([c[k] for k in keys], pa.int64())], names=["votes", "features", "n"])
 
-    return docs.select("text").mapInArrow(run, "votes string, features string, n long").groupBy("votes", "features").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(lean(run), "votes string, features string, n long").groupBy("votes", "features").agg(F.sum("n").alias("n"))
 
 
 def reliabilities(v: np.ndarray, n: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, float]:
