@@ -279,19 +279,20 @@ def _signals(spark: SparkSession, d: str) -> tuple[DataFrame, list[float], list[
     """Voxels with a made-up diffusion signal: one unweighted and seven weighted volumes, whose tensor follows the voxel's value."""
     h = 0.5**0.5
     dirs = [[1, 0, 0], [0, 1, 0], [0, 0, 1], [h, h, 0], [h, 0, h], [0, h, h], [h, -h, 0]]
-    lam = F.col("value") / 50.0 * 1e-3
+    lam = F.col("value") / 53.0 * 1e-3
+    bvals = [1000.0] * 5 + [2000.0] * 2  # two shells: with one, the constant could not be told from the trace
     sig = [F.lit(1000.0)]
-    for v in dirs:
+    for b, v in zip(bvals, dirs, strict=True):
         q = (lam + 1e-3) * v[0] ** 2 + lam * v[1] ** 2 + 4e-4 * v[2] ** 2
-        sig.append(1000.0 * F.exp(-1000.0 * q))
-    return inp.volume(spark, d).select("x", "y", "z", F.array(*sig).alias("signal")), [0.0] + [1000.0] * 7, [[0.0, 0.0, 0.0], *dirs]
+        sig.append(1000.0 * F.exp(-b * q))
+    return inp.volume(spark, d).select("x", "y", "z", F.array(*sig).alias("signal")), [0.0, *bvals], [[0.0, 0.0, 0.0], *dirs]
 
 
-@query(f"""WITH {VOLUME}, l AS (SELECT x, y, z, value / 50.0 * 1e-3 AS a FROM vol), e AS (SELECT x, y, z, list_reverse_sort([a + 1e-3, a, 4e-4::DOUBLE]) AS e FROM l), m AS (SELECT x, y, z, e, list_sum(e) / 3 AS m FROM e)
-SELECT x, y, z, round(m, 7) AS md, round(e[1], 7) AS ad, round((e[2] + e[3]) / 2, 7) AS rd, round(sqrt(1.5 * (pow(e[1]-m,2)+pow(e[2]-m,2)+pow(e[3]-m,2)) / (e[1]*e[1]+e[2]*e[2]+e[3]*e[3])), 4) AS fa FROM m""")
+@query(f"""WITH {VOLUME}, l AS (SELECT x, y, z, value / 53.0::DOUBLE * 1e-3::DOUBLE AS a FROM vol), e AS (SELECT x, y, z, list_reverse_sort([a + 1e-3, a, 4e-4::DOUBLE]) AS e FROM l), m AS (SELECT x, y, z, e, list_sum(e) / 3 AS m FROM e)
+SELECT x, y, z, round(m, 9) AS md, round(e[1], 9) AS ad, round((e[2] + e[3]) / 2, 9) AS rd, round(sqrt(1.5 * (pow(e[1]-m,2)+pow(e[2]-m,2)+pow(e[3]-m,2)) / (e[1]*e[1]+e[2]*e[2]+e[3]*e[3])), 6) AS fa FROM m""")
 def tensor_fit(spark: SparkSession, d: str) -> DataFrame:
     s, b, v = _signals(spark, d)
-    return vx.tensors(s, b, v).select("x", "y", "z", *[r(c, 7).alias(c) for c in ("md", "ad", "rd")], r("fa", 4).alias("fa"))
+    return vx.tensors(s, b, v).select("x", "y", "z", *[r(c, 9).alias(c) for c in ("md", "ad", "rd")], r("fa", 6).alias("fa"))
 
 
 @query()
