@@ -18,6 +18,7 @@ TETRAHEDRA = [(0, 1, 3, 7), (0, 3, 2, 7), (0, 2, 6, 7), (0, 6, 4, 7), (0, 4, 5,
 def isosurface(field: np.ndarray, level: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
     """Vertices and faces where a field crosses a level, by cutting tetrahedra; every grid edge gives one vertex, so the mesh is closed."""
     f = np.pad(field.astype(float), 1)
+    f = np.where(f == level, level + 1e-2 * (f.max() - f.min()), f)  # a crossing at a corner would give faces without area
     dims = f.shape
     number = lambda p: (p[0] * dims[1] + p[1]) * dims[2] + p[2]
     at: dict[tuple[int, int], int] = {}

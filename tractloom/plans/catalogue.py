@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tractloom.plans import graphs, lines, models
+from tractloom.plans import graphs, lines, models, services
 
-MODULES = (graphs, lines, models)
+MODULES = (graphs, lines, models, services)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
