@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 
 from tractloom.llm import bpe, decontaminate, neardup, pii, toxicity
 from tractloom.llm.queries import tokenizer_file
-from tractloom.llm.runtime import stored, table
+from tractloom.llm.runtime import result, stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     net = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     done = toxicity.score(docs, net, docs.columns)
-    return done.where(F.col("_out.predicted") == 0).select(*docs.columns)
+    return done.where(result(done, "predicted") == 0).select(*docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,14 +29,14 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     done = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), docs.columns)
-    return done.where(~F.col("_out.contaminated")).select(*docs.columns)
+    return done.where(~result(done, "contaminated")).select(*docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Redacted texts; n_chars is counted anew, so that it still is the length of the text."""
     done = pii.find(docs, pii.train(docs), docs.columns, redact=True)
     kinds = dict(docs.dtypes)
-    text = done.withColumn("text", F.col("_out.redacted"))
+    text = done.withColumn("text", result(done, "redacted"))
     if "n_chars" in kinds:
         text = text.withColumn("n_chars", F.length("text").cast(kinds["n_chars"]))
     return text.select(*docs.columns)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tractloom.llm import textscan as ts
-from tractloom.llm.runtime import arrow_pass, flat, lean
+from tractloom.llm.runtime import arrow_pass, flat, lean, out_name
 
 WINDOW = 13
 #: Windows in one block: the size bound of what is broadcast (about 150 bytes a window).
@@ -206,7 +206,7 @@ def contamination(docs: DataFrame, bench: DataFrame, carry: list[str], limit: in
         return f
 
     done = arrow_pass(df, {k: F.col(k) for k in kept}, ["row"], make, FINISH)
-    return done.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(carry)], F.col("_out"))
+    return done.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(carry)], F.col("_out").alias(out_name(carry)))
 
 
 def list_or_empty(found: Iterator[Block]) -> Iterator[Block]:

@@ -103,10 +103,10 @@ def arrow_pass(
     make: Callable[[], Callable[[pa.RecordBatch], dict[str, pa.Array]]],
     out: T.StructType,
 ) -> DataFrame:
-    """One narrow pass over df: carried columns come back as struct _row, results as struct _out.
+    """One narrow pass over df: carried columns come back, and after them the results as one struct, named by out_name().
 
     make() runs once per task and returns the function that is called with each Arrow batch of the inputs.
-    Since carried columns stay inside _row, no name of theirs can clash with a result's.
+    On the way carried columns are numbered inside a struct, so no name of theirs can clash with a result's.
     """
     carried = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)]
     names = list(carry)
@@ -125,7 +125,7 @@ def arrow_pass(
 
     short_batches(df.sparkSession)
     done = src.mapInArrow(lean(run), schema)
-    return done.select(*[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(names)], F.col("_out"))
+    return done.select(*[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(names)], F.col("_out").alias(out_name(names)))
 
 
 _ARROW = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "float": pa.float32(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}
@@ -140,6 +140,19 @@ def _as(values: object, kind: T.DataType) -> pa.Array:
     return pa.array(values, _ARROW[name])
 
 
+def out_name(carry: Iterable[str]) -> str:
+    """_out, with as many more underscores as it takes to differ from all carried columns."""
+    name, taken = "_out", {c.lower() for c in carry}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def result(df: DataFrame, field: str) -> Column:
+    """A field of the results of arrow_pass()."""
+    return F.col(f"`{df.columns[-1]}`.{field}")
+
+
 def flat(df: DataFrame) -> DataFrame:
     """Results beside the carried columns."""
-    return df.select(*[c for c in df.columns if c != "_out"], "_out.*")
+    return df.select(*[f"`{c}`" for c in df.columns[:-1]], f"`{df.columns[-1]}`.*")
