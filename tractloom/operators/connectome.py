@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tractloom.functions import geometry as g
 from tractloom.functions import scalars as s
+from tractloom.functions.ordered import running
 
 
 def label_points(points: DataFrame, parcels: DataFrame, shape: tuple[int, int, int], n_labels: int) -> DataFrame:
@@ -112,20 +113,11 @@ def trilinear(points: DataFrame, volume: DataFrame, keys: list[str]) -> DataFram
 def even_subsample(df: DataFrame, order: str, k: int) -> DataFrame:
     """k rows spread evenly over an order, both ends among them: places trunc(i (n - 1) / (k - 1)).
 
-    Places come from counts per range of the order, so rows are never gathered in one task.
+    Places come from counts per range of the (numeric) order, so rows are never gathered in one task.
     """
     n = df.count()
     if n <= k:
         return df
-    ranked = _places(df, order)
+    ranked = running(df, order, {"_place": F.lit(1)}, inclusive=False)
     want = df.sparkSession.range(k).select(F.floor(F.col("id") * (n - 1) / float(max(k - 1, 1))).alias("_place"))
     return ranked.join(F.broadcast(want), "_place", "left_semi").drop("_place")
-
-
-def _places(df: DataFrame, order: str) -> DataFrame:
-    """0-based places in an order: range partitions are numbered inside, and moved by the rows before them."""
-    part = df.repartitionByRange(order).withColumn("_p", F.spark_partition_id())
-    inner = part.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(order)))
-    before = inner.groupBy("_p").agg(F.max("_r").alias("_n"))
-    skip = before.withColumn("_skip", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return inner.join(F.broadcast(skip), "_p").withColumn("_place", F.col("_r") - 1 + F.col("_skip")).drop("_p", "_r", "_skip")

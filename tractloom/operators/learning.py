@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tractloom.functions import rng
 from tractloom.functions import scalars as s
+from tractloom.functions.ordered import running
 
 # scored: (id, y 0/1, score)
 
@@ -20,8 +21,7 @@ from tractloom.functions import scalars as s
 def _by_score(scored: DataFrame) -> DataFrame:
     """One row per distinct score with running counts from the top. Rows are counted before they are ordered."""
     g = scored.groupBy("score").agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy(F.desc("score"))
-    return g.select("score", "p", "n", F.sum("p").over(w).alias("tp"), F.sum(F.col("n") - F.col("p")).over(w).alias("fp"))
+    return running(g, "score", {"tp": F.col("p"), "fp": F.col("n") - F.col("p")}, descending=True)
 
 
 def _totals(scored: DataFrame) -> DataFrame:
@@ -35,8 +35,7 @@ def roc_curve(scored: DataFrame) -> DataFrame:
 def auc(scored: DataFrame) -> DataFrame:
     """Trapezoids between distinct scores."""
     c = _by_score(scored)
-    w = Window.orderBy(F.desc("score"))
-    area = (F.col("fp") - F.coalesce(F.lag("fp").over(w), F.lit(0))) * (F.col("tp") + F.coalesce(F.lag("tp").over(w), F.lit(0))) / 2.0
+    area = (F.col("n") - F.col("p")) * (2 * F.col("tp") - F.col("p")) / 2.0
     return c.select(area.alias("a")).agg(F.sum("a").alias("a")).crossJoin(_totals(scored)).select(F.try_divide(F.col("a"), F.col("pos") * F.col("neg")).alias("auc"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tractloom.functions import rng
+from tractloom.functions.ordered import running
 
 
 def permuted_groups(subjects: DataFrame, n_perm: int, seed: int = 42) -> DataFrame:
@@ -40,14 +41,24 @@ def permutation_test(values: DataFrame, subjects: DataFrame, n_perm: int = 1000,
 
 
 def fdr(p: DataFrame, alpha: float = 0.05, method: str = "bh", keys: tuple[str, ...] = ()) -> DataFrame:
-    """p (id, p) with rank, adjusted p and rejection. Ranks are over all rows (of a key); ties in p are ordered by id."""
-    part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    x = p.withColumn("rank", F.row_number().over(part.orderBy("p", "id"))).withColumn("n", F.count(F.lit(1)).over(part))
-    c = F.lit(1.0) if method == "bh" else F.aggregate(F.sequence(F.lit(1), F.col("n").cast("int")), F.lit(0.0), lambda s, k: s + F.lit(1.0) / k)
-    x = x.withColumn("raw", F.col("p") * F.col("n") / F.col("rank") * c).withColumn("ok", F.col("p") <= F.col("rank") / F.col("n") * alpha / c)
-    back = part.orderBy(F.desc("rank")).rowsBetween(Window.unboundedPreceding, 0)
-    last = F.coalesce(F.max(F.when(F.col("ok"), F.col("rank"))).over(part), F.lit(0))
-    return x.select(*keys, "id", "p", "rank", F.least(F.lit(1.0), F.min("raw").over(back)).alias("adjusted"), (F.col("rank") <= last).alias("rejected"))
+    """p (id, p) with rank, adjusted p and rejection. Ranks are over all rows (or over those of a key); ties in p are ordered by id."""
+
+    def spread(n: Column) -> Column:
+        return F.lit(1.0) if method == "bh" else F.aggregate(F.sequence(F.lit(1), n.cast("int")), F.lit(0.0), lambda s, k: s + F.lit(1.0) / k)
+
+    raw = F.col("p") * F.col("n") / F.col("rank") * F.col("c")
+    ok = F.col("p") <= F.col("rank") / F.col("n") * alpha / F.col("c")
+    if keys:
+        part = Window.partitionBy(*keys)
+        x = p.withColumn("rank", F.row_number().over(part.orderBy("p", "id"))).withColumn("n", F.count(F.lit(1)).over(part)).withColumn("c", spread(F.col("n")))
+        back = part.orderBy(F.desc("rank")).rowsBetween(Window.unboundedPreceding, 0)
+        x = x.withColumn("low", F.min(raw).over(back)).withColumn("last", F.max(F.when(ok, F.col("rank"))).over(part))
+    else:
+        total = p.agg(F.count(F.lit(1)).alias("n")).withColumn("c", spread(F.col("n")))
+        x = running(p, "p", {"rank": F.lit(1)}, ties=("id",)).crossJoin(F.broadcast(total))
+        last = x.agg(F.max(F.when(ok, F.col("rank"))).alias("last"))
+        x = running(x.withColumn("raw", raw), "p", {"low": F.col("raw")}, ties=("id",), descending=True, kind="min").crossJoin(F.broadcast(last))
+    return x.select(*keys, "id", "p", "rank", F.least(F.lit(1.0), F.col("low")).alias("adjusted"), (F.col("rank") <= F.coalesce("last", F.lit(0))).alias("rejected"))
 
 
 def bonferroni(p: DataFrame, alpha: float = 0.05) -> DataFrame:

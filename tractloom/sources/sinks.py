@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tractloom.functions.ordered import running
+
 
 def write_volumes(df: DataFrame, path: str) -> None:
     """Long volumes by subject and kind, so that reading one map of one subject opens only its files."""
@@ -46,11 +48,10 @@ def prediction_rows(predictions: DataFrame, classes: list[str]) -> DataFrame:
 def vtk_lines(lines: DataFrame) -> DataFrame:
     """(part, sl_id, value): the text of a VTK polydata file; parts in order are head, points, line counts. Offsets are running sums of path sizes over ids.
 
-    Sizes are one row per path; the running sum takes them alone, points stay where they are.
+    Sizes are one row per path; the running sum takes them alone, bucket by bucket, and points stay where they are.
     """
     n = lines.select("sl_id", F.size("points").cast("long").alias("n"))
-    w = Window.orderBy("sl_id").rowsBetween(Window.unboundedPreceding, -1)
-    at = n.select("sl_id", "n", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("first"))
+    at = running(n, "sl_id", {"first": F.col("n")}, inclusive=False)
     point = lambda p: F.format_string("%.6f %.6f %.6f", p["x"], p["y"], p["z"])
     pts = lines.select(F.lit(1).alias("part"), "sl_id", F.array_join(F.transform("points", point), "\n").alias("value"))
     ids = at.select(F.lit(3).alias("part"), "sl_id", F.concat_ws(" ", F.col("n").cast("string"), F.array_join(F.transform(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1), lambda k: k.cast("string")), " ")).alias("value"))
