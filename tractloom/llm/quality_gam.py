@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from tractloom.llm import textscan as ts
 from tractloom.llm import textstats as st
-from tractloom.llm.runtime import arrow_pass, held_out
+from tractloom.llm.runtime import arrow_pass, freed, held_out
 from tractloom.llm.toxicity import labelled, sigmoid
 
 FEATURES = (
@@ -189,7 +189,10 @@ def train(x: np.ndarray, y: np.ndarray) -> Gam:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Gam:
     texts, y = labelled(docs, labels, "quality", TRAIN_DOCS)
-    return train(all_features(pa.array(texts, pa.large_string())), y.astype(np.float64))
+    model = train(all_features(pa.array(texts, pa.large_string())), y.astype(np.float64))
+    del texts
+    freed()
+    return model
 
 
 OUT = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])

@@ -88,7 +88,17 @@ def lean(run: Callable) -> Callable:
     return wrapped
 
 
+def freed() -> None:
+    """The same for the driver, after it trained a model."""
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    _trim()
+
+
 def _trim() -> None:
+    """Hands freed memory back to the system, where the C library can."""
     import ctypes
 
     libc = ctypes.CDLL(None)

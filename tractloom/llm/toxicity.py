@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tractloom.llm import textscan as ts
-from tractloom.llm.runtime import arrow_pass, held_out
+from tractloom.llm.runtime import arrow_pass, freed, held_out
 
 WINDOW, STRIDE = 16, 8
 HIDDEN = 8
@@ -348,7 +348,9 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> tupl
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Network:
-    return train(*labelled(docs, labels, "toxic", TRAIN_DOCS))
+    net = train(*labelled(docs, labels, "toxic", TRAIN_DOCS))
+    freed()
+    return net
 
 
 OUT = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
