@@ -16,18 +16,21 @@ from tractloom.llm.runtime import result, stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the network doesn't reject. It learns from the labels of documents among docs."""
     net = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     done = toxicity.score(docs, net, docs.columns)
     return done.where(result(done, "predicted") == 0).select(*docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each group. Rows that repeat an id are one document and stay or go together."""
     verdict = neardup.near_duplicates(docs)
     gone = verdict.where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that aren't contaminated; single hits below the rule's share stay."""
     done = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), docs.columns)
     return done.where(~result(done, "contaminated")).select(*docs.columns)
 
@@ -43,6 +46,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of what is left."""
     done = bpe.encode_documents(docs, tokenizer_file(), ["doc_id"])
     return done.select("doc_id", "_out.n_tokens", "_out.ids_sha256", "_out.decoded_sha256")
 

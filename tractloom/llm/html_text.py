@@ -31,7 +31,7 @@ LISTS = frozenset("ul ol dl table body article section div main".split())
 BOILERPLATE = frozenset("nav header footer aside form button menu dialog fieldset head title".split())
 ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert form".split())
 NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?|banner|breadcrumbs?|comments?|commentlist|respond|replies|disqus|cookies?|consent|gdpr|notices?|alert"
+    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?|banner|breadcrumbs?|comments?|commentlist|discussion|respond|replies|feedback|disqus|cookies?|consent|gdpr|notices?|announcement|alert"
     r"|sidebar|side|widgets?|menu|nav|navbar|navigation|topbar|masthead|header|footer|foot|footnav|copyright|legal|share|sharing|social|related|recommended|newsletter|subscribe|subscription|signup|login|popup|modal|overlay|pagination|pager|tags|toolbar|skip)(?:$|[\s_-])",
     re.I,
 )
@@ -39,6 +39,7 @@ CONTENT = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|post|story
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+)>|</?[A-Za-z][^<>]*\Z|</[^>]*>", re.S)
 ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 PARAGRAPHS = frozenset("p pre blockquote td dd li figcaption".split())
 LEAST_CHARS = 25
 
@@ -64,7 +65,7 @@ def names_of(attrs: str) -> tuple[str, bool]:
             gone = True
         else:
             gone |= value.lower() == "true"
-    return " ".join(names), gone
+    return CAMEL.sub("-", " ".join(names)), gone
 
 
 def parse(html: str) -> tuple[list[tuple[str, Node]], list[Node]]:

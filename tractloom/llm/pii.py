@@ -262,5 +262,5 @@ def find(docs: DataFrame, weights: np.ndarray | None, carry: list[str], redact:
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """doc_id, counts per kind, base_sha256 and spans of every document. Repeated rows give repeated results."""
+    """doc_id, counts per kind, base_sha256 and spans of every document. Null and empty texts have no spans; repeated rows give repeated results; an empty table gives no rows."""
     return flat(find(docs, train(docs), ["doc_id"])).drop("redacted")

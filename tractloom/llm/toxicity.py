@@ -373,5 +373,9 @@ def score(docs: DataFrame, net: Network, carry: list[str]) -> DataFrame:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document. Null and empty texts get the score of an empty window; a
+    text of any length is scored over all its windows; repeated rows score alike; an empty table gives no rows. Labels
+    of the held-out fold, of rows without id or label, and of unknown documents are not learned from.
+    """
     done = score(docs, fit(docs, labels), ["doc_id"])
     return done.select("doc_id", held_out(4).alias("held_out"), "_out.*")
