@@ -27,21 +27,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tractloom.llm import textscan as ts
-from tractloom.llm.runtime import discarded, held_out, lean, released, stored
+from tractloom.llm.runtime import discarded, held_out, lean, released, short_batches, stored
 
 #: Stand for the end of a text and for the start before its first word.
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 #: Pairs seen fewer times back off; counts from TOP on are not discounted.
 LEAST, TOP = 2, 6
 #: Bytes of text that a task packs at a time.
-PACK = 12 << 20
+PACK = 4 << 20
 
 
 def tokens(b: ts.Bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the words and the end of each text, the hash before each (START at first), and the text of each."""
     w = ts.all_words(b, ts.SPACE_WORDS)
     n = np.diff(w.first)
-    doc = np.repeat(np.arange(b.n), n + 1)
+    doc = np.repeat(np.arange(b.n, dtype=np.int32), n + 1)
     h = np.full(len(doc), END)
     at = np.arange(len(w.hash)) + w.doc
     h[at] = w.hash
@@ -206,6 +206,7 @@ def discounts(n: dict[int, int]) -> dict[int, float]:
 def model(docs: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
     """Word table (w, c, alpha), pair table (key, delta), N and V. alpha and delta are log10."""
     spark = docs.sparkSession
+    short_batches(spark)
     uni = stored(unigrams(docs), "katz-words")
     total = uni.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = int(total["n"]), int(total["v"])
@@ -287,8 +288,9 @@ def score(docs: DataFrame, words: DataFrame, pairs: DataFrame, n: int, v: int) -
                 o = np.argsort(key, kind="stable")  # texts stay in order within a key
                 x, d = key[o], doc[o]
                 first = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (d[1:] != d[:-1])]))
-                times = np.diff(np.append(first, len(x)))
+                times = np.diff(np.append(first, len(x))).astype(np.uint32)
                 x, d = x[first], d[first]
+                del o, first
                 part = parts_of(x, parts)
                 o = np.argsort(part, kind="stable")
                 for what, at, (x_, d_, t_) in _rows(kind, part[o], [x[o], d[o], times[o]]):
