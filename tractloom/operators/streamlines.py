@@ -71,6 +71,12 @@ def resampled(p: np.ndarray, n: int | None = None, step: float | None = None) ->
     return np.stack([np.interp(want, at, p[:, c]) for c in range(3)], axis=1)
 
 
+def evenly(lines: DataFrame, n: int) -> DataFrame:
+    """(sl_id, points): every whole path at n points, as distances need them; a path of one point repeats it."""
+    x = resample(lines.select("sl_id", "points").where(F.size("points") > 0), n=n)
+    return x.select("sl_id", F.when(F.size("points") == 1, F.array_repeat(F.col("points")[0], n)).otherwise(F.col("points")).alias("points"))
+
+
 def smooth(points: DataFrame, sigma: float) -> DataFrame:
     """Gaussian smoothing of exploded points (sl_id, pos, x, y, z) along each path; ends are repeated. Weights reach int(4 sigma + 0.5) points."""
     radius = int(4 * sigma + 0.5)
@@ -113,10 +119,14 @@ def consistency(lines: DataFrame, run: str) -> DataFrame:
     return per.agg(F.count(F.lit(1)).alias("runs"), F.avg("n").alias("mean_count"), cv("n").alias("cv_count"), F.avg("mean_length").alias("mean_length"), cv("mean_length").alias("cv_length")).withColumn("consistent", (F.col("cv_length") < 0.2) & (F.col("cv_count") < 0.3))
 
 
-def reproducibility(first: DataFrame, second: DataFrame, near: float = 5.0, sample: int = 1000, seed: int = 42) -> DataFrame:
-    """Share of a sample of the first set that has a path of the second within a distance; agreement of counts and lengths."""
+def reproducibility(first: DataFrame, second: DataFrame, near: float = 5.0, sample: int = 1000, seed: int = 42, n_points: int | None = None) -> DataFrame:
+    """Share of a sample of the first set that has a path of the second within a distance; agreement of counts and lengths.
+
+    With n_points, whole paths are given: distances are those of the paths resampled to so many points, lengths those of the whole paths.
+    """
     some = first.orderBy(rng.order_key(seed, "sl_id"), "sl_id").limit(sample)
-    pairs = F.broadcast(some.select(F.col("sl_id").alias("a"), F.col("points").alias("pa"))).crossJoin(second.select(F.col("points").alias("pb")))
+    evened = lambda df: df if n_points is None else evenly(df, n_points)
+    pairs = F.broadcast(evened(some).select(F.col("sl_id").alias("a"), F.col("points").alias("pa"))).crossJoin(evened(second).select(F.col("points").alias("pb")))
     best = pairs.groupBy("a").agg(F.min(g.mdf(F.col("pa"), F.col("pb"))).alias("d")).agg(F.avg((F.col("d") < near).cast("double")).alias("overlap"))
     stat = lambda df, k: with_length(df).agg(F.count(F.lit(1)).alias("n" + k), F.avg("length").alias("l" + k))
     got = best.crossJoin(stat(first, "1")).crossJoin(stat(second, "2"))

@@ -98,6 +98,7 @@ h AS (SELECT sl_id, list({'x': x, 'y': y, 'z': z} ORDER BY pos) AS p FROM lim GR
 
 
 def _heads(spark: SparkSession, d: str) -> DataFrame:
+    """The first 20 points of the paths that have them, as SQL cuts them. The queries named _whole take all points of all paths."""
     return inp.streamlines(spark, d).where(F.size("points") >= 20).select("sl_id", F.slice("points", 1, 20).alias("points"))
 
 
@@ -116,6 +117,21 @@ def mdf_pairs_near(spark: SparkSession, d: str) -> DataFrame:
     return sl.mdf_pairs(_heads(spark, d), most=60.0).select("a", "b", r("mdf", 4).alias("mdf"))
 
 
+def _evened(spark: SparkSession, d: str) -> DataFrame:
+    """Every whole path at 20 points, dealt out once so that a join of all pairs doesn't resample again."""
+    return sl.evenly(inp.streamlines(spark, d), 20).repartition("sl_id")
+
+
+@query()
+def mdf_pairs_whole(spark: SparkSession, d: str) -> DataFrame:
+    return sl.mdf_pairs(_evened(spark, d)).select("a", "b", r("mdf", 4).alias("mdf"))
+
+
+@query()
+def mdf_pairs_near_whole(spark: SparkSession, d: str) -> DataFrame:
+    return sl.mdf_pairs(_evened(spark, d), most=60.0).select("a", "b", r("mdf", 4).alias("mdf"))
+
+
 @query(f"""WITH {STEPS}, per AS (SELECT sl_id % 3 AS run, count(*) AS n, avg(length) AS m FROM len GROUP BY 1)
 SELECT count(*) AS runs, round(avg(n), 4) AS mean_count, round(stddev_pop(n) / avg(n), 6) AS cv_count, round(avg(m), 4) AS mean_length, round(stddev_pop(m) / avg(m), 6) AS cv_length, stddev_pop(m) / avg(m) < 0.2 AND stddev_pop(n) / avg(n) < 0.3 AS consistent FROM per""")
 def run_consistency(spark: SparkSession, d: str) -> DataFrame:
@@ -133,6 +149,13 @@ def reproducibility(spark: SparkSession, d: str) -> DataFrame:
     return c.select(*[r(x).alias(x) for x in ("overlap", "dice", "length_difference")], "reproducible")
 
 
+@query()
+def reproducibility_whole(spark: SparkSession, d: str) -> DataFrame:
+    x = inp.streamlines(spark, d)
+    c = sl.reproducibility(x.where("sl_id % 2 = 0"), x.where("sl_id % 2 = 1"), near=60.0, sample=100_000, n_points=20)
+    return c.select(*[r(x).alias(x) for x in ("overlap", "dice", "length_difference")], "reproducible")
+
+
 @query(f"""WITH {STEPS}, n AS (SELECT count(*) AS n FROM len), o AS (SELECT sl_id, row_number() OVER (ORDER BY sl_id) - 1 AS place FROM len), w AS (SELECT CAST(floor(k * (n - 1) / 19.0::DOUBLE) AS BIGINT) AS place FROM n, range(0, 20) t(k))
 SELECT sl_id FROM o WHERE (SELECT n FROM n) <= 20 OR place IN (SELECT place FROM w)""")
 def even_subsample(spark: SparkSession, d: str) -> DataFrame:
