@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tractloom.operators import stats as st
 from tractloom.operators import streamlines as sl
 from tractloom.plans import catalogue
 from tractloom.plans import inputs as inp
@@ -63,3 +64,41 @@ def test_short_paths_keep_their_links(spark):
     s = spark.createDataFrame([(1, [(0.0, 0.0, 0.0)]), (2, [(3.0, 4.0, 0.0)] * 2), (3, [(0.0, 0.0, 0.0), (19.0, 0.0, 0.0)])], "sl_id long, points array<struct<x: double, y: double, z: double>>")
     m = {(r["a"], r["b"]): r["mdf"] for r in sl.mdf_pairs(sl.evenly(s, 20)).collect()}
     assert m[1, 2] == pytest.approx(5) and m[1, 3] == pytest.approx(9.5) and len(m) == 3
+
+
+def test_statistics_take_all_features_and_labels(spark):
+    x = inp.table(spark, SF, "embeddings").toPandas()
+    width, labels = len(x["embedding"].iloc[0]), set(x["label"])
+    assert len(got(spark, "combat_standardize_whole")) == len(x) * width
+    assert set(got(spark, "permutation_mean_diff_whole")["feature"]) == set(range(width))
+    b = got(spark, "bootstrap_ci_whole")
+    assert set(zip(b["label"], b["feature"], strict=True)) == {(k, f) for k in labels for f in range(width)}
+    assert (b["low"] <= b["estimate"]).all() and (b["estimate"] <= b["high"]).all()
+    assert set(got(spark, "corr_permutation_whole")["label"]) == labels
+    p = got(spark, "nbs")["p"].iloc[0]
+    assert p * 5000 == pytest.approx(round(p * 5000), abs=0.01)
+
+
+def numbers(df, *by):
+    return df.orderBy(*by).toPandas().astype(float).to_numpy()
+
+
+def test_batches_equal_rows(spark):
+    e = inp.features(spark, SF).where("feature < 3")
+    two = e.where("label IN (0, 1)")
+    s = two.select("id", F.col("label").alias("group")).distinct()
+    v = two.select("id", "feature", "value")
+    cols = ["feature", "observed", "p"]
+    assert numbers(st.permutation_test_in_batches(v, s, 50, 7).select(cols), "feature") == pytest.approx(numbers(st.permutation_test(v, s, 50).select(cols), "feature"))
+    v = e.select("label", "feature", "id", "value")
+    cols = ["label", "feature", "estimate", "low", "high"]
+    a, b = st.bootstrap_in_batches(v, "label", 40, batch=7), st.bootstrap(v, ["label", "feature"], 40)
+    assert numbers(a.select(cols), "label", "feature") == pytest.approx(numbers(b.select(cols), "label", "feature"))
+
+
+def test_correlation_by_label_equals_one_label_alone(spark):
+    p = spark.createDataFrame([(k % 2, k, float(k * 7 % 11), float(k * k % 13)) for k in range(24)], "label int, id long, a double, b double")
+    by = {r["label"]: (r["n"], r["r"], r["p"]) for r in st.correlation_permutation(p, 60, keys=("label",)).collect()}
+    for k in (0, 1):
+        alone = st.correlation_permutation(p.where(F.col("label") == k), 60).first()
+        assert by[k] == pytest.approx((alone["n"], alone["r"], alone["p"]))

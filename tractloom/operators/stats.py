@@ -40,6 +40,44 @@ def permutation_test(values: DataFrame, subjects: DataFrame, n_perm: int = 1000,
     return s.where("perm > 0").join(obs, "feature").groupBy("feature", "observed").agg(F.avg(tail(F.col("stat"), F.col("observed"), alternative).cast("double")).alias("p"))
 
 
+def fits(values: DataFrame) -> bool:
+    """Whether so many values can be broadcast as a matrix; they are counted."""
+    return values.count() * 8 <= 64 << 20
+
+
+def permutation_test_in_batches(values: DataFrame, subjects: DataFrame, n_perm: int = 10000, batch: int = 200, seed: int = 42) -> DataFrame:
+    """permutation_test() of both sides with the same groups, as matrix products: each task does a batch of permutations. Values beyond 64 MB go the way by rows."""
+    if not fits(values):
+        return permutation_test(values, subjects, n_perm, seed=seed)
+    spark = values.sparkSession
+    x = values.join(subjects, "id").toPandas().pivot(index=["id", "group"], columns="feature", values="value").sort_index()
+    if x.isna().any().any():
+        return permutation_test(values, subjects, n_perm, seed=seed)
+    ids, group = x.index.get_level_values(0).to_numpy(), x.index.get_level_values(1).to_numpy()
+    m, n0 = x.to_numpy(float), int((group == 0).sum())
+    stat = lambda on: (on @ m) / n0 - ((1 - on) @ m) / (len(ids) - n0)
+    observed = stat((group == 0).astype(float)[None])[0]
+    data = spark.sparkContext.broadcast((m, ids.tolist(), n0, observed))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from hashlib import md5
+
+        m, ids, n0, observed = data.value
+        for pdf in batches:
+            on = np.zeros((len(pdf), len(ids)))
+            for row, perm in enumerate(pdf["perm"]):
+                order = sorted(range(len(ids)), key=lambda k: (md5(f"{seed}:{perm}:{ids[k]}".encode()).hexdigest(), ids[k]))
+                on[row, order[:n0]] = 1
+            s = (on @ m) / n0 - ((1 - on) @ m) / (len(ids) - n0)
+            yield pd.DataFrame({"place": np.arange(len(observed)), "hits": (np.abs(s) >= np.abs(observed)).sum(0)})
+
+    perms = spark.range(1, n_perm + 1, 1, max(1, n_perm // batch)).select(F.col("id").cast("int").alias("perm"))
+    hits = perms.mapInPandas(run, "place int, hits long").groupBy("place").agg((F.sum("hits") / F.lit(float(n_perm))).alias("p"))
+    kind = dict(values.dtypes)["feature"]
+    names = spark.createDataFrame([(k, f, float(o)) for k, (f, o) in enumerate(zip(x.columns.tolist(), observed, strict=True))], f"place int, feature {kind}, observed double")
+    return names.join(F.broadcast(hits), "place").select("feature", "observed", "p")
+
+
 def fdr(p: DataFrame, alpha: float = 0.05, method: str = "bh", keys: tuple[str, ...] = ()) -> DataFrame:
     """p (id, p) with rank, adjusted p and rejection. Ranks are over all rows (or over those of a key); ties in p are ordered by id."""
 
@@ -93,6 +131,35 @@ def bootstrap(values: DataFrame, keys: list[str], n_boot: int = 1000, level: flo
     return values.groupBy(*keys).agg(F.avg("value").alias("estimate")).join(ci, keys)
 
 
+def bootstrap_in_batches(values: DataFrame, key: str, n_boot: int = 10000, level: float = 0.95, batch: int = 200, seed: int = 42) -> DataFrame:
+    """bootstrap() of many features of each group of a key with the same picks: each task does a batch of replicates. values (key, feature, id, value); beyond 64 MB they go the way by rows."""
+    if not fits(values):
+        return bootstrap(values, [key, "feature"], n_boot, level, seed)
+    spark = values.sparkSession
+    x = values.toPandas().sort_values("id")
+    parts = [(k, g.pivot(index="id", columns="feature", values="value").sort_index()) for k, g in x.groupby(key)]
+    if any(g.isna().any().any() for _, g in parts):
+        return bootstrap(values, [key, "feature"], n_boot, level, seed)
+    data = spark.sparkContext.broadcast([(k, g.columns.tolist(), g.to_numpy(float)) for k, g in parts])
+    kinds = dict(values.dtypes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from hashlib import md5
+
+        most = max(len(m) for _, _, m in data.value)
+        for pdf in batches:
+            for rep in pdf["r"]:
+                u = np.array([int(md5(f"{seed}:{rep}:{k}".encode()).hexdigest()[: rng.DIGITS], 16) for k in range(most)]) / float(16**rng.DIGITS)
+                for k, names, m in data.value:
+                    yield pd.DataFrame({key: k, "feature": names, "mean": m[np.floor(u[: len(m)] * len(m)).astype(int)].mean(0)})
+
+    reps = spark.range(1, n_boot + 1, 1, max(1, n_boot // batch)).select(F.col("id").cast("int").alias("r"))
+    mean = reps.mapInPandas(run, f"{key} {kinds[key]}, feature {kinds['feature']}, mean double")
+    low = (1 - level) / 2
+    ci = mean.groupBy(key, "feature").agg(F.percentile("mean", low).alias("low"), F.percentile("mean", 1 - low).alias("high"))
+    return values.groupBy(key, "feature").agg(F.avg("value").alias("estimate")).join(ci, [key, "feature"])
+
+
 def average_ranks(df: DataFrame, value: str, out: str, keys: list[str]) -> DataFrame:
     """Ranks with ties averaged, by counts of equal values."""
     w = Window.partitionBy(*keys).orderBy(value)
@@ -107,16 +174,18 @@ def correlation(pairs: DataFrame, keys: list[str], method: str = "pearson") -> D
     return pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.nanvl(F.corr("a", "b"), F.lit(0.0)), F.lit(0.0)).alias("r"))
 
 
-def correlation_permutation(pairs: DataFrame, n_perm: int = 500, method: str = "pearson", seed: int = 42) -> DataFrame:
-    """(n, r, p) of pairs (id, a, b): b is dealt out anew to the ids in each permutation."""
-    a = Window.partitionBy("perm").orderBy("id")
-    b = Window.partitionBy("perm").orderBy(rng.order_key(seed, "perm", "id"), "id")
+def correlation_permutation(pairs: DataFrame, n_perm: int = 500, method: str = "pearson", seed: int = 42, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, n, r, p) of pairs (keys, id, a, b): b is dealt out anew to the ids of a key in each permutation."""
+    a = Window.partitionBy(*keys, "perm").orderBy("id")
+    b = Window.partitionBy(*keys, "perm").orderBy(rng.order_key(seed, "perm", "id"), "id")
     x = pairs.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm))))
-    left = x.withColumn("k", F.row_number().over(a)).select("perm", "k", "a")
-    right = x.withColumn("k", F.when(F.col("perm") == 0, F.row_number().over(a)).otherwise(F.row_number().over(b))).select("perm", "k", "b")
-    c = correlation(left.join(right, ["perm", "k"]), ["perm"], method)
-    obs = c.where("perm = 0").select(F.col("r").alias("observed"), "n")
-    return c.where("perm > 0").select("r").crossJoin(F.broadcast(obs)).groupBy("n", "observed").agg(F.avg((F.abs("r") >= F.abs("observed")).cast("double")).alias("p")).select("n", F.col("observed").alias("r"), "p")
+    left = x.withColumn("k", F.row_number().over(a)).select(*keys, "perm", "k", "a")
+    right = x.withColumn("k", F.when(F.col("perm") == 0, F.row_number().over(a)).otherwise(F.row_number().over(b))).select(*keys, "perm", "k", "b")
+    c = correlation(left.join(right, [*keys, "perm", "k"]), [*keys, "perm"], method)
+    obs = c.where("perm = 0").select(*keys, F.col("r").alias("observed"), "n")
+    null = c.where("perm > 0").select(*keys, "r")
+    both = null.join(obs, list(keys)) if keys else null.crossJoin(F.broadcast(obs))
+    return both.groupBy(*keys, "n", "observed").agg(F.avg((F.abs("r") >= F.abs("observed")).cast("double")).alias("p")).select(*keys, "n", F.col("observed").alias("r"), "p")
 
 
 # Student's t distribution.

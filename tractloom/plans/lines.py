@@ -253,6 +253,12 @@ def permutation_mean_diff(spark: SparkSession, d: str) -> DataFrame:
     return st.permutation_test(v, _subjects(spark, d), 200).select("feature", r("observed").alias("observed"), r("p").alias("p"))
 
 
+@query()
+def permutation_mean_diff_whole(spark: SparkSession, d: str) -> DataFrame:
+    v = _two_groups(spark, d).select("id", "feature", "value")
+    return st.permutation_test_in_batches(v, _subjects(spark, d), 10000).select("feature", r("observed").alias("observed"), r("p").alias("p"))
+
+
 EFFECT = TWO + """,
 e AS (SELECT feature, count(*) FILTER (grp = 0) AS n0, count(*) FILTER (grp = 1) AS n1, avg(value) FILTER (grp = 0) AS m0, avg(value) FILTER (grp = 1) AS m1, var_samp(value) FILTER (grp = 0) AS v0, var_samp(value) FILTER (grp = 1) AS v1 FROM two GROUP BY 1),
 es AS (SELECT *, m0 - m1 AS difference, n0 + n1 - 2 AS df, sqrt(((n0 - 1) * v0 + (n1 - 1) * v1) / (n0 + n1 - 2)) AS pooled FROM e)"""
@@ -296,6 +302,12 @@ def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     return st.bootstrap(v, ["label"], 100, level=0.95).select("label", *[r(c).alias(c) for c in ("estimate", "low", "high")])
 
 
+@query()
+def bootstrap_ci_whole(spark: SparkSession, d: str) -> DataFrame:
+    v = inp.features(spark, d).select("label", "feature", "id", "value")
+    return st.bootstrap_in_batches(v, "label", 10000, level=0.95).select("label", "feature", *[r(c).alias(c) for c in ("estimate", "low", "high")])
+
+
 @query()
 def mass_univariate(spark: SparkSession, d: str) -> DataFrame:
     return st.mass_univariate(_two_groups(spark, d))
@@ -325,6 +337,11 @@ def corr_permutation(spark: SparkSession, d: str) -> DataFrame:
     return st.correlation_permutation(_pairs(spark, d).where("label = 0"), 100).select("n", r("r").alias("r"), r("p").alias("p"))
 
 
+@query()
+def corr_permutation_whole(spark: SparkSession, d: str) -> DataFrame:
+    return st.correlation_permutation(_pairs(spark, d), 10000, keys=("label",)).select("label", "n", r("r").alias("r"), r("p").alias("p"))
+
+
 def _subject_edges(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Forty subjects with edges among regions, zeros included, and their groups."""
     p = cn.kept_pairs(inp.paths(spark, d)).withColumn("id", (F.col("o_custkey") % 40).cast("int"))
@@ -338,7 +355,7 @@ def _subject_edges(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 @query()
 def nbs(spark: SparkSession, d: str) -> DataFrame:
     v, s = _subject_edges(spark, d)
-    return st.nbs(v, s, 1.5, 50).select("observed", r("p").alias("p"))
+    return st.nbs(v, s, 1.5, 5000).select("observed", r("p").alias("p"))
 
 
 @query(f"""WITH {PATHS}, e0 AS (SELECT o_custkey % 40 AS id, least(a % 8, b % 8) AS i, greatest(a % 8, b % 8) AS j, sum(len) AS value FROM paths WHERE a <> b GROUP BY 1, 2, 3), e AS (SELECT * FROM e0 WHERE i < j),

@@ -43,6 +43,11 @@ def combat_standardize(spark: SparkSession, d: str) -> DataFrame:
     return hz.standardized(_batched(spark, d).where("feature < 8")).select("id", "feature", r("z").alias("z"))
 
 
+@query(f"WITH {Z} SELECT id, feature, round(z, 6) AS z FROM z")
+def combat_standardize_whole(spark: SparkSession, d: str) -> DataFrame:
+    return hz.standardized(_batched(spark, d)).select("id", "feature", r("z").alias("z"))
+
+
 @query(f"WITH {Z} SELECT feature, batch, n, round(gamma, 6) AS gamma, round(delta, 6) AS delta, round(gs, 6) AS gamma_star, round(ds, 6) AS delta_star FROM bp")
 def combat_params(spark: SparkSession, d: str) -> DataFrame:
     p = hz.batch_parameters(hz.standardized(_batched(spark, d)))
