@@ -102,3 +102,12 @@ def test_correlation_by_label_equals_one_label_alone(spark):
     for k in (0, 1):
         alone = st.correlation_permutation(p.where(F.col("label") == k), 60).first()
         assert by[k] == pytest.approx((alone["n"], alone["r"], alone["p"]))
+
+
+def test_every_row_is_gradient_vertex_or_seed(spark):
+    n, voxels = inp.table(spark, SF, "embeddings").count(), inp.volume(spark, SF).count()
+    g = got(spark, "gradient_quality").iloc[0]
+    assert g["n_b0"] + g["n_dwi"] == n == len(got(spark, "bval_rounding_whole"))
+    assert len(got(spark, "vertex_curvature")) == n and len(got(spark, "face_areas_whole")) == n - 2
+    assert got(spark, "track_probabilistic")["seed_id"].nunique() == voxels
+    assert got(spark, "track_relational_k_steps_whole")["seed_id"].nunique() == voxels

@@ -79,7 +79,15 @@ def _step(k: int) -> str:
 
 @query(f"WITH {VOLUME}, {DIR}, t0 AS (SELECT x * 10000 + y * 100 + z AS seed_id, x::DOUBLE + 0.1 AS x, y::DOUBLE + 0.2 AS y, z::DOUBLE AS z, 0.0::DOUBLE AS px, 0.0::DOUBLE AS py, 0.0::DOUBLE AS pz FROM vol WHERE (x + y + z) % 5 = 0), {', '.join(_step(k) for k in range(1, 7))} " + " UNION ALL ".join(f"SELECT CAST(seed_id AS BIGINT) AS seed_id, {k} AS pos, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM t{k}" for k in range(7)))
 def track_relational_k_steps(spark: SparkSession, d: str) -> DataFrame:
-    v = inp.volume(spark, d).where("(x + y + z) % 5 = 0")
+    return _steps(spark, d, inp.volume(spark, d).where("(x + y + z) % 5 = 0"))
+
+
+@query(SQL["track_relational_k_steps"].replace(" WHERE (x + y + z) % 5 = 0", ""))
+def track_relational_k_steps_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _steps(spark, d, inp.volume(spark, d))
+
+
+def _steps(spark: SparkSession, d: str, v: DataFrame) -> DataFrame:
     seeds = v.select((F.col("x") * 10000 + F.col("y") * 100 + F.col("z")).cast("long").alias("seed_id"), (F.col("x") + F.lit(0.1)).alias("x"), (F.col("y") + F.lit(0.2)).alias("y"), F.col("z").cast("double").alias("z"))
     return tk.track_by_joins(seeds, _made_peaks(spark, d), 6).select("seed_id", "pos", *[r(c).alias(c) for c in "xyz"])
 
@@ -87,7 +95,7 @@ def track_relational_k_steps(spark: SparkSession, d: str) -> DataFrame:
 def _tracks(spark: SparkSession, d: str) -> DataFrame:
     fa = inp.volume(spark, d).select("x", "y", "z", F.lit(0.5).alias("fa"))
     cube = tk.cubes(_made_peaks(spark, d), fa, fa.select("x", "y", "z"), (16, 16, 8))
-    seeds = fa.where("(x + y + z) % 7 = 0").select((F.col("x") * 10000 + F.col("y") * 100 + F.col("z")).cast("long").alias("seed_id"), *[F.col(c).cast("double").alias(c) for c in "xyz"])
+    seeds = fa.select((F.col("x") * 10000 + F.col("y") * 100 + F.col("z")).cast("long").alias("seed_id"), *[F.col(c).cast("double").alias(c) for c in "xyz"])
     return tk.track(seeds, cube, 2, min_length=1.0, max_angle=60.0)
 
 
@@ -108,12 +116,16 @@ def surface_mesh_summary(spark: SparkSession, d: str) -> DataFrame:
     return sf.surface_summary(v.select("vid", "x", "y", "z"), f.select("fid", "v0", "v1", "v2"))
 
 
-def _tetra(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Vertices from the first embeddings, joined into a strip of faces."""
-    e = table(spark, d, "embeddings").where("vec_id < 100")
+def _tetra(spark: SparkSession, d: str, every: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Vertices from embeddings, joined into a strip of faces; not every: those below 100 only, as SQL takes them."""
+    e = table(spark, d, "embeddings")
+    e = e if every else e.where("vec_id < 100")
     v = e.select(F.col("vec_id").alias("vid"), *[F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate("xyz")])
-    f = spark.range(98).select(F.col("id").alias("fid"), F.col("id").alias("v0"), (F.col("id") + 1).alias("v1"), (F.col("id") + 2).alias("v2"))
-    return v, f
+    ids = v.select("vid")
+    f = ids.select(F.col("vid").alias("fid"), F.col("vid").alias("v0"), (F.col("vid") + 1).alias("v1"), (F.col("vid") + 2).alias("v2"))
+    for k in (1, 2):
+        f = f.join(ids.withColumnRenamed("vid", f"v{k}"), f"v{k}")
+    return v, f.select("fid", "v0", "v1", "v2")
 
 
 STRIP = """v AS (SELECT vec_id AS vid, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings WHERE vec_id < 100),
@@ -123,12 +135,22 @@ ar AS (SELECT *, sqrt(pow(uy*wz-uz*wy, 2) + pow(uz*wx-ux*wz, 2) + pow(ux*wy-uy*w
 
 @query(f"WITH {STRIP} SELECT fid, round(dbl / 2, 6) AS area FROM ar")
 def face_areas(spark: SparkSession, d: str) -> DataFrame:
+    return sf.face_areas(*_tetra(spark, d, False)).select("fid", r("area").alias("area"))
+
+
+@query(SQL["face_areas"].replace(" WHERE vec_id < 100", ""))
+def face_areas_whole(spark: SparkSession, d: str) -> DataFrame:
     return sf.face_areas(*_tetra(spark, d)).select("fid", r("area").alias("area"))
 
 
 @query(f"""WITH {STRIP}, h AS (SELECT v1 AS i, v2 AS j, (ux*wx+uy*wy+uz*wz) / greatest(dbl, 1e-12) / 2 AS w FROM ar UNION ALL SELECT v2, v0, -(ux*tx+uy*ty+uz*tz) / greatest(dbl, 1e-12) / 2 FROM ar UNION ALL SELECT v0, v1, (wx*tx+wy*ty+wz*tz) / greatest(dbl, 1e-12) / 2 FROM ar),
 b AS (SELECT i, j, w FROM h UNION ALL SELECT j, i, w FROM h UNION ALL SELECT i, i, -w FROM h UNION ALL SELECT j, j, -w FROM h) SELECT i, j, round(sum(w), 4) AS w FROM b GROUP BY 1, 2""")
 def cotangent_laplacian(spark: SparkSession, d: str) -> DataFrame:
+    return sf.cotangent_laplacian(*_tetra(spark, d, False)).select("i", "j", r("w", 4).alias("w"))
+
+
+@query(SQL["cotangent_laplacian"].replace(" WHERE vec_id < 100", ""))
+def cotangent_laplacian_whole(spark: SparkSession, d: str) -> DataFrame:
     return sf.cotangent_laplacian(*_tetra(spark, d)).select("i", "j", r("w", 4).alias("w"))
 
 
