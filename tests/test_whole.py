@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tractloom.operators import graph as gr
 from tractloom.operators import stats as st
 from tractloom.operators import streamlines as sl
 from tractloom.plans import catalogue
@@ -111,3 +112,36 @@ def test_every_row_is_gradient_vertex_or_seed(spark):
     assert len(got(spark, "vertex_curvature")) == n and len(got(spark, "face_areas_whole")) == n - 2
     assert got(spark, "track_probabilistic")["seed_id"].nunique() == voxels
     assert got(spark, "track_relational_k_steps_whole")["seed_id"].nunique() == voxels
+
+
+def test_vulnerability_is_degree_times_betweenness(spark):
+    e = inp.graph(spark, SF).toPandas()
+    g = gr.Graph(e["i"].to_numpy(), e["j"].to_numpy(), e["weight"].to_numpy())
+    want = sorted((g.betweenness() * g.adj.sum(1)).tolist(), reverse=True)[:15]
+    assert got(spark, "vulnerability_top_whole")["vulnerability"].tolist() == pytest.approx(want, abs=1e-6)
+
+
+def test_resilience_is_what_is_left_after_removal(spark):
+    e = inp.per_subject_edges(spark, SF)
+    half = []
+    for _, x in e.toPandas().groupby("subject"):
+        g = gr.Graph(x["i"].to_numpy(), x["j"].to_numpy(), x["weight"].to_numpy())
+        half.append((g.efficiency(), g.resilience(10)[0][5]))
+    from tractloom.plans import services
+
+    s = services._summary(spark, SF)
+    found = [(r["global_efficiency"], r["resilience_half"]) for r in s.collect()]
+    assert np.array(sorted(found)) == pytest.approx(np.array(sorted(half)))
+    assert any(a != b for a, b in found)
+
+
+def test_a_star_is_efficient_but_not_resilient(spark):
+    from tractloom.plans import services
+
+    star = spark.createDataFrame([("s", 0, k, 1.0) for k in range(1, 11)], "subject string, i int, j int, weight double")
+    keep, services.inp.per_subject_edges = services.inp.per_subject_edges, lambda *_: star
+    try:
+        assert "low_resilience" in got(spark, "pathology_indicators")["indicator"].tolist()
+        assert "low_efficiency" not in got(spark, "pathology_indicators")["indicator"].tolist()
+    finally:
+        services.inp.per_subject_edges = keep

@@ -224,9 +224,12 @@ def zscore_norms(spark: SparkSession, d: str) -> DataFrame:
     return rp.z_scores(m).select("metric", r("value").alias("value"), r("z", 5).alias("z"), "flag")
 
 
-def _summary(spark: SparkSession, d: str) -> DataFrame:
-    g = gr.global_metrics(inp.per_subject_edges(spark, d), ["subject"])
-    return g.withColumn("modularity", F.col("louvain_q")).withColumn("resilience_half", F.col("global_efficiency")).withColumn("density", 2.0 * F.col("m") / (F.col("n") * (F.col("n") - 1)))
+def _summary(spark: SparkSession, d: str, strategy: str = "targeted") -> DataFrame:
+    """Global metrics of each subject; resilience_half is the efficiency after five of ten steps of removal."""
+    e = inp.per_subject_edges(spark, d)
+    half = gr.resilience(e, ["subject"], strategy=strategy, seed=42).where("step = 5").select("subject", F.col("efficiency").alias("resilience_half"))
+    g = gr.global_metrics(e, ["subject"]).join(half, "subject")
+    return g.withColumn("modularity", F.col("louvain_q")).withColumn("density", 2.0 * F.col("m") / (F.col("n") * (F.col("n") - 1)))
 
 
 @query()
@@ -236,7 +239,8 @@ def health_score(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def interpretation(spark: SparkSession, d: str) -> DataFrame:
-    return rp.interpretation(_summary(spark, d))
+    """Indicators look at targeted removal, this judgement at random removal."""
+    return rp.interpretation(_summary(spark, d, "random"))
 
 
 @query()
@@ -251,9 +255,17 @@ def metrics_mapping(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {GRAPH} SELECT node, CAST(degree * strength AS DOUBLE) AS vulnerability FROM deg ORDER BY 2 DESC, 1 LIMIT 15")
 def vulnerability_top(spark: SparkSession, d: str) -> DataFrame:
+    """Degree times strength, as SQL has it, which is not vulnerability: that is vulnerability_top_whole."""
     return rp.vulnerability(gr.degree_strength(inp.graph(spark, d)).select("node", "degree", F.col("strength").alias("betweenness")))
 
 
+@query()
+def vulnerability_top_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Degree times betweenness."""
+    one = inp.graph(spark, d).withColumn("subject", F.lit("all"))
+    return rp.vulnerability(gr.node_metrics(one, ["subject"])).select("node", r("vulnerability").alias("vulnerability"))
+
+
 @query("SELECT * FROM (VALUES ('error', 'finite', true), ('error', 'volumes', true), ('error', 'bvals', true), ('error', 'bvecs', true), ('warning', 'negative', true), ('warning', 'range', true), ('warning', 'constant', true)) t(level, \"check\", passed)")
 def quality_checks(spark: SparkSession, d: str) -> DataFrame:
     sig, b, v = md._signals(spark, d)
