@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tractloom.operators import graph as gr
+from tractloom.operators import harmonize as hz
 from tractloom.operators import stats as st
 from tractloom.operators import streamlines as sl
 from tractloom.plans import catalogue
@@ -145,3 +146,11 @@ def test_a_star_is_efficient_but_not_resilient(spark):
         assert "low_efficiency" not in got(spark, "pathology_indicators")["indicator"].tolist()
     finally:
         services.inp.per_subject_edges = keep
+
+
+def test_levels_beyond_the_bound_are_refused(spark):
+    s = spark.range(1001).select("id", F.concat(F.lit("site"), "id").alias("site"), F.col("id").cast("double").alias("age"))
+    with pytest.raises(ValueError, match="site"):
+        hz.design(s, ["site", "age"])
+    assert len(hz.design(s.where("id < 1000"), ["site", "age"]).first()["x"]) == 1 + 999 + 1
+    assert len(hz.design(s.where("id < 9"), ["age"]).first()["x"]) == 9 and len(hz.design(s.where("id < 10"), ["age"]).first()["x"]) == 2

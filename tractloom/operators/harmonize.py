@@ -44,12 +44,19 @@ def combat(values: DataFrame, mean_only: bool = False, shrink: bool = True, para
     return z.join(p, ["feature", "batch"]).select("id", "batch", "feature", (out + F.col("stand_mean")).alias("value"))
 
 
+#: Levels of a covariate that get indicators: the design matrix has a column for each.
+MOST_LEVELS = 1000
+
+
 def design(subjects: DataFrame, columns: list[str]) -> DataFrame:
-    """(id, x): a constant and the encoded columns. Texts and numbers of under ten distinct values become indicators (the first left out), others z-scores."""
+    """(id, x): a constant and the encoded columns. Texts and numbers of under ten distinct values become indicators (the first left out), others z-scores. A text of more than MOST_LEVELS distinct values is refused, never cut."""
     parts = [F.lit(1.0)]
     kinds = dict(subjects.dtypes)
     for c in [c for c in columns if c in kinds]:
-        levels = [r[0] for r in subjects.select(c).where(F.col(c).isNotNull()).distinct().orderBy(c).limit(1000).collect()]
+        most = MOST_LEVELS if kinds[c] == "string" else 9  # of numbers, only whether there are ten values
+        levels = [r[0] for r in subjects.select(c).where(F.col(c).isNotNull()).distinct().orderBy(c).limit(most + 1).collect()]
+        if kinds[c] == "string" and len(levels) > most:
+            raise ValueError(f"{c} has more than {most} levels")
         if kinds[c] == "string" or len(levels) < 10:
             parts += [F.coalesce((F.col(c) == F.lit(v)).cast("double"), F.lit(0.0)) for v in levels[1:]]
         else:
