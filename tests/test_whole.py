@@ -154,3 +154,11 @@ def test_levels_beyond_the_bound_are_refused(spark):
         hz.design(s, ["site", "age"])
     assert len(hz.design(s.where("id < 1000"), ["site", "age"]).first()["x"]) == 1 + 999 + 1
     assert len(hz.design(s.where("id < 9"), ["age"]).first()["x"]) == 9 and len(hz.design(s.where("id < 10"), ["age"]).first()["x"]) == 2
+
+
+def test_pairs_seen_once_are_in_the_language_model(spark):
+    katz = pytest.importorskip("tractloom.llm.katz")
+    d = spark.createDataFrame([(t, False) for t in ("a b c", "a b d", "e f", "g h i", "a b")], "text string, skip boolean")
+    pairs = katz.model(d)[1]
+    assert pairs.count() == len({p for t in ("a b c", "a b d", "e f", "g h i", "a b") for p in zip(["<", *t.split()], [*t.split(), ">"], strict=True)})
+    assert 0 < katz.discounts({1: 100, 2: 40, 3: 20, 6: 5})[1] < 1

@@ -3,8 +3,8 @@
 Counts. Each task counts its words and bigrams by 64-bit hash and sends them packed, in parts by hash, so a frequent
 word or pair is one entry per task and never one row per occurrence.
 
-Model. Counts of counts over all bigrams give Good-Turing discounts for low counts; pairs seen once are treated as
-unseen (the usual cut-off), which leaves their mass to backing off. For a context p the weight is
+Model. Counts of counts over all bigrams give Good-Turing discounts for low counts. Every pair that was seen is kept,
+those seen once too. For a context p the weight is
 
     alpha(p) = (1 - sum of P(w | p) over kept w) / (1 - sum of P1(w) over kept w)
 
@@ -31,8 +31,8 @@ from tractloom.llm.runtime import discarded, held_out, lean, released, short_bat
 
 #: Stand for the end of a text and for the start before its first word.
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
-#: Pairs seen fewer times back off; counts from TOP on are not discounted.
-LEAST, TOP = 2, 6
+#: Pairs seen fewer times back off, so at 1 only unseen ones do; counts from TOP on are not discounted.
+LEAST, TOP = 1, 6
 #: Bytes of text that a task packs at a time.
 PACK = 4 << 20
 
