@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tractloom.llm import textscan as ts
-from tractloom.llm.runtime import arrow_pass, flat, lean, out_name
+from tractloom.llm.runtime import arrow_pass, flat, out_name
 
 WINDOW = 13
 #: Windows in one block: the size bound of what is broadcast (about 150 bytes a window).
@@ -115,7 +115,7 @@ def word_counts(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["word", "n"])
 
-    got = docs.select("text").mapInArrow(lean(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
+    got = docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(len(vocabulary), np.int64)
     out[got["word"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
     return out
@@ -124,42 +124,43 @@ def word_counts(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
 OUT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("starts", T.ArrayType(T.LongType())), T.StructField("ends", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))])
 
 
+def _found(block: Block, texts: pa.Array) -> dict[str, list]:
+    """Of each text: its number of words, the word intervals that the block's windows cover (merged), and their items."""
+    b = ts.as_bytes(texts)
+    n_words, starts, ends, items = [np.zeros(0, np.int64)], [], [], []
+    for i, j in ts.slices(b):
+        w = ts.words(ts.part(b, i, j), ts.ALNUM_WORDS)
+        n_words.append(np.diff(w.first))
+        at, size, item = block.hits(w)
+        s, e, it = [[] for _ in range(j - i)], [[] for _ in range(j - i)], [[] for _ in range(j - i)]
+        if len(at):
+            cover = np.zeros(len(w.hash) + 1, np.int64)
+            np.add.at(cover, at, 1)
+            np.add.at(cover, at + size, -1)
+            on = np.cumsum(cover)[:-1] > 0
+            fresh = on.copy()
+            fresh[1:] &= ~on[:-1] | (w.doc[1:] != w.doc[:-1])
+            gone = on.copy()
+            gone[:-1] &= ~on[1:] | (w.doc[1:] != w.doc[:-1])
+            for a, z in zip(np.flatnonzero(fresh).tolist(), np.flatnonzero(gone).tolist(), strict=True):
+                d = w.doc[a]
+                s[d].append(a - int(w.first[d]))
+                e[d].append(z + 1 - int(w.first[d]))
+            for d, k in set(zip(w.doc[at].tolist(), item.tolist(), strict=True)):
+                if block.items[k] is not None:
+                    it[d].append(block.items[k])
+        starts += s
+        ends += e
+        items += [sorted(set(x)) for x in it]
+    return {"n_words": np.concatenate(n_words), "starts": starts, "ends": ends, "items": items}
+
+
 def _pass(df: DataFrame, shared, carry: list[str]) -> DataFrame:
-    """Word intervals that are hit, merged, and items found, of one block."""
+    """What one block finds, beside the carried columns."""
 
     def make() -> Callable:
         block: Block = shared.value
-
-        def f(batch: pa.RecordBatch) -> dict:
-            b = ts.as_bytes(batch.column(0))
-            n_words, starts, ends, items = [], [], [], []
-            for i, j in ts.slices(b):
-                w = ts.words(ts.part(b, i, j), ts.ALNUM_WORDS)
-                n_words.append(np.diff(w.first))
-                at, size, item = block.hits(w)
-                s, e, it = [[] for _ in range(j - i)], [[] for _ in range(j - i)], [[] for _ in range(j - i)]
-                if len(at):
-                    cover = np.zeros(len(w.hash) + 1, np.int64)
-                    np.add.at(cover, at, 1)
-                    np.add.at(cover, at + size, -1)
-                    on = np.cumsum(cover)[:-1] > 0
-                    fresh = on.copy()
-                    fresh[1:] &= ~on[:-1] | (w.doc[1:] != w.doc[:-1])
-                    gone = on.copy()
-                    gone[:-1] &= ~on[1:] | (w.doc[1:] != w.doc[:-1])
-                    for a, z in zip(np.flatnonzero(fresh).tolist(), np.flatnonzero(gone).tolist(), strict=True):
-                        d = w.doc[a]
-                        s[d].append(a - int(w.first[d]))
-                        e[d].append(z + 1 - int(w.first[d]))
-                    for d, k in set(zip(w.doc[at].tolist(), item.tolist(), strict=True)):
-                        if block.items[k] is not None:
-                            it[d].append(block.items[k])
-                starts += s
-                ends += e
-                items += [sorted(set(x)) for x in it]
-            return {"n_words": np.concatenate(n_words), "starts": starts, "ends": ends, "items": items}
-
-        return f
+        return lambda batch: _found(block, batch.column(0))
 
     return arrow_pass(df, {"text": F.col("text")}, carry, make, OUT)
 
@@ -175,37 +176,48 @@ def _union(intervals: list[tuple[int, int]]) -> int:
     return total
 
 
+def _last_pass(df: DataFrame, shared, before: list[str]) -> DataFrame:
+    """The last block's pass, which also sums up what the blocks before it found (before: their columns)."""
+
+    def make() -> Callable:
+        block: Block = shared.value
+
+        def f(batch: pa.RecordBatch) -> dict:
+            own = _found(block, batch.column(0))
+            n_words, n = own["n_words"], batch.num_rows
+            parts = [(own["starts"], own["ends"], own["items"])]
+            parts += [tuple(batch.column(k).field(x).to_pylist() for x in ("starts", "ends", "items")) for k in range(1, len(before) + 1)]
+            hit, n_items, sha = [0] * n, [0] * n, [_digest([])] * n
+            for r in range(n):
+                if any(s[r] for s, _, _ in parts):
+                    hit[r] = _union([p for s, e, _ in parts for p in zip(s[r], e[r], strict=True)])
+                    names = sorted({x for _, _, i in parts for x in i[r]})
+                    n_items[r], sha[r] = len(names), _digest(names)
+            return {"n_words": n_words, "n_hit": hit, "n_items": n_items, "items_sha256": sha, "contaminated": [h > 0 and 20 * h >= k for h, k in zip(hit, n_words.tolist(), strict=True)]}
+
+        return f
+
+    return arrow_pass(df, {"text": F.col("text"), **{k: F.col(k) for k in before}}, ["row"], make, FINISH)
+
+
 def contamination(docs: DataFrame, bench: DataFrame, carry: list[str], limit: int = BLOCK_WINDOWS) -> DataFrame:
     """carry columns, n_words, n_hit, n_items, items_sha256, contaminated of every document.
 
-    A null or empty text has no words and is clean; items without words match nothing; an item without id counts
-    for n_hit and is left out of the items; repeated items count once by id; an empty benchmark hits nothing.
+    A null or empty text has no words and is clean; a text of any length is matched whole; items without words match
+    nothing; an item without id counts for n_hit and is left out of the items; repeated items count once by id; an empty
+    benchmark hits nothing. Repeated documents get a result each, an empty table none.
     """
     spark = docs.sparkSession
     kept: list[str] = []
     df = docs.select(F.col("text"), F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)]).alias("row"))
-    for k, block in enumerate(list_or_empty(blocks(bench, limit))):
+    held = None
+    for block in list_or_empty(blocks(bench, limit)):
         block.choose_prefixes(word_counts(docs, block.vocabulary))
-        df = _pass(df, spark.sparkContext.broadcast(block), ["row", "text", *kept]).withColumnRenamed("_out", f"block{k}")
-        kept.append(f"block{k}")
-
-    def make() -> Callable:
-        def f(batch: pa.RecordBatch) -> dict:
-            n_words = batch.column(0).field("n_words").to_pylist()
-            hit, n_items, sha = [0] * batch.num_rows, [0] * batch.num_rows, [_digest([])] * batch.num_rows
-            parts = [(c.field("starts"), c.field("ends"), c.field("items")) for c in batch.columns]
-            some = np.zeros(batch.num_rows, bool)
-            for s, _, _ in parts:
-                some |= np.asarray(s.value_lengths()) > 0
-            for r in np.flatnonzero(some).tolist():
-                hit[r] = _union([p for s, e, _ in parts for p in zip(s[r].as_py(), e[r].as_py(), strict=True)])
-                names = sorted({x for _, _, i in parts for x in i[r].as_py()})
-                n_items[r], sha[r] = len(names), _digest(names)
-            return {"n_words": n_words, "n_hit": hit, "n_items": n_items, "items_sha256": sha, "contaminated": [h > 0 and 20 * h >= n for h, n in zip(hit, n_words, strict=True)]}
-
-        return f
-
-    done = arrow_pass(df, {k: F.col(k) for k in kept}, ["row"], make, FINISH)
+        if held is not None:
+            df = _pass(df, held, ["row", "text", *kept]).withColumnRenamed("_out", f"block{len(kept)}")
+            kept.append(f"block{len(kept)}")
+        held = spark.sparkContext.broadcast(block)
+    done = _last_pass(df, held, kept)
     return done.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(carry)], F.col("_out").alias(out_name(carry)))
 
 
@@ -224,4 +236,5 @@ def _digest(names: list[str]) -> str:
 
 
 def contamination_table(docs: DataFrame, bench: DataFrame) -> DataFrame:
+    """doc_id and the results of contamination(), with its rules for odd rows; columns of docs that clash are not carried."""
     return flat(contamination(docs, bench, ["doc_id"]))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tractloom.llm import textscan as ts
-from tractloom.llm.runtime import discarded, held_out, lean, released, short_batches, stored
+from tractloom.llm.runtime import discarded, held_out, released, short_batches, stored
 
 #: Stand for the end of a text and for the start before its first word.
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
@@ -139,7 +139,7 @@ def unigrams(docs: DataFrame) -> DataFrame:
                 held = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(held[0].view(np.int64)), pa.array(held[1])], names=["w", "c"])
 
-    return docs.mapInArrow(lean(run), "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
+    return docs.mapInArrow(run, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
 
 def hot_words(uni: DataFrame, n: int, parts: int) -> np.ndarray:
@@ -188,7 +188,7 @@ def bigrams(docs: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
             "c": pa.array(np.concatenate([n[k], size]).astype(np.int64)),
         })
 
-    return docs.mapInArrow(lean(run), PACKED).select("part", "a", "b", "c", "d").groupBy("part").applyInArrow(reduce, "kind int, p long, w long, c long")
+    return docs.mapInArrow(run, PACKED).select("part", "a", "b", "c", "d").groupBy("part").applyInArrow(reduce, "kind int, p long, w long, c long")
 
 
 def discounts(n: dict[int, int]) -> dict[int, float]:
@@ -246,7 +246,7 @@ def _keyed(delta: DataFrame) -> DataFrame:
             key = pair_hash(t.column(0).to_numpy().view(np.uint64), t.column(1).to_numpy().view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), t.column(2)], names=["key", "delta"])
 
-    return delta.mapInArrow(lean(run), "key long, delta double")
+    return delta.mapInArrow(run, "key long, delta double")
 
 
 def _placed(frame: DataFrame, kind: int, parts: int) -> DataFrame:
@@ -261,7 +261,7 @@ def _placed(frame: DataFrame, kind: int, parts: int) -> DataFrame:
                 o = np.argsort(part, kind="stable")
                 yield _batch([(k, at, [x.tobytes() for x in got]) for k, at, got in _rows(kind, part[o], [key[o], *[c[o] for c in cols]])])
 
-    return frame.mapInArrow(lean(run), PACKED)
+    return frame.mapInArrow(run, PACKED)
 
 
 #: Kinds of packed rows in scoring.
@@ -344,7 +344,7 @@ def score(docs: DataFrame, words: DataFrame, pairs: DataFrame, n: int, v: int) -
             "score": pa.array(np.concatenate([add(total), np.zeros(m)])),
         })
 
-    every = docs.select("text", "doc_id").mapInArrow(lean(send), PACKED).union(_placed(words, WORD_TABLE, parts)).union(_placed(pairs, PAIR_TABLE, parts))
+    every = docs.select("text", "doc_id").mapInArrow(send, PACKED).union(_placed(words, WORD_TABLE, parts)).union(_placed(pairs, PAIR_TABLE, parts))
     got = every.groupBy("part").applyInArrow(meet, "row long, doc_id long, n_tokens long, n_known long, base_score double, score double")
     return got.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *[F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base_score", "score")])
 

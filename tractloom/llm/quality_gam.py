@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from tractloom.llm import textscan as ts
 from tractloom.llm import textstats as st
-from tractloom.llm.runtime import arrow_pass, freed, held_out
+from tractloom.llm.runtime import arrow_pass, held_out
 from tractloom.llm.toxicity import labelled, sigmoid
 
 FEATURES = (
@@ -191,7 +191,6 @@ def fit(docs: DataFrame, labels: DataFrame) -> Gam:
     texts, y = labelled(docs, labels, "quality", TRAIN_DOCS)
     model = train(all_features(pa.array(texts, pa.large_string())), y.astype(np.float64))
     del texts
-    freed()
     return model
 
 
@@ -214,5 +213,10 @@ def score(docs: DataFrame, model: Gam, carry: list[str]) -> DataFrame:
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted of every document. Null and empty texts get the score of no words; repeated rows score alike."""
+    """doc_id, held_out, score, predicted of every document.
+
+    Null and empty texts get the score of no words; a text of any length is measured whole; repeated rows score alike,
+    and texts that fall into the same bins tie; an empty table gives no rows; other columns are not carried, so their
+    names can't clash. Without both labels every text gets the share of good ones.
+    """
     return score(docs, fit(docs, labels), ["doc_id"]).select("doc_id", held_out(4).alias("held_out"), "_out.*")

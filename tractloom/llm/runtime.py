@@ -23,6 +23,8 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir names no folder that all machines share")
         where = TEST_CHECKPOINTS
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(where)
@@ -75,37 +77,6 @@ def short_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def lean(run: Callable) -> Callable:
-    """run, and then its memory given back to the system: workers live on between tasks, and what they keep adds up."""
-
-    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            yield from run(batches)
-        finally:
-            pa.default_memory_pool().release_unused()
-            _trim()
-
-    return wrapped
-
-
-def freed() -> None:
-    """The same for the driver, after it trained a model."""
-    import gc
-
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    _trim()
-
-
-def _trim() -> None:
-    """Hands freed memory back to the system, where the C library can."""
-    import ctypes
-
-    libc = ctypes.CDLL(None)
-    if hasattr(libc, "malloc_trim"):
-        libc.malloc_trim(0)
-
-
 def arrow_pass(
     df: DataFrame,
     inputs: dict[str, Column],
@@ -134,7 +105,7 @@ def arrow_pass(
             yield pa.RecordBatch.from_arrays([b.column(0), o], names=["_row", "_out"])
 
     short_batches(df.sparkSession)
-    done = src.mapInArrow(lean(run), schema)
+    done = src.mapInArrow(run, schema)
     return done.select(*[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(names)], F.col("_out").alias(out_name(names)))
 
 

@@ -3,10 +3,12 @@
 A text is scored over all its windows of WINDOW words, each STRIDE words after the last, and takes its worst
 window. A word's input is a vector of its own (for the words of the training sample that occur in enough
 documents) beside the mean of vectors of its character trigrams. The network learns from documents, not windows:
-in each step the window that scores highest stands for its document. Of a training document those windows take part
-whose words are the most telling at the outset.
+in each epoch the window that scores highest of all of a document's windows stands for it (in the first epoch, the one
+whose words are the most telling by their log odds).
 
-The training sample is bounded by TRAIN_DOCS; scoring covers every word of every document.
+Only the training sample is bounded, by TRAIN_DOCS documents and TRAIN_BYTES of text; every window of every sampled text
+takes part, and scoring covers every word of every document. VOCABULARY and MIN_DOCS are parameters of the model: they say
+which words and beginnings get a vector of their own; any other word is told by its trigrams.
 """
 
 from __future__ import annotations
@@ -15,20 +17,20 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tractloom.llm import textscan as ts
-from tractloom.llm.runtime import arrow_pass, freed, held_out
+from tractloom.llm.runtime import arrow_pass, held_out
 
 WINDOW, STRIDE = 16, 8
 HIDDEN = 8
 WORD_DIM, CHAR_DIM, CHAR_SLOTS = 8, 6, 2048
 BEGIN_DIM, BEGINS = 6, range(4, 9)
 INPUT_DIM = WORD_DIM + CHAR_DIM + BEGIN_DIM
-#: Labelled documents that training reads at most, windows of one of them, and words with a vector of their own.
-TRAIN_DOCS, TRAIN_WINDOWS, VOCABULARY = 3000, 16, 20_000
+#: Labelled documents and bytes of their texts that training reads at most, and words with a vector of their own.
+TRAIN_DOCS, TRAIN_BYTES, VOCABULARY = 3000, 48 << 20, 20_000
 #: Documents of the sample that a vector needs, and the documents that its first odds are shrunk by.
 MIN_DOCS, PRIOR = 5, 10.0
 EPOCHS, BATCH_DOCS, RATE = 10, 64, 0.01
@@ -178,14 +180,9 @@ class Network:
         return g, dvec, logit
 
 
-def embed(net: Network, b: ts.Bytes, w: ts.Words, used: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, tuple]:
+def embed(net: Network, b: ts.Bytes, w: ts.Words) -> tuple[np.ndarray, np.ndarray, tuple]:
     """Distinct words of a batch: their vectors, which one each word is, and what made the vectors. The last vector is that of no word."""
-    if used is None:
-        _, one, inv = np.unique(w.hash, return_index=True, return_inverse=True)
-    else:  # only these words are looked at
-        _, one, some = np.unique(w.hash[used], return_index=True, return_inverse=True)
-        one, inv = used[one], np.zeros(len(w.hash), np.int64)
-        inv[used] = some
+    _, one, inv = np.unique(w.hash, return_index=True, return_inverse=True)
     word = net.lookup(net.vocabulary, w.hash[one])
     slot, first = trigrams(b, w.start[one], w.end[one])
     begin = net.lookup(net.begins, beginnings(b, w.start[one], w.end[one]))
@@ -251,26 +248,21 @@ def train(texts: list[str | None], labels: np.ndarray, seed: int = 7) -> Network
     # A window's evidence: the summed log odds of its words and of their beginnings, where they speak for toxicity.
     word_odds = np.concatenate([[0], np.maximum(odds, 0)])[net.lookup(vocab, w.hash[one])]
     word_odds += np.maximum(np.concatenate([[0], begin_odds])[net.lookup(net.begins, starts)], 0).max(1)
-    told = np.concatenate([[0], np.cumsum(word_odds[np.searchsorted(w.hash[one], w.hash)])])
-    evidence = told[start + size] - told[start]
-    order = np.lexsort((-evidence, wdoc))
-    rank = np.empty(len(wdoc), np.int64)
-    rank[order] = np.arange(len(wdoc)) - np.flatnonzero(np.diff(wdoc, prepend=-1))[wdoc[order]]
-    fits = rank < TRAIN_WINDOWS
-    start, size, wdoc = start[fits], size[fits], wdoc[fits]
-    n_used = np.zeros(len(w.hash) + 1, np.int64)
-    np.add.at(n_used, start, 1)
-    np.add.at(n_used, start + size, -1)
-    vec, inv, made = embed(net, b, w, np.flatnonzero(np.cumsum(n_used)[:-1] > 0))
+    vec, inv, made = embed(net, b, w)
+    told = np.concatenate([[0], np.cumsum(word_odds[inv])])
+    top = told[start + size] - told[start]
     idx, mask = window_matrix(start, size, inv, len(vec) - 1)
+    idx = idx.astype(np.int32)
     of = np.searchsorted(wdoc, np.arange(b.n + 1))
+    del w, told, inv, doc, h, which, of_doc, starts
     word, slot, tri, begin = made
     mom = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     step = 0
-    for _ in range(EPOCHS):
-        vec = np.concatenate([net.vectors(word, slot, tri, begin), np.zeros((1, INPUT_DIM), np.float32)])
-        xf, xb = vec @ net.p["Wf"] + net.p["bf"], vec @ net.p["Wb"] + net.p["bb"]
-        top = np.concatenate([net.forward(xf, xb, idx[k : k + BLOCK], mask[k : k + BLOCK]) for k in range(0, len(idx), BLOCK)])
+    for epoch in range(EPOCHS):
+        if epoch:
+            vec = np.concatenate([net.vectors(word, slot, tri, begin), np.zeros((1, INPUT_DIM), np.float32)])
+            xf, xb = vec @ net.p["Wf"] + net.p["bf"], vec @ net.p["Wb"] + net.p["bb"]
+            top = np.concatenate([net.forward(xf, xb, idx[k : k + BLOCK], mask[k : k + BLOCK]) for k in range(0, len(idx), BLOCK)])
         best = np.array([of[d] + np.argmax(top[of[d] : of[d + 1]]) for d in range(b.n)])
         perm = rng.permutation(b.n)
         for k in range(0, b.n, BATCH_DOCS):
@@ -337,20 +329,21 @@ def platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(a, 0.05), c
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> tuple[list[str | None], np.ndarray]:
-    """At most limit labelled texts outside the held-out fold, chosen by a hash of their id from the whole label table.
+def labelled(docs: DataFrame, labels: DataFrame, label: str, limit: int, limit_bytes: int = TRAIN_BYTES) -> tuple[list[str | None], np.ndarray]:
+    """Labelled texts outside the held-out fold, whole, in the order of a hash of their id: at most limit, and of at most limit_bytes in all.
 
-    The label rows are chosen first, so that what is joined to the documents (and what comes to the driver) is bounded.
+    The label rows are chosen first, so that what is joined to the documents is bounded in rows; sizes add up before texts travel to the driver.
     """
     chosen = labels.where(F.col(label).isNotNull() & ~held_out(4)).select("doc_id", label).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).toPandas()
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    upto = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    got = found.withColumn("bytes", F.sum(size).over(upto)).where(F.col("bytes") <= limit_bytes).drop("bytes").toPandas()
     return got["text"].tolist(), got[label].to_numpy(np.float32)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Network:
-    net = train(*labelled(docs, labels, "toxic", TRAIN_DOCS))
-    freed()
-    return net
+    return train(*labelled(docs, labels, "toxic", TRAIN_DOCS))
 
 
 OUT = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
@@ -374,8 +367,9 @@ def score(docs: DataFrame, net: Network, carry: list[str]) -> DataFrame:
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every document. Null and empty texts get the score of an empty window; a
-    text of any length is scored over all its windows; repeated rows score alike; an empty table gives no rows. Labels
-    of the held-out fold, of rows without id or label, and of unknown documents are not learned from.
+    text of any length is scored over all its windows; repeated rows score alike, and windows that tie give one score; an
+    empty table gives no rows; other columns are not carried, so their names can't clash. Labels of the held-out fold, of
+    rows without id or label, and of unknown documents are not learned from; of labels that repeat an id, one counts.
     """
     done = score(docs, fit(docs, labels), ["doc_id"])
     return done.select("doc_id", held_out(4).alias("held_out"), "_out.*")
