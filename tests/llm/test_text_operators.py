@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import functools
 import hashlib
 import math
 import random
@@ -146,43 +147,76 @@ def test_kneser_ney_sums_to_one():
 # 4
 
 
-def test_op4_against_brute_force(spark):
+def plain_katz(texts, out):
+    """Probabilities of a trigram Katz model by dictionaries: texts, and which of them are held out."""
+    n1, n2, n3 = collections.Counter(), collections.Counter(), collections.Counter()
+    for i, t in texts.items():
+        if not out[i]:
+            x = ["\0S", "\0S", *t]
+            n1.update(t)
+            n2.update(zip(x[1:], t, strict=False))
+            n3.update(zip(x, x[1:], t, strict=False))
+    n, v = sum(n1.values()), len(n1)
+    seen = {1: collections.defaultdict(dict), 2: collections.defaultdict(dict)}
+    for (b, w), c in n2.items():
+        seen[1][b,][w] = c
+    for (a, b, w), c in n3.items():
+        seen[2][a, b][w] = c
+    ratio = {k: katz.discounts(collections.Counter(min(c, 7) for c in t.values())) for k, t in ((1, n2), (2, n3))}
+
+    @functools.cache
+    def context(h):
+        """Shares of the words seen after h, and the weight of backing off."""
+        after, d = seen[len(h)].get(h, {}), ratio[len(h)]
+        if not after:
+            return {}, 1.0
+        total = sum(after.values())
+        share = {w: d.get(c, 1.0) * c / total for w, c in after.items()}
+        mass = sum(share.values())
+        if mass > 1 - 1e-6:
+            share = {w: s * (1 - 1 / (len(share) + 1)) / mass for w, s in share.items()}
+        return share, (1 - sum(share.values())) / (1 - sum(prob(h[1:], w) for w in share))
+
+    def prob(h, w):
+        if not h:
+            return (n1.get(w, 0) + 1) / (n + v + 1)
+        share, alpha = context(h)
+        return share[w] if w in share else alpha * prob(h[1:], w)
+
+    return prob, n1, n
+
+
+@pytest.mark.parametrize("parts", ["3", "40"])
+def test_op4_against_brute_force(spark, parts):
+    """With 40 partitions frequent words are hot, and are dealt over several parts."""
     d = pd.read_parquet(f"{SF}/documents.parquet")
+    key, old = "spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set(key, parts)
     got = queries.op4_language_model(spark, SF).toPandas().set_index("doc_id")
+    spark.conf.set(key, old)
     text = {i: [*words(t), "\0E"] for i, t in zip(d.doc_id, d.text, strict=True)}
     out = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in text}
-    uni, pair = collections.Counter(), collections.Counter()
-    for i, t in text.items():
-        if not out[i]:
-            uni.update(t)
-            pair.update(zip(["\0S", *t[:-1]], t, strict=True))
-    n, v = sum(uni.values()), len(uni)
-    ratio = katz.discounts(collections.Counter(min(c, 7) for c in pair.values()))
-    ctx, s2, s1, k = collections.Counter(), collections.Counter(), collections.Counter(), collections.Counter()
-    for (p, _), c in pair.items():
-        ctx[p] += c
-    p1 = lambda w: (uni.get(w, 0) + 1) / (n + v + 1)
-    for (p, w), c in pair.items():
-        if c >= katz.LEAST:
-            s2[p] += ratio.get(c, 1.0) * c / ctx[p]
-            s1[p] += p1(w)
-            k[p] += 1
-    scale = {p: (1 - 1 / (k[p] + 1)) / s2[p] if s2[p] > 1 - 1e-6 else 1.0 for p in s2}
-    alpha = {p: (1 - s2[p] * scale[p]) / (1 - s1[p]) for p in s2}
-
-    def prob(p, w):
-        c = pair.get((p, w), 0)
-        return ratio.get(c, 1.0) * c / ctx[p] * scale[p] if c >= katz.LEAST else alpha.get(p, 1.0) * p1(w)
-
-    for p in ["\0S", "the", "of"]:  # probabilities after a context sum to one, with one unknown word
-        assert sum(prob(p, w) for w in uni) + alpha.get(p, 1.0) * p1("\0unknown") == pytest.approx(1, abs=1e-9)
+    prob, n1, n = plain_katz(text, out)
+    for h in [("\0S",), ("the",), ("\0S", "\0S"), ("of", "the"), ("never", "seen")]:  # with one unknown word, probabilities sum to one
+        assert sum(prob(h, w) for w in n1) + prob(h, "\0unknown") == pytest.approx(1, abs=1e-9)
+    assert len(got) == len(text)
     for i, t in text.items():
-        r = got.loc[i]
-        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(t), sum(w in uni for w in t), n, out[i])
-        assert r.base_score == pytest.approx(sum(math.log10(p1(w)) for w in t)) and r.score == pytest.approx(sum(math.log10(prob(p, w)) for p, w in zip(["\0S", *t[:-1]], t, strict=True)))
+        r, x = got.loc[i], ["\0S", "\0S", *t]
+        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(t), sum(w in n1 for w in t), n, out[i])
+        assert r.base_score == pytest.approx(sum(math.log10(prob((), w)) for w in t))
+        assert r.score == pytest.approx(sum(math.log10(prob((a, b), w)) for a, b, w in zip(x, x[1:], t, strict=False)), rel=1e-6)
     assert (got[got.held_out].score > got[got.held_out].base_score).mean() > 0.6
 
 
+def test_packed_columns():
+    rnd = np.random.default_rng(0)
+    for n in (0, 1, 700):
+        head, tail = np.sort(rnd.integers(0, 40, n)).astype(np.uint64), rnd.integers(0, 2**32, n).astype(np.uint64)
+        o = np.lexsort((tail, head))
+        assert all((x == y).all() for x, y in zip(katz.ungrouped(*katz.grouped(head[o], tail[o])), (head[o], tail[o]), strict=True))
+        assert (katz.spread(katz.squeeze(tail)) == tail).all()
+
+
 # 1 and 9
 
 
