@@ -109,6 +109,18 @@ def packed(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(cols, names=["part", "kind", "pack", "r", "x", *BLOBS])
 
 
+#: Low bits of a sum that aren't sent: 28 bits of its fraction are left.
+CUT = np.uint64(24)
+
+
+def sums_out(x: np.ndarray) -> bytes:
+    return squeeze(np.ascontiguousarray(x, np.float64).view(np.uint64) >> CUT)
+
+
+def sums_in(raw: bytes) -> np.ndarray:
+    return (spread(raw) << CUT).view(np.float64)
+
+
 def joined(found: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.uint64), *found])
 
@@ -500,7 +512,7 @@ def gains(model: Model, packs_: DataFrame) -> DataFrame:
             doc = spread(raw[4]).astype(np.int64)
             here = np.flatnonzero(np.bincount(doc))
             sums = np.bincount(doc, known.gain(a, b, spread(raw[3])))[here]
-            rows.append((None, TOKENS, asked.column("pack")[k].as_py(), None, None, [squeeze(here), sums.tobytes()]))
+            rows.append((None, TOKENS, asked.column("pack")[k].as_py(), None, None, [squeeze(np.diff(here, prepend=0)), sums_out(sums)]))
         return pa.Table.from_batches([packed(rows)])
 
     asked = packs_.mapInArrow(send, ROW).union(model.hot.where(F.col("kind") == HOT_PAIRS))
@@ -531,7 +543,7 @@ def scored(model: Model, packs_: DataFrame) -> DataFrame:
         score = base.copy()
         parts = [(blobs[0][k].as_py(), blobs[1][k].as_py()) for k in np.flatnonzero(kind == TOKENS).tolist()]
         for docs, sums in sorted(parts):  # in one order, so that sums don't depend on how rows arrive
-            score[spread(docs).astype(np.int64)] += np.frombuffer(sums, np.float64)
+            score[np.cumsum(spread(docs)).astype(np.int64)] += sums_in(sums)
         none = (spread(flags) & np.uint64(2)) > 0
         return pa.table({
             "doc_id": pa.array(np.frombuffer(ids, np.int64), mask=none), "n_tokens": pa.array(spread(n).astype(np.int64)), "n_known": pa.array(spread(known).astype(np.int64)),
