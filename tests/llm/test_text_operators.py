@@ -8,6 +8,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -281,6 +282,35 @@ def test_main_text():
     assert html_text.main_text("<article><p>short</p></article") == "short"
 
 
+LONG = "This paragraph, which is long enough, has commas, words and all that an article needs to be found by its score."
+
+
+def test_main_text_of_other_pages():
+    m = html_text.main_text
+    assert m(f"<div><datalist><option>A</datalist><article><p>{LONG}</p></article></div>") == LONG
+    assert m(f'<select><option>x<option>y</select><div class="social-history"><p>{LONG}</p><p>{LONG}</p></div>') == f"{LONG}\n\n{LONG}"
+    assert m(f'<div class="footer"><p>{LONG}</p></div>') == LONG  # a name alone doesn't empty a page
+    assert m(f"<main><p>{LONG}</p><math>x</math><object><p>{LONG}</p></object></main>") == f"{LONG}\n\nx\n\n{LONG}"
+    assert m(f'<div id=a><div class="comment-body"><p>{LONG}</p></div></div><div><p>{LONG} 2</p></div>') == LONG + " 2"
+    assert m(f"<div><p>{LONG}</p></div><p>2 < 3 &lt; 4</p>") == LONG
+    # Scored, without any article element.
+    assert m(f"<div><ul>{'<li><a href=x>Some link of a menu, long</a>' * 9}</ul></div><div>{f'<p>{LONG}</p>' * 3}</div><div><p>Short.</p></div>") == "\n\n".join([LONG] * 3)
+
+
+def test_articles_renamed(spark):
+    """Without article elements the containers' scores find the same texts."""
+    p = pd.read_parquet("/root/testdata/sf0.01/pages.parquet").html
+    same = [html_text.main_text(h) == html_text.main_text(h.replace("<article", "<div").replace("</article", "</div")) for h in p]
+    assert sum(same) == len(same)
+
+
+@pytest.mark.parametrize("page", ["<div>" * 200_000 + "deep", "<a " * 200_000, '<a "' * 200_000, "<p><ul><li>" * 60_000, "<td>x</tr>" * 100_000, "<![" * 100_000, "<b title='" + "<i x=\"" * 100_000])
+def test_html_in_linear_time(page):
+    start = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - start < 8
+
+
 def test_op2(spark):
     p = pd.read_parquet(f"{SF}/pages.parquet")
     got = queries.op2_html_extraction(spark, SF).toPandas().set_index("page_id")
