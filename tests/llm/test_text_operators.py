@@ -115,6 +115,36 @@ def test_secrets_are_learned(spark):
     assert red == 'some words token = "[SECRET]" and more'
 
 
+def test_other_kinds_are_learned(spark):
+    """Labelers of each kind tell what is meant from what only looks like it."""
+    rnd = random.Random(2)
+    num = lambda k: "".join(rnd.choice("0123456789") for _ in range(k))
+    good = [
+        lambda: ("number", f"please call ({num(3)}) {num(3)}-{num(4)}"), lambda: ("name", "a letter signed by Dr. Thomas " + rnd.choice(["Miller", "Weber", "Lopez"])),
+        lambda: ("address", f"my address: {num(3)} Green {rnd.choice(['Hill', 'Oak'])} Street, in town"), lambda: ("spelled", "mail me (john.doe [at] example [dot] com)"),
+    ]
+    bad = [lambda: "table" + "".join(f" {num(2)}" for _ in range(10)) + " of numbers", lambda: "we stayed on page 12 and looked at it", lambda: "1 2 3 4 5"]
+    rows, want = [], {}
+    for k in range(200):
+        kind, t = good[k % 4]()
+        rows.append((k, t))
+        want[k] = kind
+    rows += [(1000 + k, bad[k % 3]()) for k in range(150)]
+    got = {r["doc_id"]: r for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(want[k] in got[k]["spans"] and got[k]["n_spans"] == 1 for k in want)
+    assert not any(got[1000 + k]["spans"] for k in range(150))
+
+
+def test_overlaps_in_linear_time():
+    t = " ".join(f"+1 (017) 555-7{k:03d} a{k}bcdefghijklmn" for k in range(1000)) + ".a" * 100_000 + "1@" * 50_000
+    start = time.process_time()
+    base = pii.base_spans(t)
+    found = pii.candidates(t, base)
+    assert len(base) == 1000 and sum(k == pii.SECRET for _, k, *_ in found) == 1000
+    assert all(e <= s or z <= b for s, _, e in base[:50] for b, _, z, *_ in found)
+    assert time.process_time() - start < 8
+
+
 # 10
 
 
