@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from tractloom.llm import textscan as ts
 from tractloom.llm import textstats as st
 from tractloom.llm.runtime import arrow_pass, held_out
-from tractloom.llm.toxicity import labelled, sigmoid
+from tractloom.llm.toxicity import labelled, trained, sigmoid
 
 FEATURES = (
     "log_words", "word_length", "word_length_spread", "symbol_share", "upper_share", "digit_share", "bang_share", "stop_share",
@@ -187,11 +187,12 @@ def train(x: np.ndarray, y: np.ndarray) -> Gam:
     return m
 
 
+def _train(texts: pa.Array, y: np.ndarray) -> Gam:
+    return train(all_features(texts), y.astype(np.float64))
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Gam:
-    texts, y = labelled(docs, labels, "quality", TRAIN_DOCS)
-    model = train(all_features(pa.array(texts, pa.large_string())), y.astype(np.float64))
-    del texts
-    return model
+    return trained(labelled(docs, labels, "quality", TRAIN_DOCS), _train)
 
 
 OUT = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])

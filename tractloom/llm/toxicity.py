@@ -13,7 +13,8 @@ which words and beginnings get a vector of their own; any other word is told by
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -218,11 +219,12 @@ def worst_windows(net: Network, texts: pa.Array) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0)
 
 
-def train(texts: list[str | None], labels: np.ndarray, seed: int = 7) -> Network:
+def train(texts: pa.Array | list[str | None], labels: np.ndarray, seed: int = 7) -> Network:
     """A network from labelled texts; without both labels it scores every text alike, by their share."""
     rng = np.random.default_rng(seed)
     y = np.asarray(labels, np.float32)
-    b = ts.as_bytes(pa.array(texts, pa.large_string()))
+    texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+    b = ts.as_bytes(texts)
     w = ts.all_words(b, ts.ALNUM_WORDS)
     share = float(y.mean()) if len(y) else 0.0
     h, doc = distinct(w.hash, w.doc)
@@ -289,7 +291,7 @@ def train(texts: list[str | None], labels: np.ndarray, seed: int = 7) -> Network
                 s += 0.001 * (grad * grad - s)
                 net.p[name] -= (RATE * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-6)).astype(np.float32)
     # A last fit of two numbers puts the worst window's logit on the scale of document labels.
-    x = worst_windows(net, pa.array(texts, pa.large_string()))
+    x = worst_windows(net, texts)
     net.slope, net.shift = platt(x, y)
     return net
 
@@ -329,21 +331,34 @@ def platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(a, 0.05), c
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, limit: int, limit_bytes: int = TRAIN_BYTES) -> tuple[list[str | None], np.ndarray]:
-    """Labelled texts outside the held-out fold, whole, in the order of a hash of their id: at most limit, and of at most limit_bytes in all.
+def labelled(docs: DataFrame, labels: DataFrame, label: str, limit: int, limit_bytes: int = TRAIN_BYTES) -> DataFrame:
+    """(text, label): labelled texts outside the held-out fold, whole, in the order of a hash of their id: at most limit, and of at most limit_bytes in all.
 
-    The label rows are chosen first, so that what is joined to the documents is bounded in rows; sizes add up before texts travel to the driver.
+    The label rows are chosen first, so that what is joined to the documents is bounded in rows.
     """
     chosen = labels.where(F.col(label).isNotNull() & ~held_out(4)).select("doc_id", label).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     size = F.coalesce(F.octet_length("text"), F.lit(0))
     upto = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    got = found.withColumn("bytes", F.sum(size).over(upto)).where(F.col("bytes") <= limit_bytes).drop("bytes").toPandas()
-    return got["text"].tolist(), got[label].to_numpy(np.float32)
+    return found.withColumn("bytes", F.sum(size).over(upto)).where(F.col("bytes") <= limit_bytes).select("text", F.col(label).cast("float").alias("label"))
+
+
+def trained(sample: DataFrame, train_: Callable) -> object:
+    """train_(texts, labels) over a bounded sample, in one task of its own; only the model comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        texts = [pa.array([], pa.string()), *[b.column(0) for b in got]]
+        y = [np.zeros(0, np.float32), *[b.column(1).to_numpy(zero_copy_only=False) for b in got]]
+        model = train_(pa.chunked_array([x.cast(pa.large_string()) for x in texts]).combine_chunks(), np.concatenate(y))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    rows = sample.coalesce(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(rows[0]["model"]) if rows else train_(pa.array([], pa.large_string()), np.zeros(0, np.float32))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Network:
-    return train(*labelled(docs, labels, "toxic", TRAIN_DOCS))
+    return trained(labelled(docs, labels, "toxic", TRAIN_DOCS), train)
 
 
 OUT = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
