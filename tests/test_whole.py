@@ -1,4 +1,4 @@
-"""Queries that take whole tables, where their namesakes with SQL take a part; worked out by brute force."""
+"""Queries over whole tables, worked out by brute force."""
 
 from __future__ import annotations
 
@@ -44,10 +44,10 @@ def test_mdf_of_whole_paths(spark, lines):
     p = {k: even(v) for k, v in lines.items()}
     want = {(a, b): mdf(p[a], p[b]) for a, b in combinations(sorted(p), 2)}
     assert any(len(v) != 20 for v in lines.values())
-    every = {(r.a, r.b): r.mdf for r in got(spark, "mdf_pairs_whole").itertuples()}
+    every = {(r.a, r.b): r.mdf for r in got(spark, "mdf_pairs").itertuples()}
     assert set(every) == set(want)
     assert every == pytest.approx(want, abs=1e-4)
-    near = {(r.a, r.b): r.mdf for r in got(spark, "mdf_pairs_near_whole").itertuples()}
+    near = {(r.a, r.b): r.mdf for r in got(spark, "mdf_pairs_near").itertuples()}
     assert near == pytest.approx({k: v for k, v in want.items() if v < 60}, abs=1e-4)
 
 
@@ -57,7 +57,7 @@ def test_reproducibility_of_whole_paths(spark, lines):
     one, two = [k for k in p if k % 2 == 0], [k for k in p if k % 2 == 1]
     overlap = np.mean([min(mdf(p[a], p[b]) for b in two) < 60 for a in one])
     l1, l2 = (np.mean([length[k] for k in x]) for x in (one, two))
-    r = got(spark, "reproducibility_whole").iloc[0]
+    r = got(spark, "reproducibility").iloc[0]
     assert r.overlap == pytest.approx(overlap, abs=1e-6) and r.length_difference == pytest.approx(abs(l1 - l2) / max(l1, l2), abs=1e-6)
     assert r.dice == pytest.approx(2 * min(len(one), len(two)) / len(p), abs=1e-6)
 
@@ -71,7 +71,7 @@ def test_short_paths_keep_their_links(spark):
 def test_statistics_take_all_features_and_labels(spark):
     x = inp.table(spark, SF, "embeddings").toPandas()
     width, labels = len(x["embedding"].iloc[0]), set(x["label"])
-    assert len(got(spark, "combat_standardize_whole")) == len(x) * width
+    assert len(got(spark, "combat_standardize")) == len(x) * width
     assert set(got(spark, "permutation_mean_diff_whole")["feature"]) == set(range(width))
     b = got(spark, "bootstrap_ci_whole")
     assert set(zip(b["label"], b["feature"], strict=True)) == {(k, f) for k in labels for f in range(width)}
@@ -109,17 +109,17 @@ def test_correlation_by_label_equals_one_label_alone(spark):
 def test_every_row_is_gradient_vertex_or_seed(spark):
     n, voxels = inp.table(spark, SF, "embeddings").count(), inp.volume(spark, SF).count()
     g = got(spark, "gradient_quality").iloc[0]
-    assert g["n_b0"] + g["n_dwi"] == n == len(got(spark, "bval_rounding_whole"))
-    assert len(got(spark, "vertex_curvature")) == n and len(got(spark, "face_areas_whole")) == n - 2
+    assert g["n_b0"] + g["n_dwi"] == n == len(got(spark, "bval_rounding"))
+    assert len(got(spark, "vertex_curvature")) == n and len(got(spark, "face_areas")) == n - 2
     assert got(spark, "track_probabilistic")["seed_id"].nunique() == voxels
-    assert got(spark, "track_relational_k_steps_whole")["seed_id"].nunique() == voxels
+    assert got(spark, "track_relational_k_steps")["seed_id"].nunique() == voxels
 
 
 def test_vulnerability_is_degree_times_betweenness(spark):
     e = inp.graph(spark, SF).toPandas()
     g = gr.Graph(e["i"].to_numpy(), e["j"].to_numpy(), e["weight"].to_numpy())
     want = sorted((g.betweenness() * g.adj.sum(1)).tolist(), reverse=True)[:15]
-    assert got(spark, "vulnerability_top_whole")["vulnerability"].tolist() == pytest.approx(want, abs=1e-6)
+    assert got(spark, "vulnerability_top")["vulnerability"].tolist() == pytest.approx(want, abs=1e-6)
 
 
 def test_resilience_is_what_is_left_after_removal(spark):
@@ -154,11 +154,3 @@ def test_levels_beyond_the_bound_are_refused(spark):
         hz.design(s, ["site", "age"])
     assert len(hz.design(s.where("id < 1000"), ["site", "age"]).first()["x"]) == 1 + 999 + 1
     assert len(hz.design(s.where("id < 9"), ["age"]).first()["x"]) == 9 and len(hz.design(s.where("id < 10"), ["age"]).first()["x"]) == 2
-
-
-def test_pairs_seen_once_are_in_the_language_model(spark):
-    katz = pytest.importorskip("tractloom.llm.katz")
-    d = spark.createDataFrame([(t, False) for t in ("a b c", "a b d", "e f", "g h i", "a b")], "text string, skip boolean")
-    pairs = katz.model(d)[1]
-    assert pairs.count() == len({p for t in ("a b c", "a b d", "e f", "g h i", "a b") for p in zip(["<", *t.split()], [*t.split(), ">"], strict=True)})
-    assert 0 < katz.discounts({1: 100, 2: 40, 3: 20, 6: 5})[1] < 1

@@ -92,14 +92,19 @@ def bundle_stats(spark: SparkSession, d: str) -> DataFrame:
     return b.select("n", *[r(c, 4).alias(c) for c in b.columns if c not in ("n", "total_length")], r("total_length", 3).alias("total_length"))
 
 
-HEAD = POINTS + """,
-lim AS (SELECT * FROM pts WHERE pos <= 20),
-h AS (SELECT sl_id, list({'x': x, 'y': y, 'z': z} ORDER BY pos) AS p FROM lim GROUP BY 1 HAVING count(*) = 20)"""
+#: Every whole path at 20 points, evenly by arc length.
+EVEN = STEPS + """,
+a AS (SELECT sl_id, pos, x, y, z, sum(coalesce(sqrt(dx*dx+dy*dy+dz*dz), 0)) OVER (PARTITION BY sl_id ORDER BY pos) AS s FROM st),
+seg AS (SELECT *, lead(s) OVER w AS s2, lead(x) OVER w AS x2, lead(y) OVER w AS y2, lead(z) OVER w AS z2, max(s) OVER (PARTITION BY sl_id) AS total FROM a WINDOW w AS (PARTITION BY sl_id ORDER BY pos)),
+want AS (SELECT DISTINCT sl_id, total, CAST(unnest(range(0, 20)) AS BIGINT) AS k FROM seg),
+ev AS (SELECT want.sl_id, k, arg_min(x + (x2 - x) * (want.total * k / 19 - s) / (s2 - s), pos) AS x, arg_min(y + (y2 - y) * (want.total * k / 19 - s) / (s2 - s), pos) AS y, arg_min(z + (z2 - z) * (want.total * k / 19 - s) / (s2 - s), pos) AS z
+  FROM want JOIN seg ON want.sl_id = seg.sl_id AND s2 > s AND want.total * k / 19 <= s2 + 1e-9 GROUP BY 1, 2),
+h AS (SELECT sl_id, list({'x': x, 'y': y, 'z': z} ORDER BY k) AS p FROM ev GROUP BY 1)"""
 
 
-def _heads(spark: SparkSession, d: str) -> DataFrame:
-    """The first 20 points of the paths that have them, as SQL cuts them. The queries named _whole take all points of all paths."""
-    return inp.streamlines(spark, d).where(F.size("points") >= 20).select("sl_id", F.slice("points", 1, 20).alias("points"))
+def _evened(spark: SparkSession, d: str) -> DataFrame:
+    """Every whole path at 20 points, dealt out once so that a join of all pairs doesn't resample again."""
+    return sl.evenly(inp.streamlines(spark, d), 20).repartition("sl_id")
 
 
 MDF = """least(
@@ -107,28 +112,13 @@ MDF = """least(
   list_sum(list_transform(range(1, 21), lambda k: sqrt(pow(a.p[k].x - b.p[21 - k].x, 2) + pow(a.p[k].y - b.p[21 - k].y, 2) + pow(a.p[k].z - b.p[21 - k].z, 2))))) / 20"""
 
 
-@query(f"WITH {HEAD}, m AS (SELECT a.sl_id AS a, b.sl_id AS b, {MDF} AS mdf FROM h a JOIN h b ON a.sl_id < b.sl_id) SELECT a, b, round(mdf, 4) AS mdf FROM m")
+@query(f"WITH {EVEN}, m AS (SELECT a.sl_id AS a, b.sl_id AS b, {MDF} AS mdf FROM h a JOIN h b ON a.sl_id < b.sl_id) SELECT a, b, round(mdf, 4) AS mdf FROM m")
 def mdf_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return sl.mdf_pairs(_heads(spark, d)).select("a", "b", r("mdf", 4).alias("mdf"))
-
-
-@query(f"WITH {HEAD}, m AS (SELECT a.sl_id AS a, b.sl_id AS b, {MDF} AS mdf FROM h a JOIN h b ON a.sl_id < b.sl_id) SELECT a, b, round(mdf, 4) AS mdf FROM m WHERE mdf < 60")
-def mdf_pairs_near(spark: SparkSession, d: str) -> DataFrame:
-    return sl.mdf_pairs(_heads(spark, d), most=60.0).select("a", "b", r("mdf", 4).alias("mdf"))
-
-
-def _evened(spark: SparkSession, d: str) -> DataFrame:
-    """Every whole path at 20 points, dealt out once so that a join of all pairs doesn't resample again."""
-    return sl.evenly(inp.streamlines(spark, d), 20).repartition("sl_id")
-
-
-@query()
-def mdf_pairs_whole(spark: SparkSession, d: str) -> DataFrame:
     return sl.mdf_pairs(_evened(spark, d)).select("a", "b", r("mdf", 4).alias("mdf"))
 
 
-@query()
-def mdf_pairs_near_whole(spark: SparkSession, d: str) -> DataFrame:
+@query(f"WITH {EVEN}, m AS (SELECT a.sl_id AS a, b.sl_id AS b, {MDF} AS mdf FROM h a JOIN h b ON a.sl_id < b.sl_id) SELECT a, b, round(mdf, 4) AS mdf FROM m WHERE mdf < 60")
+def mdf_pairs_near(spark: SparkSession, d: str) -> DataFrame:
     return sl.mdf_pairs(_evened(spark, d), most=60.0).select("a", "b", r("mdf", 4).alias("mdf"))
 
 
@@ -139,18 +129,11 @@ def run_consistency(spark: SparkSession, d: str) -> DataFrame:
     return c.select("runs", r("mean_count", 4).alias("mean_count"), r("cv_count").alias("cv_count"), r("mean_length", 4).alias("mean_length"), r("cv_length").alias("cv_length"), "consistent")
 
 
-@query(f"""WITH {HEAD}, s AS (SELECT sl_id, p FROM h WHERE sl_id % 2 = 0), t AS (SELECT sl_id, p FROM h WHERE sl_id % 2 = 1),
-o AS (SELECT a.sl_id, min({MDF}) AS d FROM s a, t b GROUP BY 1), hl AS (SELECT sl_id, sum(sqrt(dx*dx+dy*dy+dz*dz)) AS l FROM (SELECT sl_id, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy, z - lag(z) OVER w AS dz FROM lim WHERE sl_id IN (SELECT sl_id FROM h) WINDOW w AS (PARTITION BY sl_id ORDER BY pos)) GROUP BY 1),
+@query(f"""WITH {EVEN}, s AS (SELECT sl_id, p FROM h WHERE sl_id % 2 = 0), t AS (SELECT sl_id, p FROM h WHERE sl_id % 2 = 1),
+o AS (SELECT a.sl_id, min({MDF}) AS d FROM s a, t b GROUP BY 1), hl AS (SELECT sl_id, length AS l FROM len),
 x AS (SELECT (SELECT avg(CASE WHEN d < 60 THEN 1.0 ELSE 0.0 END) FROM o) AS overlap, (SELECT count(*) FROM s) AS n1, (SELECT count(*) FROM t) AS n2, (SELECT avg(l) FROM hl WHERE sl_id % 2 = 0) AS l1, (SELECT avg(l) FROM hl WHERE sl_id % 2 = 1) AS l2)
 SELECT round(overlap, 6) AS overlap, round(2.0::DOUBLE * least(n1, n2) / (n1 + n2), 6) AS dice, round(abs(l1 - l2) / greatest(l1, l2), 6) AS length_difference, overlap > 0.5 AND 2.0 * least(n1, n2) / (n1 + n2) > 0.7 AS reproducible FROM x""")
 def reproducibility(spark: SparkSession, d: str) -> DataFrame:
-    h = _heads(spark, d)
-    c = sl.reproducibility(h.where("sl_id % 2 = 0"), h.where("sl_id % 2 = 1"), near=60.0, sample=100_000)
-    return c.select(*[r(x).alias(x) for x in ("overlap", "dice", "length_difference")], "reproducible")
-
-
-@query()
-def reproducibility_whole(spark: SparkSession, d: str) -> DataFrame:
     x = inp.streamlines(spark, d)
     c = sl.reproducibility(x.where("sl_id % 2 = 0"), x.where("sl_id % 2 = 1"), near=60.0, sample=100_000, n_points=20)
     return c.select(*[r(x).alias(x) for x in ("overlap", "dice", "length_difference")], "reproducible")
@@ -246,10 +229,10 @@ pg AS (SELECT perm, id, CASE WHEN perm = 0 THEN grp WHEN row_number() OVER (PART
   FROM sub, (SELECT CAST(unnest(range(0, {n} + 1)) AS INTEGER) AS perm))"""
 
 
-@query(f"""WITH {PERM.replace('{n}', '200')}, s AS (SELECT perm, feature, avg(value) FILTER (pg.grp = 0) - avg(value) FILTER (pg.grp = 1) AS stat FROM two JOIN pg USING (id) WHERE feature < 4 GROUP BY 1, 2),
+@query(f"""WITH {PERM.replace('{n}', '200')}, s AS (SELECT perm, feature, avg(value) FILTER (pg.grp = 0) - avg(value) FILTER (pg.grp = 1) AS stat FROM two JOIN pg USING (id) GROUP BY 1, 2),
 o AS (SELECT feature, stat AS observed FROM s WHERE perm = 0) SELECT feature, round(observed, 6) AS observed, round(avg(CASE WHEN abs(stat) >= abs(observed) THEN 1.0 ELSE 0.0 END), 6) AS p FROM s JOIN o USING (feature) WHERE perm > 0 GROUP BY 1, 2""")
 def permutation_mean_diff(spark: SparkSession, d: str) -> DataFrame:
-    v = _two_groups(spark, d).where("feature < 4").select("id", "feature", "value")
+    v = _two_groups(spark, d).select("id", "feature", "value")
     return st.permutation_test(v, _subjects(spark, d), 200).select("feature", r("observed").alias("observed"), r("p").alias("p"))
 
 
@@ -293,13 +276,13 @@ def fdr_by(spark: SparkSession, d: str) -> DataFrame:
     return st.fdr(_pseudo_p(spark, d), 0.2, "by").select("id", r("p").alias("p"), F.col("rank").cast("long").alias("rank"), r("adjusted").alias("adjusted"), "rejected")
 
 
-@query(f"""WITH {FEATURES}, v AS (SELECT label, id, value FROM feat WHERE feature = 0), x AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY id) - 1 AS k, count(*) OVER (PARTITION BY label) AS n FROM v),
-s AS (SELECT label, r, CAST(floor(CAST(('0x' || substr(md5('42:' || r || ':' || k), 1, 12)) AS BIGINT)::DOUBLE / 281474976710656.0 * n) AS BIGINT) AS k FROM x, (SELECT unnest(range(1, 101)) AS r)),
-m AS (SELECT label, r, avg(value) AS mean FROM s JOIN x USING (label, k) GROUP BY 1, 2), ci AS (SELECT label, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high FROM m GROUP BY 1)
-SELECT label, round(avg(value), 6) AS estimate, round(any_value(low), 6) AS low, round(any_value(high), 6) AS high FROM v JOIN ci USING (label) GROUP BY 1""")
+@query(f"""WITH {FEATURES}, x AS (SELECT label, feature, id, value, row_number() OVER (PARTITION BY label, feature ORDER BY id) - 1 AS k, count(*) OVER (PARTITION BY label, feature) AS n FROM feat),
+s AS (SELECT label, feature, r, CAST(floor(CAST(('0x' || substr(md5('42:' || r || ':' || k), 1, 12)) AS BIGINT)::DOUBLE / 281474976710656.0 * n) AS BIGINT) AS k FROM x, (SELECT unnest(range(1, 101)) AS r)),
+m AS (SELECT label, feature, r, avg(value) AS mean FROM s JOIN x USING (label, feature, k) GROUP BY 1, 2, 3), ci AS (SELECT label, feature, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high FROM m GROUP BY 1, 2)
+SELECT label, feature, round(avg(value), 6) AS estimate, round(any_value(low), 6) AS low, round(any_value(high), 6) AS high FROM x JOIN ci USING (label, feature) GROUP BY 1, 2""")
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    v = inp.features(spark, d).where("feature = 0").select("label", "id", "value")
-    return st.bootstrap(v, ["label"], 100, level=0.95).select("label", *[r(c).alias(c) for c in ("estimate", "low", "high")])
+    v = inp.features(spark, d).select("label", "feature", "id", "value")
+    return st.bootstrap(v, ["label", "feature"], 100, level=0.95).select("label", "feature", *[r(c).alias(c) for c in ("estimate", "low", "high")])
 
 
 @query()
@@ -330,11 +313,12 @@ def spearman(spark: SparkSession, d: str) -> DataFrame:
     return st.correlation(_pairs(spark, d), ["label"], "spearman").select("label", "n", r("r").alias("r"))
 
 
-@query(f"""{PAIR}, x AS (SELECT * FROM p, (SELECT CAST(unnest(range(0, 101)) AS INTEGER) AS perm) WHERE label = 0), l AS (SELECT perm, a, row_number() OVER (PARTITION BY perm ORDER BY id) AS k FROM x),
-q AS (SELECT perm, b, CASE WHEN perm = 0 THEN row_number() OVER (PARTITION BY perm ORDER BY id) ELSE row_number() OVER (PARTITION BY perm ORDER BY md5('42:' || perm || ':' || id), id) END AS k FROM x), c AS (SELECT perm, count(*) AS n, corr(a, b) AS r FROM l JOIN q USING (perm, k) GROUP BY 1)
-SELECT (SELECT n FROM c WHERE perm = 0) AS n, round((SELECT r FROM c WHERE perm = 0), 6) AS r, round(avg(CASE WHEN abs(r) >= abs((SELECT r FROM c WHERE perm = 0)) THEN 1.0 ELSE 0.0 END), 6) AS p FROM c WHERE perm > 0""")
+@query(f"""{PAIR}, x AS (SELECT * FROM p, (SELECT CAST(unnest(range(0, 101)) AS INTEGER) AS perm)), l AS (SELECT label, perm, a, row_number() OVER (PARTITION BY label, perm ORDER BY id) AS k FROM x),
+q AS (SELECT label, perm, b, CASE WHEN perm = 0 THEN row_number() OVER (PARTITION BY label, perm ORDER BY id) ELSE row_number() OVER (PARTITION BY label, perm ORDER BY md5('42:' || perm || ':' || id), id) END AS k FROM x),
+c AS (SELECT label, perm, count(*) AS n, corr(a, b) AS r FROM l JOIN q USING (label, perm, k) GROUP BY 1, 2), o AS (SELECT label, n, r AS seen FROM c WHERE perm = 0)
+SELECT label, any_value(o.n) AS n, round(any_value(seen), 6) AS r, round(avg(CASE WHEN abs(r) >= abs(seen) THEN 1.0 ELSE 0.0 END), 6) AS p FROM c JOIN o USING (label) WHERE perm > 0 GROUP BY 1""")
 def corr_permutation(spark: SparkSession, d: str) -> DataFrame:
-    return st.correlation_permutation(_pairs(spark, d).where("label = 0"), 100).select("n", r("r").alias("r"), r("p").alias("p"))
+    return st.correlation_permutation(_pairs(spark, d), 100, keys=("label",)).select("label", "n", r("r").alias("r"), r("p").alias("p"))
 
 
 @query()

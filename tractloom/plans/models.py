@@ -38,13 +38,8 @@ bp2 AS (SELECT *, (t2 * n / delta * gamma + gb) / (t2 * n / delta + 1) AS gs FRO
 bp AS (SELECT *, (mu * (mu * mu / v + 1) + (zz - 2 * gs * n * gamma + n * gs * gs) / 2) / (mu * mu / v + 2 + n / 2.0 - 1) AS ds FROM bp2)"""
 
 
-@query(f"WITH {Z} SELECT id, feature, round(z, 6) AS z FROM z WHERE feature < 8")
-def combat_standardize(spark: SparkSession, d: str) -> DataFrame:
-    return hz.standardized(_batched(spark, d).where("feature < 8")).select("id", "feature", r("z").alias("z"))
-
-
 @query(f"WITH {Z} SELECT id, feature, round(z, 6) AS z FROM z")
-def combat_standardize_whole(spark: SparkSession, d: str) -> DataFrame:
+def combat_standardize(spark: SparkSession, d: str) -> DataFrame:
     return hz.standardized(_batched(spark, d)).select("id", "feature", r("z").alias("z"))
 
 
@@ -232,59 +227,33 @@ def histogram_correction(spark: SparkSession, d: str) -> DataFrame:
     return vx.histogram_corrected(inp.volume(spark, d)).select("x", "y", "z", r("value", 4).alias("value"))
 
 
-def _gradients(spark: SparkSession, d: str, every: bool = True) -> DataFrame:
-    """A direction per embedding; not every: those below 60 only, as SQL takes them."""
+def _gradients(spark: SparkSession, d: str) -> DataFrame:
+    """A direction per embedding."""
     e = table(spark, d, "embeddings")
-    e = e if every else e.where("vec_id < 60")
     return e.select(F.col("vec_id").cast("int").alias("vol"), (F.col("label") * 500.0 + F.col("vec_id") % 7 * 3).alias("bval"), *[F.col("embedding")[k].cast("double").alias("g" + c) for k, c in enumerate("xyz")])
 
 
-GRAD = "gr AS (SELECT CAST(vec_id AS INTEGER) AS vol, label * 500.0::DOUBLE + vec_id % 7 * 3 AS bval, CAST(embedding[1] AS DOUBLE) AS gx, CAST(embedding[2] AS DOUBLE) AS gy, CAST(embedding[3] AS DOUBLE) AS gz FROM embeddings WHERE vec_id < 60)"
+GRAD = "gr AS (SELECT CAST(vec_id AS INTEGER) AS vol, label * 500.0::DOUBLE + vec_id % 7 * 3 AS bval, CAST(embedding[1] AS DOUBLE) AS gx, CAST(embedding[2] AS DOUBLE) AS gy, CAST(embedding[3] AS DOUBLE) AS gz FROM embeddings)"
 
 
 @query(f"WITH {GRAD} SELECT CASE WHEN bval <= 50 THEN 'b0' ELSE 'b' || CAST(round_even(bval / 100, 0) * 100 AS INTEGER) END AS shell, count(*) AS n, min(bval) AS min_b, max(bval) AS max_b FROM gr GROUP BY 1")
 def bval_shells(spark: SparkSession, d: str) -> DataFrame:
-    return vx.shells(_gradients(spark, d, False))
+    return vx.shells(_gradients(spark, d))
 
 
 @query(f"WITH {GRAD} SELECT vol, CASE WHEN bval < 50 THEN 0.0 ELSE round_even(bval / 5, 0) * 5 END AS bval FROM gr")
 def bval_rounding(spark: SparkSession, d: str) -> DataFrame:
-    return vx.rounded_bvals(_gradients(spark, d, False)).select("vol", "bval")
+    return vx.rounded_bvals(_gradients(spark, d)).select("vol", "bval")
 
 
 @query(f"""WITH {GRAD}, w AS (SELECT vol, bval, sqrt(gx*gx+gy*gy+gz*gz) AS n, gx, gy, gz FROM gr) SELECT vol, bval, round(CASE WHEN bval < 50 THEN 0 ELSE gx / n END, 6) + 0.0 AS gx, round(CASE WHEN bval < 50 THEN 0 ELSE gy / n END, 6) + 0.0 AS gy, round(CASE WHEN bval < 50 THEN 0 ELSE gz / n END, 6) + 0.0 AS gz FROM w""")
 def bvec_normalization(spark: SparkSession, d: str) -> DataFrame:
-    return vx.normalized_bvecs(_gradients(spark, d, False)).select("vol", "bval", *[r(c).alias(c) for c in ("gx", "gy", "gz")])
+    return vx.normalized_bvecs(_gradients(spark, d)).select("vol", "bval", *[r(c).alias(c) for c in ("gx", "gy", "gz")])
 
 
 @query(f"""WITH {GRAD}, w AS (SELECT vol, sqrt(gx*gx+gy*gy+gz*gz) AS n, gx, gy, gz FROM gr WHERE bval > 50)
 SELECT a.vol AS a, b.vol AS b, round(sqrt(pow(a.gx-b.gx,2)+pow(a.gy-b.gy,2)+pow(a.gz-b.gz,2)), 5) AS distance, round(degrees(acos(least(1.0, greatest(0.0, abs(a.gx*b.gx+a.gy*b.gy+a.gz*b.gz) / (a.n*b.n))))), 4) AS angle FROM w a JOIN w b ON a.vol < b.vol""")
 def gradient_angles(spark: SparkSession, d: str) -> DataFrame:
-    return vx.direction_pairs(_gradients(spark, d, False)).select("a", "b", r("distance", 5).alias("distance"), r("angle", 4).alias("angle"))
-
-
-def _every(name: str) -> str:
-    """The SQL of a query over every gradient."""
-    return SQL[name].replace(" WHERE vec_id < 60", "")
-
-
-@query(_every("bval_shells"))
-def bval_shells_whole(spark: SparkSession, d: str) -> DataFrame:
-    return vx.shells(_gradients(spark, d))
-
-
-@query(_every("bval_rounding"))
-def bval_rounding_whole(spark: SparkSession, d: str) -> DataFrame:
-    return vx.rounded_bvals(_gradients(spark, d)).select("vol", "bval")
-
-
-@query(_every("bvec_normalization"))
-def bvec_normalization_whole(spark: SparkSession, d: str) -> DataFrame:
-    return vx.normalized_bvecs(_gradients(spark, d)).select("vol", "bval", *[r(c).alias(c) for c in ("gx", "gy", "gz")])
-
-
-@query(_every("gradient_angles"))
-def gradient_angles_whole(spark: SparkSession, d: str) -> DataFrame:
     return vx.direction_pairs(_gradients(spark, d)).select("a", "b", r("distance", 5).alias("distance"), r("angle", 4).alias("angle"))
 
 

@@ -77,13 +77,8 @@ def _step(k: int) -> str:
     return f"t{k} AS (SELECT seed_id, t.x + 0.5 * ({sign}) * dx AS x, t.y + 0.5 * ({sign}) * dy AS y, t.z + 0.5 * ({sign}) * dz AS z, ({sign}) * dx AS px, ({sign}) * dy AS py, ({sign}) * dz AS pz FROM t{k - 1} t JOIN peak p ON p.x = round_even(t.x, 0)::INT AND p.y = round_even(t.y, 0)::INT AND p.z = round_even(t.z, 0)::INT)"
 
 
-@query(f"WITH {VOLUME}, {DIR}, t0 AS (SELECT x * 10000 + y * 100 + z AS seed_id, x::DOUBLE + 0.1 AS x, y::DOUBLE + 0.2 AS y, z::DOUBLE AS z, 0.0::DOUBLE AS px, 0.0::DOUBLE AS py, 0.0::DOUBLE AS pz FROM vol WHERE (x + y + z) % 5 = 0), {', '.join(_step(k) for k in range(1, 7))} " + " UNION ALL ".join(f"SELECT CAST(seed_id AS BIGINT) AS seed_id, {k} AS pos, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM t{k}" for k in range(7)))
+@query(f"WITH {VOLUME}, {DIR}, t0 AS (SELECT x * 10000 + y * 100 + z AS seed_id, x::DOUBLE + 0.1 AS x, y::DOUBLE + 0.2 AS y, z::DOUBLE AS z, 0.0::DOUBLE AS px, 0.0::DOUBLE AS py, 0.0::DOUBLE AS pz FROM vol), {', '.join(_step(k) for k in range(1, 7))} " + " UNION ALL ".join(f"SELECT CAST(seed_id AS BIGINT) AS seed_id, {k} AS pos, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM t{k}" for k in range(7)))
 def track_relational_k_steps(spark: SparkSession, d: str) -> DataFrame:
-    return _steps(spark, d, inp.volume(spark, d).where("(x + y + z) % 5 = 0"))
-
-
-@query(SQL["track_relational_k_steps"].replace(" WHERE (x + y + z) % 5 = 0", ""))
-def track_relational_k_steps_whole(spark: SparkSession, d: str) -> DataFrame:
     return _steps(spark, d, inp.volume(spark, d))
 
 
@@ -116,10 +111,9 @@ def surface_mesh_summary(spark: SparkSession, d: str) -> DataFrame:
     return sf.surface_summary(v.select("vid", "x", "y", "z"), f.select("fid", "v0", "v1", "v2"))
 
 
-def _tetra(spark: SparkSession, d: str, every: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Vertices from embeddings, joined into a strip of faces; not every: those below 100 only, as SQL takes them."""
+def _tetra(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Vertices from embeddings, joined into a strip of faces."""
     e = table(spark, d, "embeddings")
-    e = e if every else e.where("vec_id < 100")
     v = e.select(F.col("vec_id").alias("vid"), *[F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate("xyz")])
     ids = v.select("vid")
     f = ids.select(F.col("vid").alias("fid"), F.col("vid").alias("v0"), (F.col("vid") + 1).alias("v1"), (F.col("vid") + 2).alias("v2"))
@@ -128,29 +122,19 @@ def _tetra(spark: SparkSession, d: str, every: bool = True) -> tuple[DataFrame,
     return v, f.select("fid", "v0", "v1", "v2")
 
 
-STRIP = """v AS (SELECT vec_id AS vid, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings WHERE vec_id < 100),
+STRIP = """v AS (SELECT vec_id AS vid, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings),
 c AS (SELECT a.vid AS fid, a.vid AS v0, b.vid AS v1, c.vid AS v2, b.x-a.x AS ux, b.y-a.y AS uy, b.z-a.z AS uz, c.x-a.x AS wx, c.y-a.y AS wy, c.z-a.z AS wz, c.x-b.x AS tx, c.y-b.y AS ty, c.z-b.z AS tz FROM v a JOIN v b ON b.vid = a.vid + 1 JOIN v c ON c.vid = a.vid + 2),
 ar AS (SELECT *, sqrt(pow(uy*wz-uz*wy, 2) + pow(uz*wx-ux*wz, 2) + pow(ux*wy-uy*wx, 2)) AS dbl FROM c)"""
 
 
 @query(f"WITH {STRIP} SELECT fid, round(dbl / 2, 6) AS area FROM ar")
 def face_areas(spark: SparkSession, d: str) -> DataFrame:
-    return sf.face_areas(*_tetra(spark, d, False)).select("fid", r("area").alias("area"))
-
-
-@query(SQL["face_areas"].replace(" WHERE vec_id < 100", ""))
-def face_areas_whole(spark: SparkSession, d: str) -> DataFrame:
     return sf.face_areas(*_tetra(spark, d)).select("fid", r("area").alias("area"))
 
 
 @query(f"""WITH {STRIP}, h AS (SELECT v1 AS i, v2 AS j, (ux*wx+uy*wy+uz*wz) / greatest(dbl, 1e-12) / 2 AS w FROM ar UNION ALL SELECT v2, v0, -(ux*tx+uy*ty+uz*tz) / greatest(dbl, 1e-12) / 2 FROM ar UNION ALL SELECT v0, v1, (wx*tx+wy*ty+wz*tz) / greatest(dbl, 1e-12) / 2 FROM ar),
 b AS (SELECT i, j, w FROM h UNION ALL SELECT j, i, w FROM h UNION ALL SELECT i, i, -w FROM h UNION ALL SELECT j, j, -w FROM h) SELECT i, j, round(sum(w), 4) AS w FROM b GROUP BY 1, 2""")
 def cotangent_laplacian(spark: SparkSession, d: str) -> DataFrame:
-    return sf.cotangent_laplacian(*_tetra(spark, d, False)).select("i", "j", r("w", 4).alias("w"))
-
-
-@query(SQL["cotangent_laplacian"].replace(" WHERE vec_id < 100", ""))
-def cotangent_laplacian_whole(spark: SparkSession, d: str) -> DataFrame:
     return sf.cotangent_laplacian(*_tetra(spark, d)).select("i", "j", r("w", 4).alias("w"))
 
 
@@ -253,14 +237,8 @@ def metrics_mapping(spark: SparkSession, d: str) -> DataFrame:
     return rp.metrics_mapping(_summary(spark, d))
 
 
-@query(f"WITH {GRAPH} SELECT node, CAST(degree * strength AS DOUBLE) AS vulnerability FROM deg ORDER BY 2 DESC, 1 LIMIT 15")
-def vulnerability_top(spark: SparkSession, d: str) -> DataFrame:
-    """Degree times strength, as SQL has it, which is not vulnerability: that is vulnerability_top_whole."""
-    return rp.vulnerability(gr.degree_strength(inp.graph(spark, d)).select("node", "degree", F.col("strength").alias("betweenness")))
-
-
 @query()
-def vulnerability_top_whole(spark: SparkSession, d: str) -> DataFrame:
+def vulnerability_top(spark: SparkSession, d: str) -> DataFrame:
     """Degree times betweenness."""
     one = inp.graph(spark, d).withColumn("subject", F.lit("all"))
     return rp.vulnerability(gr.node_metrics(one, ["subject"])).select("node", r("vulnerability").alias("vulnerability"))
