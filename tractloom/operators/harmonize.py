@@ -80,3 +80,9 @@ def combat_with_covariates(values: DataFrame, subjects: DataFrame, covariates: l
     """ComBat after a fit of batch and covariates together; subjects (id, batch, covariates)."""
     clean = residuals(values.select("id", "feature", "value"), design(subjects.withColumn("batch", F.col("batch").cast("string")), ["batch", *covariates]))
     return combat(clean.join(subjects.select("id", "batch"), "id"))
+
+
+def harmonized_edges(edges: DataFrame) -> DataFrame:
+    """Connectomes without their batch's effect: each edge i < j is a feature. edges (id, batch, i, j, weight), zeros included."""
+    e = edges.where("i < j").select("id", "batch", F.struct("i", "j").alias("feature"), F.col("weight").alias("value"))
+    return combat(e).select("id", "batch", F.col("feature.i").alias("i"), F.col("feature.j").alias("j"), F.col("value").alias("weight"))

@@ -123,16 +123,65 @@ def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
     return p.select("id", F.col("prediction").cast("int").alias("predicted"), s.confidence(F.col("p")).alias("confidence"), s.entropy(F.col("p")).alias("uncertainty"), F.col("p").alias("probabilities"))
 
 
+def scores(predicted: DataFrame) -> DataFrame:
+    """accuracy, precision, recall and f1 of predictions (label, prediction); 0 where there is nothing to divide by."""
+    hit = lambda p, y: F.count_if((F.col("prediction") == p) & (F.col("label") == y)).cast("double")
+    c = predicted.agg(hit(1, 1).alias("tp"), hit(1, 0).alias("fp"), hit(0, 1).alias("fn"), hit(0, 0).alias("tn"))
+    ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    tp, fp, fn, tn = (F.col(k) for k in ("tp", "fp", "fn", "tn"))
+    return c.select(ratio(tp + tn, tp + fp + fn + tn).alias("accuracy"), ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"))
+
+
 def cross_validate(df: DataFrame, k: int = 5, kind: str = "logistic_l2", c: float = 1.0, seed: int = 42) -> DataFrame:
-    """fold, auc, accuracy. Scaling is fitted inside each fold. df (id, label 0/1, features)."""
+    """fold, auc, accuracy, precision, recall and f1 of the rows left out, and the same of the training rows (train_). Scaling is fitted inside each fold. df (id, label 0/1, features)."""
     x = with_vector(stratified_folds(df, k, seed=seed)).cache()
     rows = []
+    names = ("accuracy", "precision", "recall", "f1")
     for f in range(k):
         train, test = x.where(F.col("fold") != f), x.where(F.col("fold") == f)
-        out = classifier(kind, c, train.count(), seed=seed).fit(train).transform(test)
-        acc = out.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
-        rows.append((f, float(BinaryClassificationEvaluator(labelCol="label").evaluate(out)), float(acc)))
-    return df.sparkSession.createDataFrame(rows, "fold int, auc double, accuracy double")
+        model = classifier(kind, c, train.count(), seed=seed).fit(train)
+        row = [f]
+        for part in (test, train):
+            out = model.transform(part)
+            row += [float(BinaryClassificationEvaluator(labelCol="label").evaluate(out)), *map(float, scores(out).first())]
+        rows.append(tuple(row))
+    x.unpersist()
+    return df.sparkSession.createDataFrame(rows, "fold int, " + ", ".join(f"{p}{n} double" for p in ("", "train_") for n in ("auc", *names)))
+
+
+def auc_permutation(df: DataFrame, n_perm: int = 100, k: int = 5, kind: str = "logistic_l2", c: float = 1.0, seed: int = 42) -> DataFrame:
+    """observed mean AUC over folds and its p: the share, of all labellings and the real one, that do as well. Labels are dealt anew by a hash order of the ids."""
+    spark = df.sparkSession
+    rows = df.select("id", "label", "features").cache()
+    mean = lambda x: cross_validate(x, k, kind, c, seed).agg(F.avg("auc")).first()[0]
+    observed, hits = mean(rows), 0
+    for p in range(1, n_perm + 1):
+        place = running(rows.withColumn("_u", rng.uniform(seed, F.lit(p), "id")), "_u", {"_place": F.lit(1)}, ties=("id",))
+        label = running(rows.select("id", "label"), "id", {"_place": F.lit(1)}).select("_place", "label")
+        hits += mean(place.drop("label", "_u").join(label, "_place").drop("_place")) >= observed
+    rows.unpersist()
+    return spark.createDataFrame([(float(observed), (hits + 1) / (n_perm + 1), n_perm)], "observed double, p double, n_perm int")
+
+
+def permutation_importance(model: PipelineModel, df: DataFrame, seed: int = 42) -> DataFrame:
+    """(feature, importance): how much the AUC falls when a feature's values are dealt to other rows. df (id, label, features); all features in one pass."""
+    x = df.select("id", "label", "features")
+    each = x.select("id", "label", "features", F.posexplode("features").alias("feature", "value"))
+    u = rng.uniform(seed, "feature", "id")
+    at = each.withColumn("u", u)
+    w = Window.partitionBy("feature")
+    to = at.select("feature", F.row_number().over(w.orderBy("u", "id")).alias("place"), F.col("value").alias("other"))
+    swapped = each.withColumn("place", F.row_number().over(w.orderBy("id"))).join(to, ["feature", "place"])
+    swapped = swapped.select("feature", "id", "label", F.transform("features", lambda v, k: F.when(k == F.col("feature"), F.col("other")).otherwise(v)).alias("features"))
+    real = x.select(F.lit(-1).alias("feature"), "id", "label", "features")
+    p = model.transform(with_vector(real.union(swapped))).select("feature", "label", vector_to_array("probability")[1].alias("score"))
+    # AUC by counts of each score: pairs of a positive and a negative row in the right order, ties half.
+    n = p.groupBy("feature", "score").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
+    below = Window.partitionBy("feature").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    pairs = n.withColumn("less", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    auc = pairs.groupBy("feature").agg((F.sum(F.col("pos") * (F.col("less") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("auc"))
+    base = auc.where("feature < 0").select(F.col("auc").alias("base"))
+    return auc.where("feature >= 0").crossJoin(F.broadcast(base)).select("feature", (F.col("base") - F.col("auc")).alias("importance"))
 
 
 def grid_search(df: DataFrame, grid: tuple[float, ...] = (0.01, 0.1, 1.0, 10.0), k: int = 3, seed: int = 42) -> tuple[PipelineModel, DataFrame]:

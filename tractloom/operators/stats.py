@@ -311,3 +311,16 @@ def nbs_in_batches(wide: DataFrame, subjects: DataFrame, n_nodes: int, threshold
 
     perms = spark.range(0, n_perm + 1, 1, max(1, n_perm // batch)).select(F.col("id").cast("int").alias("perm"))
     return perms.mapInPandas(run, "perm int, size long")
+
+
+def effect_size_interval(values: DataFrame, keys: list[str], n_boot: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
+    """Cohen's d with its percentile interval: both groups are drawn anew, each by its own order of ids. values (keys, group 0/1, id, value)."""
+    by = [*keys, "group"]
+    w = Window.partitionBy(*by)
+    x = values.select(*by, "id", "value", (F.row_number().over(w.orderBy("id")) - 1).alias("k"), F.count(F.lit(1)).over(w).alias("n"))
+    u = rng.uniform(seed, "r", "k")
+    drawn = x.select(*by, "k", "n", F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("r")).select(*by, "r", F.floor(u * F.col("n")).cast("int").alias("k"))
+    d = effect_sizes(drawn.join(x.select(*by, F.col("k").cast("int").alias("k"), "value"), [*by, "k"]), [*keys, "r"])
+    tail = (1 - level) / 2
+    ci = d.groupBy(*keys).agg(F.percentile("cohens_d", tail).alias("low"), F.percentile("cohens_d", 1 - tail).alias("high"))
+    return effect_sizes(values, keys).select(*keys, "cohens_d").join(ci, keys)

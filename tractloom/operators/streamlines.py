@@ -253,3 +253,16 @@ def cluster(lines: DataFrame, key: str, near: float, n_points: int = 20, method:
 
     kinds = dict(lines.dtypes)
     return lines.select(key, "sl_id", "points").groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, sl_id {kinds['sl_id']}, cluster long, medoid {kinds['sl_id']}")
+
+
+def roi_pass(points: DataFrame, roi: DataFrame) -> DataFrame:
+    """Ids of the paths with any point in a voxel of the region. points (sl_id, x, y, z), voxels by truncation."""
+    at = points.select("sl_id", *[g.vox_trunc(F.col(c)).alias(c) for c in "xyz"]).distinct()
+    return at.join(roi.select("x", "y", "z").distinct(), ["x", "y", "z"], "left_semi").select("sl_id").distinct()
+
+
+def verdict(plausible: DataFrame, covered: DataFrame, lengths: DataFrame, consistent: DataFrame) -> DataFrame:
+    """The four checks of a set of paths (one row each), and whether all of them passed."""
+    checks = plausible.select("plausible").crossJoin(covered.select("sufficient")).crossJoin(lengths.select(F.col("plausible").alias("usual"))).crossJoin(consistent.select("consistent"))
+    every = [F.coalesce(c, F.lit(False)) for c in ("plausible", "sufficient", "usual", "consistent")]
+    return checks.select(*[x.alias(n) for x, n in zip(every, ("plausible", "covered", "lengths", "consistent"), strict=True)], (every[0] & every[1] & every[2] & every[3]).alias("passed"))

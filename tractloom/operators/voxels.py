@@ -372,3 +372,21 @@ def rotate_bvec(vec: Column, affine_3x3: np.ndarray) -> list[Column]:
     u, _, vt = np.linalg.svd(np.asarray(affine_3x3, float))
     r = u @ vt
     return [sum((float(r[i, j]) * vec[j] for j in range(3)), F.lit(0.0)) for i in range(3)]
+
+
+def tensors(fits: DataFrame, keys: list[str]) -> DataFrame:
+    """The six entries of V diag(l) V' from eigenvalues l (array of 3) and eigenvectors v (array of 9, a vector in each column)."""
+    entry = lambda i, j: sum((F.col("l")[k] * F.col("v")[3 * i + k] * F.col("v")[3 * j + k] for k in range(3)), F.lit(0.0))
+    return fits.select(*keys, *[entry(i, j).alias("d" + "xyz"[i] + "xyz"[j]) for i in range(3) for j in range(i, 3)])
+
+
+def slice_at(volume: DataFrame, axis: str, at: float) -> DataFrame:
+    """The plane at a share (0 to 1) of an axis: that of place trunc(at (n - 1)), where the axis has places 0 to n - 1."""
+    n = volume.agg((F.max(axis) + 1).alias("_places"))
+    return volume.crossJoin(F.broadcast(n)).where(F.col(axis) == F.floor(F.lit(float(at)) * (F.col("_places") - 1))).drop("_places", axis)
+
+
+def mask_parts(mask: DataFrame) -> DataFrame:
+    """Number of connected parts of a mask, and the share of the largest one."""
+    c = label_components(mask).groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    return c.agg(F.count(F.lit(1)).alias("parts"), F.coalesce(F.try_divide(F.max("n").cast("double"), F.sum("n")), F.lit(0.0)).alias("largest_share"))

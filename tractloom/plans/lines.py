@@ -11,7 +11,7 @@ from tractloom.operators import connectome as cn
 from tractloom.operators import stats as st
 from tractloom.operators import streamlines as sl
 from tractloom.plans import inputs as inp
-from tractloom.plans.inputs import FEATURES, MASK, PATHS, POINTS, r, table
+from tractloom.plans.inputs import FEATURES, MASK, PATHS, POINTS, VOLUME, r, table
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -194,6 +194,40 @@ def plausibility(spark: SparkSession, d: str) -> DataFrame:
     return p.select("n", "outside", "off_mask", "low_fa", r("rate").alias("rate"), "plausible")
 
 
+@query(f"WITH {GRID}, {MASK} SELECT DISTINCT sl_id FROM gp JOIN mask ON mask.x = trunc(gp.x) AND mask.y = trunc(gp.y) AND mask.z = trunc(gp.z) WHERE mask.x < 2")
+def roi_pass(spark: SparkSession, d: str) -> DataFrame:
+    return sl.roi_pass(_grid_points(spark, d), inp.mask(spark, d).where("x < 2"))
+
+
+@query(f"""SELECT p AS plausible, c AS covered, l AS lengths, k AS consistent, p AND c AND l AND k AS passed
+FROM (SELECT plausible AS p FROM ({SQL['plausibility']})), (SELECT sufficient AS c FROM ({SQL['coverage_metrics']})), (SELECT plausible AS l FROM ({SQL['length_check']})), (SELECT consistent AS k FROM ({SQL['run_consistency']}))""")
+def quality_verdict(spark: SparkSession, d: str) -> DataFrame:
+    return sl.verdict(plausibility(spark, d), coverage_metrics(spark, d), length_check(spark, d), run_consistency(spark, d))
+
+
+LABELLED = GRID + f""", {VOLUME}, par AS (SELECT x, y, z, CAST(floor(x / 4.0) * 100 + floor(y / 4.0) * 10 + floor(z / 4.0) AS BIGINT) AS label FROM vol),
+vx AS (SELECT sl_id, pos, CAST(round_even(x, 0) AS INTEGER) AS x, CAST(round_even(y, 0) AS INTEGER) AS y, CAST(round_even(z, 0) AS INTEGER) AS z FROM gp),
+lab AS (SELECT sl_id, pos, CASE WHEN vx.x BETWEEN 0 AND 15 AND vx.y BETWEEN 0 AND 15 AND vx.z BETWEEN 0 AND 7 AND coalesce(label, 0) < 320 THEN coalesce(label, 0) ELSE -1 END AS label FROM vx LEFT JOIN par USING (x, y, z))"""
+
+
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    """Points of the event paths with the label of the grid cell around their nearest voxel."""
+    return cn.label_points(_grid_points(spark, d), cn.grid_parcels(inp.volume(spark, d), 4), (16, 16, 8), 320)
+
+
+@query(f"WITH {LABELLED} SELECT CAST(label AS BIGINT) AS label, count(*) AS n FROM lab GROUP BY 1")
+def point_labels(spark: SparkSession, d: str) -> DataFrame:
+    return _labelled(spark, d).groupBy(F.col("label").cast("long").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {LABELLED}, e AS (SELECT sl_id, arg_min(label, pos) AS a, arg_max(label, pos) AS b, count(*) AS n FROM lab GROUP BY 1)
+SELECT CAST(least(a, b) AS BIGINT) AS i, CAST(greatest(a, b) AS BIGINT) AS j, CAST(count(*) AS DOUBLE) AS weight FROM e WHERE a >= 0 AND b >= 0 AND a <> b AND n >= 2 GROUP BY 1, 2""")
+def connectome_from_points(spark: SparkSession, d: str) -> DataFrame:
+    """From points to edges: nearest parcel of each point, the two ends of each path, one count per path."""
+    p = cn.endpoint_pairs(_labelled(spark, d)).select("sl_id", "a", "b", "n", F.lit(1.0).alias("len"), F.lit(1.0).alias("fa"))
+    return cn.build(p, "count").select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("weight").cast("double").alias("weight"))
+
+
 @query(f"""WITH {POINTS}, o AS (SELECT sl_id, md5('42:' || sl_id) AS h FROM (SELECT DISTINCT sl_id FROM pts)) SELECT sl_id FROM o ORDER BY h, sl_id LIMIT 25""")
 def random_subsample(spark: SparkSession, d: str) -> DataFrame:
     return sl.subsample(inp.streamlines(spark, d).select("sl_id"), 25)
@@ -253,6 +287,16 @@ def effect_sizes(spark: SparkSession, d: str) -> DataFrame:
     return e.select("feature", "n0", "n1", r("difference").alias("difference"), *[r(c, 5).alias(c) for c in ("cohens_d", "hedges_g", "glass_delta", "t")], "df")
 
 
+@query(f"""WITH {TWO}, x AS (SELECT feature, grp, value, row_number() OVER (PARTITION BY feature, grp ORDER BY id) - 1 AS k, count(*) OVER (PARTITION BY feature, grp) AS n FROM two),
+s AS (SELECT feature, grp, r, CAST(floor(CAST(('0x' || substr(md5('42:' || r || ':' || k), 1, 12)) AS BIGINT)::DOUBLE / 281474976710656.0 * n) AS BIGINT) AS k FROM x, (SELECT unnest(range(1, 101)) AS r)),
+m AS (SELECT feature, r, count(*) FILTER (grp = 0) AS n0, count(*) FILTER (grp = 1) AS n1, avg(value) FILTER (grp = 0) AS m0, avg(value) FILTER (grp = 1) AS m1, var_samp(value) FILTER (grp = 0) AS v0, var_samp(value) FILTER (grp = 1) AS v1 FROM s JOIN x USING (feature, grp, k) GROUP BY 1, 2),
+b AS (SELECT feature, (m0 - m1) / sqrt(((n0 - 1) * v0 + (n1 - 1) * v1) / (n0 + n1 - 2)) AS d FROM m), ci AS (SELECT feature, quantile_cont(d, 0.025) AS low, quantile_cont(d, 0.975) AS high FROM b GROUP BY 1),
+o AS (SELECT feature, avg(value) FILTER (grp = 0) - avg(value) FILTER (grp = 1) AS diff, count(*) FILTER (grp = 0) AS n0, count(*) FILTER (grp = 1) AS n1, var_samp(value) FILTER (grp = 0) AS v0, var_samp(value) FILTER (grp = 1) AS v1 FROM two GROUP BY 1)
+SELECT feature, round(diff / sqrt(((n0 - 1) * v0 + (n1 - 1) * v1) / (n0 + n1 - 2)), 5) AS cohens_d, round(low, 5) AS low, round(high, 5) AS high FROM o JOIN ci USING (feature)""")
+def effect_size_ci(spark: SparkSession, d: str) -> DataFrame:
+    return st.effect_size_interval(_two_groups(spark, d), ["feature"], 100).select("feature", *[r(c, 5).alias(c) for c in ("cohens_d", "low", "high")])
+
+
 PV = EFFECT + ", pv AS (SELECT feature AS id, exp(-abs(difference / (pooled * sqrt(1.0 / n0 + 1.0 / n1)))) AS p FROM es)"
 
 

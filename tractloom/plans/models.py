@@ -309,3 +309,33 @@ def orientation_peaks(spark: SparkSession, d: str) -> DataFrame:
     s, b, v = _signals(spark, d)
     op = vx.csd_operator(np.array(b), np.array(v), np.array([1000.0] + [300.0] * 7), order=2)
     return vx.peaks(vx.orientation_coefficients(s, op), 2)
+
+
+@query(f"WITH {VOLUME}, n AS (SELECT max(x) + 1 AS n FROM vol) SELECT y, z, round(value, 5) AS value FROM vol, n WHERE x = floor(0.5::DOUBLE * (n - 1))")
+def volume_slice(spark: SparkSession, d: str) -> DataFrame:
+    return vx.slice_at(inp.volume(spark, d), "x", 0.5).select("y", "z", r("value", 5).alias("value"))
+
+
+_ENTRY = ", ".join(f"round({' + '.join(f'abs(CAST(embedding[{k + 1}] AS DOUBLE)) * CAST(embedding[{4 + 3 * i + k}] AS DOUBLE) * CAST(embedding[{4 + 3 * j + k}] AS DOUBLE)' for k in range(3))}, 6) + 0.0 AS d{'xyz'[i]}{'xyz'[j]}" for i in range(3) for j in range(i, 3))
+
+
+@query(f"SELECT vec_id AS id, {_ENTRY} FROM embeddings")
+def tensor_reconstruction(spark: SparkSession, d: str) -> DataFrame:
+    """Three numbers of an embedding as eigenvalues, the next nine as eigenvectors."""
+    e = F.col("embedding")
+    number = lambda k: e[k].cast("double")
+    fits = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.array(*[F.abs(number(k)) for k in range(3)]).alias("l"), F.array(*[number(3 + k) for k in range(9)]).alias("v"))
+    t = vx.tensors(fits, ["id"])
+    return t.select("id", *[r(c).alias(c) for c in t.columns[1:]])
+
+
+@query()
+def mask_parts(spark: SparkSession, d: str) -> DataFrame:
+    return vx.mask_parts(inp.mask(spark, d))
+
+
+@query()
+def feature_importance(spark: SparkSession, d: str) -> DataFrame:
+    x = _binary(spark, d)
+    model = ml.classifier(n=x.count()).fit(ml.with_vector(x))
+    return ml.permutation_importance(model, x)
