@@ -311,7 +311,7 @@ def orientation_peaks(spark: SparkSession, d: str) -> DataFrame:
     return vx.peaks(vx.orientation_coefficients(s, op), 2)
 
 
-@query(f"WITH {VOLUME}, n AS (SELECT max(x) + 1 AS n FROM vol) SELECT y, z, round(value, 5) AS value FROM vol, n WHERE x = floor(0.5::DOUBLE * (n - 1))")
+@query(f"WITH {VOLUME}, k AS (SELECT max(x) + 1 AS places FROM vol) SELECT y, z, round(value, 5) AS value FROM vol, k WHERE x = floor(0.5::DOUBLE * (places - 1))")
 def volume_slice(spark: SparkSession, d: str) -> DataFrame:
     return vx.slice_at(inp.volume(spark, d), "x", 0.5).select("y", "z", r("value", 5).alias("value"))
 
