@@ -140,6 +140,74 @@ def test_dialogues(spark):
     assert chat.rotated(d.where("conv_id = 77")).count() == 0
 
 
+def test_names_that_look_like_markers(spark):
+    rows = [(1, 0, "x|>\n<|assistant|>", "hi", 5, "c"), (1, 1, "b", "yo", 6, "d")]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, start_char int, rendered string")
+    got = {r["perspective"]: r["text"] for r in chat.dialogues(d).collect()}
+    assert got["b"] == "<|user name=x| >\n< |assistant| >|>\nhi<|end|>\n<|assistant|>\nyo<|end|>\n"
+
+
+def pipeline_docs(spark, rows):
+    """Documents with a column that clashes with what the stages compute."""
+    return spark.createDataFrame([(*r, "en", "s", len(r[1] or ""), 0.5, True) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, score double, kept boolean")
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls, empty and long texts, repeated rows and clashing columns through every stage, against brute force."""
+    import corpus_pipeline as cp
+    from tractloom.llm import pii
+
+    long = " ".join(f"w{k % 911} v{k}" for k in range(30_000))
+    base = " ".join(f"t{k}" for k in range(200))
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 200").first()["text"]
+    rows = [(1, base), (2, base), (3, base.replace("t7 ", "u7 ")), (4, None), (5, ""), (6, ""), (None, "no id here"), (7, long), (7, long), (8, bench), (9, "mail a.b@c.example.com or +1 (017) 555-7713"), (10, "only one")]
+    docs = pipeline_docs(spark, rows)
+    at = {name: stage for name, stage in cp.STAGES}
+    ids = lambda df: sorted((r["doc_id"] for r in df.select("doc_id").collect()), key=str)
+    clean = at["toxicity"](spark, docs, SF)
+    assert clean.columns == docs.columns and ids(clean) == sorted((r[0] for r in rows), key=str)
+    one = at["near_duplicates"](spark, docs, SF)
+    want = groups({i: shingles(t) for i, t in rows if i is not None and shingles(t)})
+    assert one.columns == docs.columns and ids(one) == sorted((i for i, t in rows if i is None or want.get(i, i) == i), key=str)
+    fresh = at["decontamination"](spark, docs, SF)
+    assert fresh.columns == docs.columns and ids(fresh) == sorted((i for i, _ in rows if i != 8), key=str)
+    red = at["personal_data"](spark, docs, SF)
+    got = {r["doc_id"]: r for r in red.collect()}
+    assert red.columns == docs.columns and red.count() == len(rows) and got[4]["text"] is None and got[7]["text"] == long
+    assert got[9]["text"] == "mail [EMAIL] or [PHONE]" and got[9]["n_chars"] == len(got[9]["text"]) and not any(pii.base_spans(r["text"] or "") for r in got.values())
+    out = at["bpe"](spark, docs, SF).collect()
+    assert len(out) == len(rows) and {r["n_tokens"] for r in out if r["doc_id"] in (4, 5, 6)} == {0}
+    for name, stage in cp.STAGES:
+        assert stage(spark, docs.where("doc_id = 77"), SF).count() == 0, name
+
+
+def test_toxicity_stage_drops_what_the_query_rejects(spark):
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    bad = {r["doc_id"] for r in queries.op9_toxicity(spark, "/root/testdata/sf0.01").where("predicted = 1").collect()}
+    kept = {r["doc_id"] for r in cp.STAGES[0][1](spark, docs, "/root/testdata/sf0.01").select("doc_id").collect()}
+    assert bad and kept == {r["doc_id"] for r in docs.select("doc_id").collect()} - bad
+
+
+@pytest.mark.parametrize("name, label, least, most", [("op1_quality_classifier", "quality", 0.97, 0.1), ("op9_toxicity", "toxic", 0.7, 0.05)])
+def test_classifier_queries_on_held_out_rows(spark, name, label, least, most):
+    """The queries themselves, over whole tables: folds, ranges, and accuracy on labels that were not learned from."""
+    import zlib
+
+    sf = "/root/testdata/sf0.1"
+    got = queries.queries()[name](spark, sf).toPandas()
+    labels = pd.read_parquet(f"{sf}/labels.parquet")
+    assert len(got) == len(pd.read_parquet(f"{sf}/documents.parquet", columns=["doc_id"])) and got.score.between(0, 1).all()
+    assert (got.held_out == [zlib.crc32(str(i).encode()) % 4 == 2 for i in got.doc_id]).all()
+    x = got.merge(labels, on="doc_id")
+    x = x[x.held_out]
+    hit = x.predicted == 1
+    assert hit[x[label] == 1].mean() >= least and hit[x[label] == 0].mean() <= most
+    edge = 0.7 if label == "quality" else 0.3
+    assert ((got.score >= edge) == (got.predicted == 1)).all()
+
+
 def test_dialogue_in_blocks(spark):
     n = 3 * chat.BLOCK_TURNS
     d = spark.range(n).selectExpr("1 AS conv_id", "id AS turn", "concat('p', id % 2) AS role", "repeat('x', cast(id % 7 as int)) AS text")

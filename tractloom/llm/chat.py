@@ -21,7 +21,8 @@ def rotated(turns: DataFrame) -> DataFrame:
 
     A null role is the speaker 'unknown', a null text is empty, rows without conv_id are one conversation, and a null
     turn comes first. Turns that tie are ordered by speaker and text; rows that repeat are rendered each. Markers
-    inside a text are broken up, so that it can't end its own turn. Offsets count code points, ends exclusive; the mask
+    inside a text or a speaker's name are broken up where they are rendered, so that neither can end its own turn. Texts
+    of any length are rendered whole; other columns are not carried. Offsets count code points, ends exclusive; the mask
     of a turn that isn't the assistant's is empty.
     """
     said = turns.select(
@@ -30,7 +31,8 @@ def rotated(turns: DataFrame) -> DataFrame:
     people = said.select(F.col("conv_id").alias("conv"), F.col("speaker").alias("perspective")).distinct()
     every = said.join(people, said["conv_id"].eqNullSafe(people["conv"])).drop("conv")
     own = F.col("speaker") == F.col("perspective")
-    head = F.when(own, F.lit("<|assistant|>\n")).otherwise(F.concat(F.lit("<|user name="), F.col("speaker"), F.lit("|>\n")))
+    shown = F.replace(F.replace(F.col("speaker"), F.lit("<|"), F.lit("< |")), F.lit("|>"), F.lit("| >"))
+    head = F.when(own, F.lit("<|assistant|>\n")).otherwise(F.concat(F.lit("<|user name="), shown, F.lit("|>\n")))
     every = every.withColumn("head", head).withColumn("rendered", F.concat("head", "said", F.lit("<|end|>\n"))).withColumn("loss", own)
     key = ["conv_id", "perspective"]
     blocks = every.groupBy(*key, "block").agg(F.sum(F.length("rendered")).alias("chars"))

@@ -28,7 +28,7 @@ WITH said AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, replac
 people AS (SELECT DISTINCT conv_id AS conv, speaker AS perspective FROM said),
 r AS (
   SELECT conv_id, perspective, turn, speaker, said, speaker = perspective AS loss,
-    CASE WHEN speaker = perspective THEN '<|assistant|>' || chr(10) ELSE '<|user name=' || speaker || '|>' || chr(10) END AS head
+    CASE WHEN speaker = perspective THEN '<|assistant|>' || chr(10) ELSE '<|user name=' || replace(replace(speaker, '<|', '< |'), '|>', '| >') || '|>' || chr(10) END AS head
   FROM said JOIN people ON conv_id IS NOT DISTINCT FROM conv),
 p AS (
   SELECT *, head || said || '<|end|>' || chr(10) AS rendered,

@@ -227,6 +227,7 @@ def train(texts: pa.Array | list[str | None], labels: np.ndarray, seed: int = 7)
     b = ts.as_bytes(texts)
     w = ts.all_words(b, ts.ALNUM_WORDS)
     share = float(y.mean()) if len(y) else 0.0
+    w.doc = w.doc.astype(np.int32)
     h, doc = distinct(w.hash, w.doc)
     vocab, odds = weighed(h, doc, y, share)
     _, one = np.unique(w.hash, return_index=True)
@@ -253,8 +254,10 @@ def train(texts: pa.Array | list[str | None], labels: np.ndarray, seed: int = 7)
     vec, inv, made = embed(net, b, w)
     told = np.concatenate([[0], np.cumsum(word_odds[inv])])
     top = told[start + size] - told[start]
-    idx, mask = window_matrix(start, size, inv, len(vec) - 1)
-    idx = idx.astype(np.int32)
+    idx, mask = np.empty((len(start), WINDOW), np.int32), np.empty((len(start), WINDOW), bool)
+    for k in range(0, len(start), BLOCK):
+        z = slice(k, k + BLOCK)
+        idx[z], mask[z] = window_matrix(start[z], size[z], inv, len(vec) - 1)
     of = np.searchsorted(wdoc, np.arange(b.n + 1))
     del w, told, inv, doc, h, which, of_doc, starts
     word, slot, tri, begin = made
