@@ -164,6 +164,58 @@ def test_op10(spark, docs):
         assert not (r.base_failed and r.kept)
 
 
+def plain_kneser_ney(texts):
+    """log10 probability of a class after three others, by dictionaries."""
+    grams = collections.Counter()
+    rows = [[kneser_ney.EDGE] * 3 + [int(kneser_ney.CLASS[c]) for c in t.encode()] for t in texts]
+    for r in rows:
+        grams.update(zip(r, r[1:], r[2:], r[3:], strict=False))
+    counts = {4: grams}
+    for k in (3, 2, 1):
+        counts[k] = collections.Counter(g[1:] for g in counts[k + 1])
+    cut, after = {}, {}
+    for k, c in counts.items():
+        n = [sum(v == j for v in c.values()) for j in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1]) if min(n) else 0
+        raw = [1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]] if min(n) else [0.5, 0.75, 0.9]
+        cut[k] = [min(max(d, lo), hi) for d, lo, hi in zip(raw, (0.05, 0.1, 0.15), (0.95, 1.9, 2.85), strict=True)] if min(n) else raw
+        after[k] = collections.defaultdict(dict)
+        for g, v in c.items():
+            after[k][g[:-1]][g[-1]] = v
+
+    @functools.cache
+    def prob(h, w):
+        k = len(h) + 1
+        lower = prob(h[1:], w) if h else 1 / 64
+        seen = after[k].get(h)
+        if not seen:
+            return lower
+        total, d = sum(seen.values()), cut[k]
+        spare = sum(d[min(v, 3) - 1] for v in seen.values()) / total
+        v = seen.get(w, 0)
+        return (max(v - d[min(v, 3) - 1], 0) / total if v else 0) + spare * lower
+
+    return lambda t: [math.log10(prob(tuple(r[k : k + 3]), r[k + 3])) for r in [[kneser_ney.EDGE] * 3 + [int(kneser_ney.CLASS[c]) for c in t.encode()]] for k in range(len(r) - 3)]
+
+
+def test_op10_perplexity_and_bands_by_brute_force(spark, docs):
+    got = queries.op10_quality_rules(spark, SF).toPandas().set_index("doc_id")
+    ok = {i for i in docs.doc_id if not got.loc[i].base_failed}
+    score = plain_kneser_ney([t for i, t in zip(docs.doc_id, docs.text, strict=True) if i in ok])
+    x = {i: -sum(score(t)) / len(t.encode()) if t else 0.0 for i, t in zip(docs.doc_id, docs.text, strict=True)}
+    assert got.log10_perplexity.to_dict() == pytest.approx(x, abs=1e-4)
+    lang, size = dict(zip(docs.doc_id, docs.lang, strict=True)), {i: len(t.encode()) for i, t in zip(docs.doc_id, docs.text, strict=True)}
+    for name in set(lang.values()):
+        bins = sorted(math.floor(got.loc[i].log10_perplexity / kneser_ney.BIN) for i in ok if lang[i] == name)
+        mid = bins[(len(bins) - 1) // 2]
+        mad = sorted(abs(b - mid) for b in bins)[(len(bins) - 1) // 2]
+        for i in (i for i in lang if lang[i] == name):
+            half = max(kneser_ney.BAND_LEAST, mad * kneser_ney.BIN * kneser_ney.BAND) * math.sqrt(max(1.0, kneser_ney.BAND_CHARS / max(size[i], 1)))
+            r = got.loc[i]
+            assert (r.band_lower, r.band_upper) == pytest.approx((mid * kneser_ney.BIN - half, mid * kneser_ney.BIN + half))
+            assert r.kept == (i in ok and r.band_lower <= r.log10_perplexity <= r.band_upper)
+
+
 def test_kneser_ney_sums_to_one():
     rnd = np.random.default_rng(0)
     b = textscan.as_bytes(pa.array(["".join(rnd.choice(list("abc .\n"), 400)) for _ in range(20)]))

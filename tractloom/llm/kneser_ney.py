@@ -213,7 +213,8 @@ def bands(scored: DataFrame) -> DataFrame:
 def quality_rules(docs: DataFrame) -> DataFrame:
     """doc_id, base counts, base_failed, log10_perplexity, the band and kept of every document.
 
-    A null or empty text has no words and fails the base rules. A null lang is a language of its own. Ties at a
+    A null or empty text has no words and fails the base rules. A null lang is the language ''; texts of any
+    length are scored whole; other columns are not carried. Ties at a
     band's edge are kept. Every row gets its own result, repeated or not; an empty table gives no rows.
     """
     scored = stored(score(docs, train(docs), ["doc_id", "lang"]).select("doc_id", F.coalesce(F.col("lang"), F.lit("")).alias("lang"), "_out.*"), "perplexity")
