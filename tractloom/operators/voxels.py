@@ -374,7 +374,7 @@ def rotate_bvec(vec: Column, affine_3x3: np.ndarray) -> list[Column]:
     return [sum((float(r[i, j]) * vec[j] for j in range(3)), F.lit(0.0)) for i in range(3)]
 
 
-def tensors(fits: DataFrame, keys: list[str]) -> DataFrame:
+def reconstructed(fits: DataFrame, keys: list[str]) -> DataFrame:
     """The six entries of V diag(l) V' from eigenvalues l (array of 3) and eigenvectors v (array of 9, a vector in each column)."""
     entry = lambda i, j: sum((F.col("l")[k] * F.col("v")[3 * i + k] * F.col("v")[3 * j + k] for k in range(3)), F.lit(0.0))
     return fits.select(*keys, *[entry(i, j).alias("d" + "xyz"[i] + "xyz"[j]) for i in range(3) for j in range(i, 3)])

@@ -325,7 +325,7 @@ def tensor_reconstruction(spark: SparkSession, d: str) -> DataFrame:
     e = F.col("embedding")
     number = lambda k: e[k].cast("double")
     fits = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.array(*[F.abs(number(k)) for k in range(3)]).alias("l"), F.array(*[number(3 + k) for k in range(9)]).alias("v"))
-    t = vx.tensors(fits, ["id"])
+    t = vx.reconstructed(fits, ["id"])
     return t.select("id", *[r(c).alias(c) for c in t.columns[1:]])
 
 
