@@ -86,7 +86,7 @@ def upper_triangle(edges: DataFrame, keys: list[str]) -> DataFrame:
 def with_labels(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """Names of both regions; P<index> where there is none."""
     name = lambda c: labels.select(F.col("node").alias(c), F.col("name").alias("name_" + c))
-    got = edges.join(F.broadcast(name("i")), "i", "left").join(F.broadcast(name("j")), "j", "left")
+    got = edges.join(name("i"), "i", "left").join(name("j"), "j", "left")
     return got.select("i", "j", "weight", *[F.coalesce("name_" + c, F.concat(F.lit("P"), F.col(c).cast("string"))).alias("name_" + c) for c in "ij"])
 
 

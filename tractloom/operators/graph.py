@@ -7,6 +7,7 @@ group (subject) in one task, for many graphs of bounded size, and hop distances
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tractloom.operators.connectome import both_ways
+from tractloom.session import checkpoint_folder
 
 INF = float("inf")
 
@@ -30,11 +32,19 @@ def density(edges: DataFrame) -> DataFrame:
 
 
 def triangles(edges: DataFrame) -> DataFrame:
-    """(a < b < c, wab, wac, wbc), each once: paths out of the least node closed by an edge."""
-    e = edges.select("i", "j", "weight")
-    ab, ac = e.toDF("a", "b", "wab"), e.toDF("a", "c", "wac")
-    bc = e.toDF("b", "c", "wbc")
-    return ab.join(ac, "a").where("b < c").join(bc, ["b", "c"])
+    """(a, b, c, wab, wac, wbc), each once: paths out of the lowest node closed by an edge.
+
+    Nodes are ordered by degree, then by number. Edges point to the higher end, so a hub opens few paths: in a graph of m
+    edges no node has more than sqrt(2 m) edges out.
+    """
+    d = degree_strength(edges)
+    ends = edges.join(d.select(F.col("node").alias("i"), F.col("degree").alias("di")), "i").join(d.select(F.col("node").alias("j"), F.col("degree").alias("dj")), "j")
+    i, j = F.struct(F.col("di").alias("k"), F.col("i").alias("n")), F.struct(F.col("dj").alias("k"), F.col("j").alias("n"))
+    e = ends.select(F.least(i, j).alias("p"), F.greatest(i, j).alias("q"), "weight").select(F.col("p.n").alias("i"), F.col("q.n").alias("j"), F.col("q.k").alias("k"), "weight")
+    ab, ac = e.toDF("a", "b", "kb", "wab"), e.toDF("a", "c", "kc", "wac")
+    bc = e.drop("k").toDF("b", "c", "wbc")
+    up = F.struct("kb", "b") < F.struct(F.col("kc").alias("kb"), F.col("c").alias("b"))
+    return ab.join(ac, "a").where(up).join(bc, ["b", "c"]).select("a", "b", "c", "wab", "wac", "wbc")
 
 
 def weighted_clustering(edges: DataFrame) -> DataFrame:
@@ -83,15 +93,13 @@ def modularity(edges: DataFrame, communities: DataFrame, resolution: float = 1.0
     return q.agg(F.sum(F.coalesce("inside", F.lit(0.0)) / F.col("m") - resolution * F.pow(F.col("s") / (2 * F.col("m")), 2)).alias("modularity"))
 
 
-def hop_distances(edges: DataFrame, most: int = 64) -> DataFrame:
-    """(src, dst, hops) of all reachable pairs, by expanding the frontier one join at a time. Each round is checkpointed."""
-    spark = edges.sparkSession
+def hop_distances(edges: DataFrame) -> DataFrame:
+    """(src, dst, hops) of all reachable pairs, by expanding the frontier one join at a time until it is empty. Each round is checkpointed."""
+    checkpoint_folder(edges.sparkSession)
     near = both_ways(edges).select("u", "v").distinct()
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints/tractloom"))
     seen = near.select(F.col("u").alias("src"), F.col("u").alias("dst"), F.lit(0).alias("hops")).distinct().checkpoint()
     front = seen
-    for k in range(1, most + 1):
+    for k in count(1):
         step = front.join(near, F.col("dst") == F.col("u")).select("src", F.col("v").alias("dst")).distinct()
         front = step.join(seen, ["src", "dst"], "left_anti").select("src", "dst", F.lit(k).alias("hops")).checkpoint()
         if front.isEmpty():

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 
 def standardized(values: DataFrame) -> DataFrame:
-    """values (id, batch, feature, value): value minus its batch's mean of the feature, plus the mean of all."""
-    batch = Window.partitionBy("feature", "batch")
-    every = Window.partitionBy("feature")
-    m = F.avg("value").over(every)
-    return values.select("id", "batch", "feature", (F.col("value") - F.avg("value").over(batch) + m).alias("z"), m.alias("stand_mean"))
+    """values (id, batch, feature, value): value minus its batch's mean of the feature, plus the mean of all. Windows see sums of a batch, not its rows."""
+    b = values.groupBy(F.col("feature").alias("_f"), F.col("batch").alias("_b")).agg(F.sum("value").alias("_s"), F.count("value").alias("_n"))
+    every = Window.partitionBy("_f")
+    m = b.select("_f", "_b", F.try_divide("_s", "_n").alias("_m"), F.try_divide(F.sum("_s").over(every), F.sum("_n").over(every)).alias("stand_mean"))
+    got = values.join(m, F.col("feature").eqNullSafe(F.col("_f")) & F.col("batch").eqNullSafe(F.col("_b")))
+    return got.select("id", "batch", "feature", (F.col("value") - F.col("_m") + F.col("stand_mean")).alias("z"), "stand_mean")
 
 
 def batch_parameters(z: DataFrame) -> DataFrame:

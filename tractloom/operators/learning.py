@@ -71,26 +71,37 @@ def class_report(pairs: DataFrame) -> DataFrame:
     return r.select("class", "precision", "recall", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)).alias("f1"), "support")
 
 
+def places(df: DataFrame, label: str = "label", seed: int = 42) -> DataFrame:
+    """df with _place, a row's place in its label in a random order from 1 on, and _size, the label's rows.
+
+    The order's hash cuts a label into 4096 even parts. Rows are sorted inside a part, and windows over a whole label see one row per part.
+    """
+    x = df.withColumn("_key", rng.order_key(seed, "id")).withColumn("_part", F.substring("_key", 1, 3))
+    n = x.groupBy(label, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(label).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    skip = n.select(F.col(label).alias("_label"), F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_skip"), F.sum("_n").over(Window.partitionBy(label)).alias("_size"))
+    inside = x.withColumn("_in", F.row_number().over(Window.partitionBy(label, "_part").orderBy("_key", "id")))
+    got = inside.join(skip, F.col(label).eqNullSafe(F.col("_label")) & (F.col("_part") == F.col("_p")))
+    return got.select(*df.columns, (F.col("_skip") + F.col("_in")).alias("_place"), "_size")
+
+
 def stratified_folds(df: DataFrame, k: int, label: str = "label", seed: int = 42) -> DataFrame:
-    w = Window.partitionBy(label).orderBy(rng.order_key(seed, "id"), "id")
-    return df.withColumn("fold", ((F.row_number().over(w) - 1) % k).cast("int"))
+    return places(df, label, seed).withColumn("fold", ((F.col("_place") - 1) % k).cast("int")).drop("_place", "_size")
 
 
 def stratified_split(df: DataFrame, test: float = 0.2, validation: float = 0.2, label: str = "label", seed: int = 42) -> DataFrame:
     """train, validation or test per row: first the test share of each label, then the validation share of the rest."""
-    w = Window.partitionBy(label).orderBy(rng.order_key(seed, "id"), "id")
-    n = F.count(F.lit(1)).over(Window.partitionBy(label))
-    k = F.row_number().over(w)
+    n, k = F.col("_size"), F.col("_place")
     n_test = F.round(n * test)
     n_val = F.round((n - n_test) * validation)
-    return df.withColumn("split", F.when(k <= n_test, "test").when(k <= n_test + n_val, "validation").otherwise("train"))
+    return places(df, label, seed).withColumn("split", F.when(k <= n_test, "test").when(k <= n_test + n_val, "validation").otherwise("train")).drop("_place", "_size")
 
 
 def scaled(values: DataFrame) -> DataFrame:
     """z-scores with the population's spread. values (id, feature, value)."""
-    w = Window.partitionBy("feature")
-    sd = F.stddev_pop("value").over(w)
-    return values.select("id", "feature", ((F.col("value") - F.avg("value").over(w)) / F.when(sd > 0, sd).otherwise(1.0)).alias("value"))
+    m = values.groupBy(F.col("feature").alias("_f")).agg(F.avg("value").alias("_m"), F.stddev_pop("value").alias("_sd"))
+    sd = F.when(F.col("_sd") > 0, F.col("_sd")).otherwise(1.0)
+    return values.join(m, F.col("feature").eqNullSafe(F.col("_f"))).select("id", "feature", ((F.col("value") - F.col("_m")) / sd).alias("value"))
 
 
 def with_vector(df: DataFrame, features: str = "features") -> DataFrame:
@@ -102,7 +113,7 @@ def balanced(df: DataFrame, label: str = "label") -> DataFrame:
     c = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     t = c.agg(F.sum("_n").alias("_t"), F.count(F.lit(1)).alias("_k"))
     w = c.crossJoin(F.broadcast(t)).select(label, (F.col("_t") / (F.col("_k") * F.col("_n"))).alias("weight"))
-    return df.join(F.broadcast(w), label)
+    return df.join(w, label)
 
 
 def classifier(kind: str = "logistic_l2", c: float = 1.0, n: int = 1, trees: int = 100, depth: int = 5, least: int = 1, seed: int = 42, weight: str | None = None) -> Pipeline:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tractloom.functions import rng
 from tractloom.operators import voxels as vx
+from tractloom.session import checkpoint_folder
 
 #: Cells of the cubes that tracking broadcasts: 8 float32 numbers each, 256 MB at most.
 MOST_CELLS = 8_000_000
@@ -164,15 +165,16 @@ def track(seeds: DataFrame, cube: dict, n_samples: int = 1, step: float = 0.5, m
 def track_by_joins(seeds: DataFrame, peaks: DataFrame, steps: int, step: float = 0.5) -> DataFrame:
     """(seed_id, pos, x, y, z): each step is a join of the live ends with the peaks of their nearest voxel. For grids of any size; paths end where there is no peak."""
     p = peaks.where("rank = 0").select(F.col("x").alias("vx"), F.col("y").alias("vy"), F.col("z").alias("vz"), "dx", "dy", "dz")
+    checkpoint_folder(seeds.sparkSession)
     live = seeds.select("seed_id", F.lit(0).alias("pos"), *[F.col(c).cast("double").alias(c) for c in "xyz"], *[F.lit(0.0).alias("p" + c) for c in "xyz"])
     out = live
     for k in range(1, steps + 1):
         near = live.select("*", *[F.rint(c).cast("int").alias("v" + c) for c in "xyz"]).join(p, ["vx", "vy", "vz"])
         sign = F.when(F.col("dx") * F.col("px") + F.col("dy") * F.col("py") + F.col("dz") * F.col("pz") < 0, -1.0).otherwise(1.0)
         live = near.select("seed_id", F.lit(k).alias("pos"), *[(F.col(c) + step * sign * F.col("d" + c)).alias(c) for c in "xyz"], *[(sign * F.col("d" + c)).alias("p" + c) for c in "xyz"])
-        out = out.union(live)
         if k % 5 == 0:
-            live = live.checkpoint() if seeds.sparkSession.sparkContext.getCheckpointDir() else live
+            live = live.checkpoint()
+        out = out.union(live)
     return out.select("seed_id", "pos", "x", "y", "z")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tractloom.functions import geometry as g
 from tractloom.functions import scalars as s
+from tractloom.session import checkpoint_folder
 
 FACES = [(1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
 
@@ -53,9 +54,7 @@ def label_components(mask: DataFrame) -> DataFrame:
     ids = v.select("x", "y", "z", (F.col("x").cast("long") * 2**42 + F.col("y").cast("long") * 2**21 + F.col("z")).alias("id"))
     up = ids.select(F.explode(F.array(*[F.struct(*[(F.col(c) + k).cast("int").alias(c) for c, k in zip("xyz", o, strict=True)], F.col("id").alias("a")) for o in FACES[::2]])).alias("p")).select("p.*")
     links = up.join(ids, ["x", "y", "z"]).select("a", F.col("id").alias("b"))
-    spark = mask.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints/tractloom"))
+    checkpoint_folder(mask.sparkSession)
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
     label = ids.select("id", F.col("id").alias("component")).checkpoint()
     while True:

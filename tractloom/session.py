@@ -26,6 +26,18 @@ def session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str)
     return b.getOrCreate()
 
 
+def checkpoint_folder(spark: SparkSession) -> None:
+    """Makes checkpoint() write to the folder in spark.checkpoint.dir. Without one, only a local master gets a folder of its own: a cluster's machines share none."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not where:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir names no folder that all machines share")
+            where = "/tmp/checkpoints/tractloom"
+        sc.setCheckpointDir(where)
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Sends this package to the workers once per application, so that their Python finds it wherever it was started."""
     app = spark.sparkContext.applicationId
