@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tractloom.functions import scalars as s
@@ -60,6 +60,14 @@ def quality_rows(signal: DataFrame, n_bvals: int, n_bvecs: int) -> DataFrame:
     return a.select(F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.lit(c).alias("check"), ok.alias("passed")) for k, c, ok in rows])).alias("r")).select("r.*")
 
 
+def anatomical_rows(volume: DataFrame) -> DataFrame:
+    """(level, check, passed) of an anatomical scan: one aggregate over its voxels. volume (x, y, z, value)."""
+    v = F.col("value")
+    a = volume.agg(F.count_if(F.isnan(v) | v.isNull()).alias("nan"), F.count_if(F.abs(v) == float("inf")).alias("inf"), F.min(v).alias("low"), F.max(v).alias("high"))
+    rows = [("error", "nan", F.col("nan") == 0), ("error", "inf", F.col("inf") == 0), ("warning", "negative", F.col("low") >= 0), ("warning", "range", F.col("high") <= 1e6)]
+    return a.select(F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.lit(c).alias("check"), ok.alias("passed")) for k, c, ok in rows])).alias("r")).select("r.*")
+
+
 # Scans in a directory tree: files (path, size).
 
 
@@ -114,6 +122,26 @@ def recent_jobs(jobs: DataFrame, n: int = 50, status: str | None = None) -> Data
     return j.orderBy(F.desc("created_at"), "job_id").limit(n)
 
 
+def result_lookups(requests: DataFrame, jobs: DataFrame, found: DataFrame) -> DataFrame:
+    """(job_id, kind, code, path) of each request (job_id, kind): 404 for no such job, 400 for one that isn't completed, 404 for no such result, else 200 and its path. found (job_id, kind, path)."""
+    j = jobs.select("job_id", "status")
+    got = requests.join(j, "job_id", "left").join(found, ["job_id", "kind"], "left")
+    code = F.when(F.col("status").isNull(), 404).when(F.col("status") != "completed", 400).when(F.col("path").isNull(), 404).otherwise(200)
+    return got.select("job_id", "kind", code.alias("code"), F.when(code == 200, F.col("path")).alias("path"))
+
+
+def stage_progress(done: Column, total: Column, start: float, share: float) -> Column:
+    """Progress of a job inside a stage that begins at start and takes a share of the whole."""
+    return F.lit(start) + F.lit(share) * F.coalesce(F.try_divide(done.cast("double"), total), F.lit(0.0))
+
+
+def with_progress(jobs: DataFrame, updates: DataFrame) -> DataFrame:
+    """jobs with the latest progress and message that was told of them. updates (job_id, at, progress, message)."""
+    last = updates.groupBy("job_id").agg(F.max(F.struct("at", "progress", "message")).alias("_u"))
+    keep = [c for c in jobs.columns if c not in ("progress", "message", "updated_at")]
+    return jobs.join(last, "job_id", "left").select(*keep, F.coalesce("_u.progress", F.col("progress") if "progress" in jobs.columns else F.lit(0.0)).alias("progress"), F.col("_u.message").alias("message"), F.col("_u.at").alias("updated_at"))
+
+
 def cancel_job(jobs: DataFrame, job_id: str) -> DataFrame:
     live = F.col("status").isin("pending", "running") & (F.col("job_id") == job_id)
     return jobs.withColumn("status", F.when(live, "failed").otherwise(F.col("status")))
@@ -131,7 +159,62 @@ def algorithms(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("probabilistic", "tracking"), ("csd", "orientation"), ("tensor", "orientation"), ("louvain", "communities"), ("leiden", "communities")], "name string, kind string")
 
 
-def region_labels(spark: SparkSession, n: int = 89) -> DataFrame:
-    """(node, name, hemisphere) by rule: odd numbers left, even ones right, 0 the background."""
-    i = F.col("id")
-    return spark.range(n).select(i.cast("int").alias("node"), F.when(i == 0, "background").otherwise(F.concat(F.lit("region_"), F.ceil(i / 2).cast("string"))).alias("name"), F.when(i == 0, "none").when(i % 2 == 1, "left").otherwise("right").alias("hemisphere"))
+#: Regions of one hemisphere's cortex in the order of their numbers (name, abbreviation, lobe).
+CORTEX = [
+    ("Banks STS", "BSTS", "temporal"),
+    ("Caudal Anterior Cingulate", "CAC", "frontal"),
+    ("Caudal Middle Frontal", "CMF", "frontal"),
+    ("Cuneus", "CUN", "occipital"),
+    ("Entorhinal", "ENT", "temporal"),
+    ("Fusiform", "FUS", "temporal"),
+    ("Inferior Parietal", "IP", "parietal"),
+    ("Inferior Temporal", "IT", "temporal"),
+    ("Isthmus Cingulate", "IC", "limbic"),
+    ("Lateral Occipital", "LO", "occipital"),
+    ("Lateral Orbitofrontal", "LOF", "frontal"),
+    ("Lingual", "LIN", "occipital"),
+    ("Medial Orbitofrontal", "MOF", "frontal"),
+    ("Middle Temporal", "MT", "temporal"),
+    ("Parahippocampal", "PH", "temporal"),
+    ("Paracentral", "PC", "frontal"),
+    ("Pars Opercularis", "POP", "frontal"),
+    ("Pars Orbitalis", "POR", "frontal"),
+    ("Pars Triangularis", "PTR", "frontal"),
+    ("Pericalcarine", "PCAL", "occipital"),
+    ("Postcentral", "POST", "parietal"),
+    ("Posterior Cingulate", "PCC", "limbic"),
+    ("Precentral", "PRE", "frontal"),
+    ("Precuneus", "PCUN", "parietal"),
+    ("Rostral Anterior Cingulate", "RAC", "frontal"),
+    ("Rostral Middle Frontal", "RMF", "frontal"),
+    ("Superior Frontal", "SF", "frontal"),
+    ("Superior Parietal", "SP", "parietal"),
+    ("Superior Temporal", "ST", "temporal"),
+    ("Supramarginal", "SM", "parietal"),
+    ("Frontal Pole", "FP", "frontal"),
+    ("Temporal Pole", "TP", "temporal"),
+    ("Transverse Temporal", "TT", "temporal"),
+    ("Insula", "INS", "insular"),
+]
+#: Regions below the cortex of one hemisphere.
+DEEP = [
+    ("Thalamus", "THA", "subcortical"),
+    ("Caudate", "CAU", "subcortical"),
+    ("Putamen", "PUT", "subcortical"),
+    ("Pallidum", "PAL", "subcortical"),
+    ("Hippocampus", "HIP", "subcortical"),
+    ("Amygdala", "AMY", "subcortical"),
+    ("Accumbens", "ACC", "subcortical"),
+    ("Ventral DC", "VDC", "subcortical"),
+]
+#: The last regions (name, abbreviation, hemisphere, lobe).
+OTHER = [("Left Cerebellum Cortex", "L-CBLM", "left", "cerebellum"), ("Right Cerebellum Cortex", "R-CBLM", "right", "cerebellum"), ("Brain Stem", "BSTM", "midline", "brainstem"), ("Corpus Callosum", "CC", "midline", "white_matter")]
+
+
+def region_labels(spark: SparkSession) -> DataFrame:
+    """(node, name, abbreviation, hemisphere, lobe) of the 89 regions: background, left and right cortex, left and right deep regions, the others."""
+    rows = [("Unknown", "UNK", "none", "none")]
+    for part in (CORTEX, DEEP):
+        for side in ("Left", "Right"):
+            rows += [(f"{side} {name}", f"{side[0]}-{short}", side.lower(), lobe) for name, short, lobe in part]
+    return spark.createDataFrame([(k, *r) for k, r in enumerate(rows + OTHER)], "node int, name string, abbreviation string, hemisphere string, lobe string")

@@ -373,6 +373,15 @@ def rotate_bvec(vec: Column, affine_3x3: np.ndarray) -> list[Column]:
     return [sum((float(r[i, j]) * vec[j] for j in range(3)), F.lit(0.0)) for i in range(3)]
 
 
+def reoriented(grad: DataFrame, source: np.ndarray, target: np.ndarray) -> DataFrame:
+    """Gradient directions of a scan that moves from one affine map to another, at unit length; zeros stay zeros."""
+    m = np.linalg.inv(np.asarray(target, float)[:3, :3]) @ np.asarray(source, float)[:3, :3]
+    turned = [sum((float(m[i, j]) * F.col("g" + c) for j, c in enumerate("xyz")), F.lit(0.0)) for i in range(3)]
+    x = grad.select("vol", "bval", *[t.alias("g" + c) for t, c in zip(turned, "xyz", strict=True)])
+    n = g.norm(F.col("gx"), F.col("gy"), F.col("gz"))
+    return x.select("vol", "bval", *[F.when(n > 0, F.col("g" + c) / n).otherwise(F.col("g" + c)).alias("g" + c) for c in "xyz"])
+
+
 def reconstructed(fits: DataFrame, keys: list[str]) -> DataFrame:
     """The six entries of V diag(l) V' from eigenvalues l (array of 3) and eigenvectors v (array of 9, a vector in each column)."""
     entry = lambda i, j: sum((F.col("l")[k] * F.col("v")[3 * i + k] * F.col("v")[3 * j + k] for k in range(3)), F.lit(0.0))

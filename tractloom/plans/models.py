@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tractloom.operators import connectome as cn
 from tractloom.operators import harmonize as hz
 from tractloom.operators import learning as ml
+from tractloom.operators import preprocessing as pp
+from tractloom.operators import training as tr
 from tractloom.operators import voxels as vx
 from tractloom.plans import inputs as inp
 from tractloom.plans.inputs import FEATURES, MASK, VOLUME, r, table
@@ -339,3 +341,27 @@ def feature_importance(spark: SparkSession, d: str) -> DataFrame:
     x = _binary(spark, d)
     model = ml.classifier(n=x.count()).fit(ml.with_vector(x))
     return ml.permutation_importance(model, x)
+
+
+_FROM, _TO = [[0.0, -2.0, 0.0, 5.0], [2.0, 0.0, 0.0, 1.0], [0.0, 0.0, 2.0, 0.0], [0.0, 0.0, 0.0, 1.0]], [[1.0, 0.0, 0.0, 0.0], [0.0, 2.0, 0.0, 0.0], [0.0, 0.0, -1.0, 0.0], [0.0, 0.0, 0.0, 1.0]]
+
+
+@query(f"WITH {GRAD}, t AS (SELECT vol, bval, -2 * gy AS gx, gx AS gy, -2 * gz AS gz FROM gr), n AS (SELECT *, sqrt(gx*gx+gy*gy+gz*gz) AS n FROM t) SELECT vol, bval, round(gx / n, 6) + 0.0 AS gx, round(gy / n, 6) + 0.0 AS gy, round(gz / n, 6) + 0.0 AS gz FROM n")
+def gradient_reorientation(spark: SparkSession, d: str) -> DataFrame:
+    """From a map that turns and stretches to one that stretches and flips; the SQL states their quotient."""
+    return vx.reoriented(_gradients(spark, d), _FROM, _TO).select("vol", "bval", *[r(c).alias(c) for c in ("gx", "gy", "gz")])
+
+
+def _scan_gradients(spark: SparkSession, b: list[float], v: list[list[float]]) -> DataFrame:
+    return spark.createDataFrame([(k, b[k], *map(float, v[k])) for k in range(len(b))], "vol int, bval double, gx double, gy double, gz double")
+
+
+@query()
+def preprocessing(spark: SparkSession, d: str) -> DataFrame:
+    s, b, v = _signals(spark, d)
+    return pp.preprocess(s, _scan_gradients(spark, b, v), sigma=2.0)["qc"]
+
+
+@query()
+def training_report(spark: SparkSession, d: str) -> DataFrame:
+    return tr.train(_binary(spark, d))[1]

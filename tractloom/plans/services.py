@@ -268,7 +268,7 @@ def grid_parcel_volumes(spark: SparkSession, d: str) -> DataFrame:
     return cn.parcel_volumes(cn.grid_parcels(inp.volume(spark, d)))
 
 
-@query("SELECT CAST(i AS INTEGER) AS node, CASE WHEN i = 0 THEN 'background' ELSE 'region_' || CAST(ceil(i / 2.0) AS BIGINT) END AS name, CASE WHEN i = 0 THEN 'none' WHEN i % 2 = 1 THEN 'left' ELSE 'right' END AS hemisphere FROM range(0, 89) t(i)")
+@query()
 def region_labels(spark: SparkSession, d: str) -> DataFrame:
     return rp.region_labels(spark)
 
@@ -277,3 +277,38 @@ def region_labels(spark: SparkSession, d: str) -> DataFrame:
 def masked_voxels(spark: SparkSession, d: str) -> DataFrame:
     v = inp.volume(spark, d)
     return vx.masked(v.where("value > 20"), v.where("n >= 10")).select("x", "y", "z")
+
+
+@query(f"WITH {VOLUME} SELECT * FROM (SELECT unnest([{{'level': 'error', 'check': 'nan', 'passed': count(*) FILTER (value IS NULL OR isnan(value)) = 0}}, {{'level': 'error', 'check': 'inf', 'passed': count(*) FILTER (isinf(value)) = 0}}, {{'level': 'warning', 'check': 'negative', 'passed': min(value) >= 0}}, {{'level': 'warning', 'check': 'range', 'passed': max(value) <= 1e6}}], recursive := true) FROM vol)")
+def anatomical_checks(spark: SparkSession, d: str) -> DataFrame:
+    return rp.anatomical_rows(inp.volume(spark, d))
+
+
+JOBS = "j AS (SELECT CAST(o_orderkey AS VARCHAR) AS job_id, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'pending' ELSE 'running' END AS status FROM orders)"
+
+
+@query(f"""WITH {JOBS}, q AS (SELECT DISTINCT CAST(l_orderkey + l_linenumber AS VARCHAR) AS job_id, CASE WHEN l_linenumber % 2 = 0 THEN 'connectome' ELSE 'metrics' END AS kind FROM lineitem),
+f AS (SELECT CAST(o_orderkey AS VARCHAR) AS job_id, 'connectome' AS kind, '/results/' || o_orderkey AS path FROM orders WHERE o_orderkey % 3 = 0)
+SELECT job_id, kind, CASE WHEN status IS NULL THEN 404 WHEN status <> 'completed' THEN 400 WHEN path IS NULL THEN 404 ELSE 200 END AS code, CASE WHEN status = 'completed' THEN path END AS path FROM q LEFT JOIN j USING (job_id) LEFT JOIN f USING (job_id, kind)""")
+def job_result_lookups(spark: SparkSession, d: str) -> DataFrame:
+    """A request per line item, for the order so many numbers on: there may be none."""
+    kind = F.when(F.col("l_linenumber") % 2 == 0, "connectome").otherwise("metrics")
+    requests = table(spark, d, "lineitem").select((F.col("l_orderkey") + F.col("l_linenumber")).cast("string").alias("job_id"), kind.alias("kind")).distinct()
+    key = F.col("o_orderkey")
+    found = table(spark, d, "orders").where(key % 3 == 0).select(key.cast("string").alias("job_id"), F.lit("connectome").alias("kind"), F.concat(F.lit("/results/"), key.cast("string")).alias("path"))
+    return rp.result_lookups(requests, _jobs(spark, d), found)
+
+
+@query("""WITH u AS (SELECT CAST(l_orderkey AS VARCHAR) AS job_id, l_linenumber AS step, 0.65 + 0.2 * (l_linenumber::DOUBLE / 7) AS progress FROM lineitem), m AS (SELECT job_id, max(step) AS step, arg_max(progress, step) AS progress FROM u GROUP BY 1)
+SELECT CAST(o_orderkey AS VARCHAR) AS job_id, round(coalesce(progress, 0), 6) AS progress, CASE WHEN step IS NOT NULL THEN 'step ' || step END AS message, step AS updated_at FROM orders LEFT JOIN m ON job_id = CAST(o_orderkey AS VARCHAR)""")
+def job_progress(spark: SparkSession, d: str) -> DataFrame:
+    """Each line item tells of the tracking stage of its order."""
+    n = F.col("l_linenumber")
+    updates = table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("job_id"), n.alias("at"), rp.stage_progress(n, F.lit(7), 0.65, 0.2).alias("progress"), F.concat(F.lit("step "), n.cast("string")).alias("message"))
+    return rp.with_progress(_jobs(spark, d), updates).select("job_id", r("progress").alias("progress"), "message", "updated_at")
+
+
+@query(f"""WITH {MASK}, s AS (SELECT {AT} FROM mask, (SELECT CAST(unnest(range(1, 3)) AS INTEGER) AS k)), v AS (SELECT printf('%.6f %.6f %.6f', sx, sy, sz) AS value FROM s)
+SELECT 'whole_brain' AS strategy, 42 AS rng_seed, 'per_voxel=2, scale=0.5' AS parameters, count(*) AS n, CAST(sum(CAST(CAST('0x' || substr(md5(value), 1, 10) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS checksum FROM v""")
+def seed_log(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.seed_log(seeds_whole_brain(spark, d), "whole_brain", 42, per_voxel=2, scale=0.5)

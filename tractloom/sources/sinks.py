@@ -61,6 +61,26 @@ def vtk_lines(lines: DataFrame) -> DataFrame:
     return head.union(pts).union(mid).union(ids)
 
 
+def seed_lines(seeds: DataFrame) -> DataFrame:
+    """Seeds as text, three numbers of six decimals each."""
+    return seeds.select(F.format_string("%.6f %.6f %.6f", "sx", "sy", "sz").alias("value"))
+
+
+def write_seeds(seeds: DataFrame, path: str) -> None:
+    seed_lines(seeds.orderBy("x", "y", "z", "k")).write.mode("overwrite").text(path)
+
+
+def seed_log(seeds: DataFrame, strategy: str, rng_seed: int, **parameters: object) -> DataFrame:
+    """One row that lets a set of seeds be made again: strategy, parameters, number and a checksum that does not depend on order."""
+    names = ", ".join(f"{k}={v}" for k, v in sorted(parameters.items()))
+    mark = F.sum(F.conv(F.substring(F.md5(F.format_string("%.6f %.6f %.6f", "sx", "sy", "sz")), 1, 10), 16, 10).cast("decimal(38,0)")).cast("string")
+    return seeds.agg(F.count(F.lit(1)).alias("n"), mark.alias("checksum")).select(F.lit(strategy).alias("strategy"), F.lit(rng_seed).alias("rng_seed"), F.lit(names).alias("parameters"), "n", "checksum")
+
+
+def append_seed_log(log: DataFrame, path: str) -> None:
+    log.withColumn("at", F.current_timestamp()).write.mode("append").json(path)
+
+
 def sampled_checksum(values: DataFrame, every: int = 1000) -> DataFrame:
     """md5 over every so many values in order; values (pos, value)."""
     some = values.where(F.col("pos") % every == 0).agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("v"))

@@ -80,6 +80,26 @@ def read_nifti_headers(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path).mapInPandas(run, HEADER)
 
 
+def axis_codes(affine: np.ndarray) -> str:
+    """The letters towards which a voxel's axes run (R or L, A or P, S or I), by the largest shares of the map's polar factor."""
+    m = np.asarray(affine, float)[:3, :3]
+    size = np.sqrt((m * m).sum(0))
+    u, _, vt = np.linalg.svd(m / np.where(size > 0, size, 1))
+    share, out = u @ vt, ""
+    for axis in range(3):
+        k = int(np.argmax(np.abs(share[:, axis])))
+        out += ("RAS" if share[k, axis] >= 0 else "LPI")[k]
+        share[k] = 0
+    return out
+
+
+def with_geometry(headers: DataFrame) -> DataFrame:
+    """headers with the field of view in mm (places times sizes of the first three axes) and the orientation's letters."""
+    codes = F.pandas_udf(lambda s: s.map(lambda a: axis_codes(np.stack(a))), "string")
+    fov = F.zip_with(F.slice("shape", 1, 3), F.slice("zooms", 1, 3), lambda d, z: d * z)
+    return headers.withColumn("fov_mm", fov).withColumn("orientation", codes("affine"))
+
+
 def read_nifti(spark: SparkSession, path: str, signal: bool | None = None) -> DataFrame:
     """One row per voxel: (path, x, y, z, value), or signal arrays over the fourth axis with signal=True. A file is decoded in one task and sent on in pieces."""
     many = bool(signal)
