@@ -165,9 +165,9 @@ def test_op10(spark, docs):
 
 
 def plain_kneser_ney(texts):
-    """log10 probability of a class after three others, by dictionaries."""
+    """log10 probability of a byte after three others, by dictionaries."""
     grams = collections.Counter()
-    rows = [[kneser_ney.EDGE] * 3 + [int(kneser_ney.CLASS[c]) for c in t.encode()] for t in texts]
+    rows = [[kneser_ney.EDGE] * 3 + list(t.encode()) for t in texts]
     for r in rows:
         grams.update(zip(r, r[1:], r[2:], r[3:], strict=False))
     counts = {4: grams}
@@ -186,7 +186,7 @@ def plain_kneser_ney(texts):
     @functools.cache
     def prob(h, w):
         k = len(h) + 1
-        lower = prob(h[1:], w) if h else 1 / 64
+        lower = prob(h[1:], w) if h else 1 / 256
         seen = after[k].get(h)
         if not seen:
             return lower
@@ -195,18 +195,20 @@ def plain_kneser_ney(texts):
         v = seen.get(w, 0)
         return (max(v - d[min(v, 3) - 1], 0) / total if v else 0) + spare * lower
 
-    return lambda t: [math.log10(prob(tuple(r[k : k + 3]), r[k + 3])) for r in [[kneser_ney.EDGE] * 3 + [int(kneser_ney.CLASS[c]) for c in t.encode()]] for k in range(len(r) - 3)]
+    return lambda t: [math.log10(prob(tuple(r[k : k + 3]), r[k + 3])) for r in [[kneser_ney.EDGE] * 3 + list(t.encode())] for k in range(len(r) - 3)]
 
 
 def test_op10_perplexity_and_bands_by_brute_force(spark, docs):
     got = queries.op10_quality_rules(spark, SF).toPandas().set_index("doc_id")
     ok = {i for i in docs.doc_id if not got.loc[i].base_failed}
-    score = plain_kneser_ney([t for i, t in zip(docs.doc_id, docs.text, strict=True) if i in ok])
-    x = {i: -sum(score(t)) / len(t.encode()) if t else 0.0 for i, t in zip(docs.doc_id, docs.text, strict=True)}
-    assert got.log10_perplexity.to_dict() == pytest.approx(x, abs=1e-4)
     lang, size = dict(zip(docs.doc_id, docs.lang, strict=True)), {i: len(t.encode()) for i, t in zip(docs.doc_id, docs.text, strict=True)}
+    text = dict(zip(docs.doc_id, docs.text, strict=True))
+    score = {name: plain_kneser_ney([t for i, t in text.items() if i in ok and lang[i] == name]) for name in set(lang.values())}
+    x = {i: -sum(score[lang[i]](t)) / size[i] if t else 0.0 for i, t in text.items()}
+    assert got.log10_perplexity.to_dict() == pytest.approx(x, abs=1e-9)
     for name in set(lang.values()):
-        bins = sorted(math.floor(got.loc[i].log10_perplexity / kneser_ney.BIN) for i in ok if lang[i] == name)
+        first = {text[i]: i for i in ok if lang[i] == name}  # copies count once
+        bins = sorted(math.floor(got.loc[i].log10_perplexity / kneser_ney.BIN) for i in first.values())
         mid = bins[(len(bins) - 1) // 2]
         mad = sorted(abs(b - mid) for b in bins)[(len(bins) - 1) // 2]
         for i in (i for i in lang if lang[i] == name):
@@ -216,15 +218,29 @@ def test_op10_perplexity_and_bands_by_brute_force(spark, docs):
             assert r.kept == (i in ok and r.band_lower <= r.log10_perplexity <= r.band_upper)
 
 
-def test_kneser_ney_sums_to_one():
+def test_kneser_ney_sums_to_one(spark):
+    """Over all 256 bytes after a context, of contexts that were seen, seen in part, and not seen at all."""
     rnd = np.random.default_rng(0)
-    b = textscan.as_bytes(pa.array(["".join(rnd.choice(list("abc .\n"), 400)) for _ in range(20)]))
-    ids, _ = kneser_ney.gram_ids(b)
-    g, n = np.unique(ids, return_counts=True)
-    m = kneser_ney.Model(g, n)
-    for head in [*np.unique(g >> 6)[:20], 5, 63 * 4161]:
-        p = 10 ** m.log10((head << 6) + np.arange(64))
-        assert p.sum() == pytest.approx(1, abs=1e-6)
+    b = textscan.as_bytes(pa.array(["".join(rnd.choice(list("abc .\n\u00e9"), 400)) for _ in range(20)]))
+    g, n = np.unique(kneser_ney.gram_ids(b), return_counts=True)
+    counts = dict(zip(g.tolist(), n.tolist(), strict=True))
+    heads = [*np.unique(g >> 8)[:12].tolist(), 5, (ord("z") << 16) | (ord("a") << 8) | ord("b")]
+    rows = [(1, x, counts.get(x, 0)) for x in {*counts, *((h << 8) + c for h in heads for c in range(256))}]
+    p = kneser_ney.probabilities(kneser_ney.stored(spark.createDataFrame(rows, "lang_id long, gram long, n long"), "grams")).toPandas().set_index("gram").p
+    for h in heads:
+        assert p.loc[[(h << 8) + c for c in range(256)]].sum() == pytest.approx(1, abs=1e-9)
+
+
+def test_perplexity_by_packs_equals_broadcast(spark):
+    """A model that stays partitioned gives the same results, whatever the packs."""
+    odd = odd_docs(spark).selectExpr("doc_id", "coalesce(lang, '') AS lang", "text")
+    d = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id", "lang", "text").union(odd)
+    model = kneser_ney.probabilities(kneser_ney.stored(kneser_ney.count_grams(d), "grams"))
+    rows = lambda df: sorted(map(repr, df.collect()))
+    want = rows(kneser_ney.score(d, model))
+    assert len(want) == d.count()
+    assert rows(kneser_ney.score_by_packs(d, model, 20_000)) == want
+    assert rows(kneser_ney.score(d, model, 0)) == want
 
 
 # 4
