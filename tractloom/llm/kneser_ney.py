@@ -141,18 +141,21 @@ def contexts(counts: DataFrame) -> DataFrame:
 
 
 def probabilities(counts: DataFrame) -> DataFrame:
-    """(lang_id, gram, p): the probability of the last byte of every 4-gram of counts, those of count 0 too."""
+    """(lang_id, gram, p): the probability of the last byte of every 4-gram of counts, those of count 0 too.
+
+    The joins are merge joins: these tables grow with the corpus, and the driver needn't hold them.
+    """
     levels = orders(counts)
     below: list[DataFrame] = []
     n = F.col("n")
     cut = F.when(n == 1, F.col("d1")).when(n == 2, F.col("d2")).otherwise(F.col("d3"))
     own = F.when(n > 0, F.greatest(n - cut, F.lit(0.0)) / F.col("total")).otherwise(0.0)
     for k, level in enumerate(levels, 1):
-        x = level.withColumn("head", F.shiftright("gram", BITS)).join(contexts(level), ["lang_id", "head"], "left")
+        x = level.withColumn("head", F.shiftright("gram", BITS)).join(contexts(level).hint("merge"), ["lang_id", "head"], "left")
         low = F.lit(1.0 / (1 << BITS))
         if below:
             rest = F.col("gram").bitwiseAND(F.lit((1 << (BITS * (k - 1))) - 1))
-            x = x.withColumn("rest", rest).join(below[-1].select("lang_id", F.col("gram").alias("rest"), F.col("p").alias("low")), ["lang_id", "rest"])
+            x = x.withColumn("rest", rest).join(below[-1].select("lang_id", F.col("gram").alias("rest"), F.col("p").alias("low")).hint("merge"), ["lang_id", "rest"])
             low = F.col("low")
         below.append(stored(x.select("lang_id", "gram", (own + F.coalesce("weight", F.lit(1.0)) * low).alias("p")), f"chances{k}"))
     discarded(*levels[:-1], *below[:-1])
