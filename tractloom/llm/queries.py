@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tractloom.llm import bpe, chat, decontaminate, html_text, katz, kneser_ney, neardup, pii, quality_gam, toxicity
+from tractloom.llm import bpe, chat, decontaminate, html_text, katz, kneser_ney, lloyd, neardup, pii, quality_gam, toxicity, vector_codes
 from tractloom.llm.runtime import flat, table
 
 
@@ -57,5 +57,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.clustered(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
