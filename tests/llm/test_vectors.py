@@ -105,8 +105,8 @@ def test_codes_equal_brute_force(spark):
 def test_vector_odd_cases(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert lloyd.clustered(none).count() == vector_codes.compressed(none).count() == 0
-    few = rows_for(spark, 3)
-    assert lloyd.clustered(few).count() == vector_codes.compressed(few).count() == 6
+    few = rows_for(spark, 10)
+    assert lloyd.clustered(few).count() == vector_codes.compressed(few).count() == 13
     huge = spark.createDataFrame([(1, [3e38] * 64, 1), (2, [-3e38] * 64, 1), (3, [0.0] * 64, None)], "vec_id long, embedding array<float>, label int")
     assert [r.distance for r in lloyd.clustered(huge).collect()] == [0, 0, 0]
     assert [r.error for r in vector_codes.compressed(huge).collect()] == [0, 0, 0]

@@ -55,7 +55,8 @@ def moved(data: DataFrame, centroids: np.ndarray, scale: int) -> np.ndarray:
                     total[c] += x[i == c].sum(0)
                 count += np.bincount(i, minlength=k)
         on = np.flatnonzero(count)
-        yield pd.DataFrame({"cluster": on.astype(np.int32), "n": count[on], "s": list(total[on])})
+        if len(on):
+            yield pd.DataFrame({"cluster": on.astype(np.int32), "n": count[on], "s": list(total[on])})
 
     parts = data.select("v").mapInPandas(run, "cluster int, n long, s array<long>")
     sums = parts.groupBy("cluster").agg(F.sum("n").alias("n"), *[F.sum(F.col("s")[j]).alias(f"s{j}") for j in range(width)])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tractloom.llm import bpe, chat, decontaminate, html_text, katz, kneser_ney, lloyd, neardup, pii, quality_gam, toxicity, vector_codes
+from tractloom.llm import bpe, chat, decontaminate, html_text, katz, kneser_ney, lloyd, neardup, pii, quality_gam, repeats, toxicity, vector_codes
 from tractloom.llm.runtime import flat, table
 
 
@@ -65,5 +65,9 @@ def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lloyd.clustered(table(spark, sf_dir, "embeddings"))
 
 
+def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeats_removed(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
