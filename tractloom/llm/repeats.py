@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tractloom.llm import textscan as ts
-from tractloom.llm.runtime import arrow_pass, released, short_batches, stored
+from tractloom.llm.runtime import arrow_pass, short_batches, stored
 from tractloom.llm.suffix_array import common_prefixes, suffix_array
 
 MATCH, GRAM = 50, 16
@@ -38,7 +38,7 @@ WINDOW = MATCH - GRAM + 1
 #: Bytes on one side of the anchor that any window with it covers, on the left or on the right.
 SIDE = WINDOW // 2
 #: Bytes of text whose segments a task settles before it sends them; bytes of text whose segments make a part; bytes in one suffix array.
-PACK_BYTES, PART_BYTES, ARRAY_BYTES = 32 << 20, 16 << 20, 1 << 20
+PACK_BYTES, PART_BYTES, ARRAY_BYTES = 16 << 20, 16 << 20, 1 << 20
 #: Longer texts are read in pieces that overlap by MATCH - 1 bytes.
 PIECE = 1 << 20
 #: Bytes of text sampled for hot anchors, and segments of one anchor, over all texts, from which it is hot.
@@ -362,16 +362,13 @@ def removed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     long = docs.where((F.octet_length("text") >= MATCH) & F.col("doc_id").isNotNull())
     texts = stored(long.groupBy("text").agg(F.min(F.col("doc_id").cast("long")).alias("doc_id")).withColumn("uid", F.monotonically_increasing_id()), "texts")
     spark = docs.sparkSession
-    released(spark)
     total = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     parts = max(1, -(-total // PART_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
     found = stored(sent(texts, hot_anchors(texts, total), parts).groupBy("part").applyInArrow(settled, FOUND), "settled")
-    released(spark)
     need = found.where(F.col("key").isNotNull())
     size = need.agg(F.sum((F.col("hi") - F.col("lo")).cast("long"))).first()[0] or 0
     shards = max(1, -(-size // (2 * ARRAY_BYTES)), int(spark.conf.get("spark.sql.shuffle.partitions")))
     more = stored(cut_out(texts, need, shards).groupBy("shard").applyInArrow(decided, "uid long, lo int, hi int"), "decided")
-    released(spark)
     return texts, found.where(F.col("key").isNull()).select("uid", "lo", "hi").union(more)
 
 
