@@ -319,6 +319,17 @@ def test_packed_columns():
 # 1 and 9
 
 
+def test_training_sample_keeps_what_fits(spark):
+    docs = spark.createDataFrame([(i, "y" * 20 if i else None) for i in range(40)] + [(i, "x" * 1500) for i in range(40, 60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(-5000, 60)] + [(None, 1), (1, 1)], "doc_id long, toxic int")
+    usable = [i for i in range(60) if zlib.crc32(str(i).encode()) % 4 != 2]
+    got = toxicity.labelled(docs, labels, "toxic", 1000, 1000).toPandas()
+    assert len(got) == sum(i < 40 for i in usable) and got.text.str.len().max() == 20
+    assert len(toxicity.labelled(docs, labels, "toxic", 1000).collect()) == len(usable)
+    assert len(toxicity.labelled(docs, labels, "toxic", 7).collect()) == 7
+    assert toxicity.labelled(docs, labels, "toxic", 1000, 0).toPandas().text.isna().all()
+
+
 def labelled(d):
     x = pd.read_parquet(f"{d}/documents.parquet").merge(pd.read_parquet(f"{d}/labels.parquet"), on="doc_id")
     return x, np.array([zlib.crc32(str(i).encode()) % 4 == 2 for i in x.doc_id])
@@ -380,6 +391,24 @@ def test_main_text():
     assert html_text.main_text("<article><p>short</p></article") == "short"
 
 
+PROSE = "A long paragraph of prose, with commas, and enough words to be scored as text of an article here. "
+
+
+@pytest.mark.parametrize(
+    ("page", "there", "gone"),
+    [
+        (f'<p>{PROSE}</p><script src="a.js"/>var x=1; leak();</script><style type=text/css/>.a{{}}</style><p>Then a second paragraph of text.</p>', ["Then a second"], ["leak", ".a"]),
+        (f"<div id=top><section><h2>One</h2><p>{PROSE * 3}</p><p>{PROSE * 2}</p></section><section><h2>Two</h2><p>A short one, here it is now.</p></section></div>", ["One", "Two", "A short one"], []),
+        (f"<div class=wrap><div class=x><p>A short lead paragraph goes here.</p></div><div class=y><p>{PROSE * 3}</p><p>{PROSE}</p></div></div>", ["A short lead"], []),
+        (f'<article><p>{PROSE}</p><div class="share-price"><p>Prices: {PROSE * 3}</p></div><section id="related-work"><p>Others: {PROSE * 3}</p></section><div class="share-bar"><a>Tweet</a></div></article>', ["Prices", "Others"], ["Tweet"]),
+        (f'<article><p>{PROSE * 2}</p></article><div id="user-feedback-list"><p>I say: {PROSE * 3}</p></div>', ["A long"], ["I say"]),
+    ],
+)
+def test_article_is_whole_and_nothing_else(page, there, gone):
+    text = html_text.main_text(f"<body>{page}</body>")
+    assert all(x in text for x in there) and not any(x in text for x in gone)
+
+
 LONG = "This paragraph, which is long enough, has commas, words and all that an article needs to be found by its score."
 
 

@@ -42,6 +42,11 @@ LAST = frozenset(
 )
 #: Words that do so as the first part too ("comment-body", "nav-list").
 LEADING = frozenset("ad ads advert adverts sponsored promo breadcrumb breadcrumbs comment comments disqus cookie cookies consent gdpr sidebar nav navbar footer footnav newsletter related share sharing skip pagination".split())
+#: Parts that name what readers wrote, wherever they stand ("user-feedback-list").
+READERS = frozenset("comments feedback replies disqus".split())
+#: First parts that name boilerplate only where the element is short or full of links ("share-bar", but not "share-price").
+WEAK = frozenset("related share sharing skip newsletter promo ad".split())
+LONG_PROSE = 200
 CONTENT = frozenset("article body content entry main post story text page".split())
 ASIDE_ARTICLES = frozenset("comment comments reply replies ad ads promo teaser card".split())
 
@@ -52,18 +57,20 @@ INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 PARTS = re.compile(r"[-_:]+")
 PARAGRAPHS = frozenset("p pre blockquote td dd li figcaption".split())
+#: Elements that stand beside the best container as parts of the same article if they hold a paragraph.
+SECTIONS = frozenset("section div".split())
 LEAST_CHARS = 25
 #: What the score of an element is multiplied with, and what a telling name adds.
 BONUS, NAMED = {"article": 8.0, "main": 4.0}, 25.0
 
 
 class Node:
-    """hard: out by its element, role or invisibility, its own or that of one around it; out: by a name, too."""
+    """hard: out by its element, role or invisibility, its own or that of one around it; out: by a name, too; weak: by a name, unless it holds long prose."""
 
-    __slots__ = ("tag", "up", "hard", "out", "score", "chars", "links", "good", "order")
+    __slots__ = ("tag", "up", "hard", "out", "weak", "score", "chars", "links", "good", "order")
 
-    def __init__(self, tag: str, up: Node | None, hard: bool, out: bool, good: bool, order: int) -> None:
-        self.tag, self.up, self.hard, self.out, self.good, self.order = tag, up, hard, out, good, order
+    def __init__(self, tag: str, up: Node | None, hard: bool, out: bool, weak: bool, good: bool, order: int) -> None:
+        self.tag, self.up, self.hard, self.out, self.weak, self.good, self.order = tag, up, hard, out, weak, good, order
         self.score, self.chars, self.links = 0.0, 0, 0
 
 
@@ -89,7 +96,7 @@ class Page:
     """Text blocks with the element that holds each, in page order, and all block elements."""
 
     def __init__(self, html: str) -> None:
-        self.root = Node("body", None, False, False, False, 0)
+        self.root = Node("body", None, False, False, False, False, 0)
         self.nodes, self.stack, self.blocks = [self.root], [self.root], []
         self.places: dict[str, list[int]] = {}  # of each element, where it is open in the stack
         self.barriers = [0]  # where the stack has one of LISTS
@@ -150,7 +157,7 @@ class Page:
                     attrs = html[m.end() : z]
                     if tag not in RAW:
                         self.open(tag, attrs)
-                    elif not attrs.endswith("/"):
+                    else:  # a trailing slash doesn't close such an element
                         shut = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
                         at = shut.end() if shut else end
             elif c in ("/", "!", "?") and c:
@@ -199,9 +206,10 @@ class Page:
         if tag in ("article", "main"):
             bad = tag == "article" and any(p in ASIDE_ARTICLES for x in names for p in x)
         else:
-            bad = any(x[-1] in LAST or x[0] in LEADING or (len(x) > 1 and x[0] == "social") and x[1] in ("links", "media", "icons", "buttons", "bar") for x in names)
+            bad = any(x[-1] in LAST or x[0] in LEADING - WEAK or not READERS.isdisjoint(x) or (len(x) > 1 and x[0] == "social") and x[1] in ("links", "media", "icons", "buttons", "bar") for x in names)
         hard = up.hard or gone or tag in BOILERPLATE
-        node = Node(tag, up, hard, up.out or hard or bad, tag in BONUS or any(p in CONTENT for x in names for p in x), len(self.nodes))
+        weak = not bad and tag not in BONUS and any(x[0] in WEAK for x in names)
+        node = Node(tag, up, hard, hard or bad, weak, tag in BONUS or any(p in CONTENT for x in names for p in x), len(self.nodes))
         self.nodes.append(node)
         at = len(self.stack)
         self.places.setdefault(tag, []).append(at)
@@ -233,13 +241,21 @@ def main_text(html: str | None) -> str:
     for n in reversed(nodes[1:]):
         n.up.chars += n.chars
         n.up.links += n.links
+    for n in nodes[1:]:
+        n.out |= n.up.out or (n.weak and not (n.chars >= LONG_PROSE and density(n) < 0.25))
     kept = [(t, n) for t, n in page.blocks if not n.out]
     if not kept:  # names alone don't empty a page
         kept = [(t, n) for t, n in page.blocks if not n.hard]
         for n in nodes:
             n.out = n.hard
+    prose: set[Node] = set()
     for text, node in kept:
         if len(text) >= LEAST_CHARS and density(node) <= 0.5:
+            if node.tag in PARAGRAPHS:
+                up = node
+                while up is not None and up not in prose:
+                    prose.add(up)
+                    up = up.up
             to = node.up if node.tag in PARAGRAPHS and node.up is not None else node
             to.score += 1 + text.count(",") + text.count("、") + min(len(text) / 100, 3)
     for n in reversed(nodes[1:]):
@@ -254,7 +270,7 @@ def main_text(html: str | None) -> str:
         if best.up is not None:
             least = max(10.0, best.score * 0.2)
             for n in nodes:
-                if n.up is best.up and not n.out and n is not best and (n.score >= least or (n.tag in PARAGRAPHS and n.chars > 80 and density(n) < 0.25)):
+                if n.up is best.up and not n.out and n is not best and (n.score >= least or (density(n) < 0.25 and (n.tag in PARAGRAPHS and n.chars > 80 or n.tag in SECTIONS and n in prose))):
                     chosen.add(n)
         inside = marked(nodes, chosen)
         found = [t for t, n in kept if n in inside]

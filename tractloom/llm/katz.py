@@ -109,16 +109,12 @@ def packed(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(cols, names=["part", "kind", "pack", "r", "x", *BLOBS])
 
 
-#: Low bits of a sum that aren't sent: 28 bits of its fraction are left.
-CUT = np.uint64(24)
-
-
 def sums_out(x: np.ndarray) -> bytes:
-    return squeeze(np.ascontiguousarray(x, np.float64).view(np.uint64) >> CUT)
+    return np.ascontiguousarray(x, np.float64).tobytes()
 
 
 def sums_in(raw: bytes) -> np.ndarray:
-    return (spread(raw) << CUT).view(np.float64)
+    return np.frombuffer(raw, np.float64)
 
 
 def joined(found: list[np.ndarray]) -> np.ndarray:
@@ -156,9 +152,14 @@ class Deal:
         return ts.sorted_lookup(self.hot, b)[1]
 
 
-def parts_for(spark: SparkSession) -> int:
-    """Parts of the tables: twice as many as the shuffle partitions that the session sets for its input."""
-    return 2 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+#: Bytes of text whose trigrams make up a part, at most; a part is one group in a task's memory.
+PART_BYTES = 16 << 20
+
+
+def parts_for(docs: DataFrame) -> int:
+    """Parts of the tables: by the bytes of all texts, and at least twice as many as the session's shuffle partitions."""
+    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return max(2 * max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), -(-total // PART_BYTES))
 
 
 def word_part(h: np.ndarray, parts: int) -> np.ndarray:
@@ -557,7 +558,7 @@ def encoded(docs: DataFrame) -> tuple[DataFrame, int, int, dict[int, int], int]:
     """Packs of numbers, N, V, the hot words with the number of parts that each is dealt to, and the number of parts."""
     spark = docs.sparkSession
     short_batches(spark)
-    parts = parts_for(spark)
+    parts = parts_for(docs)
     found = stored(packs(docs), "katz-packs")
     answers = stored(numbered(found, parts), "katz-words")
     released(spark)

@@ -5,7 +5,7 @@ of features. The tables are learned by cyclic boosting: in turn each feature get
 fitted to the current residuals with a small step; then pairs are ranked by what a coarse grid still explains, and
 the best get trees over two features in the same way. Scoring adds bins up, for a batch at a time.
 
-The labelled sample that is learned from is bounded by TRAIN_DOCS. Only the text is looked at.
+The labelled sample that is learned from is bounded by TRAIN_DOCS and by the TRAIN_BYTES that labelled() takes. Only the text is looked at.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -337,13 +338,24 @@ def platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def labelled(docs: DataFrame, labels: DataFrame, label: str, limit: int, limit_bytes: int = TRAIN_BYTES) -> DataFrame:
     """(text, label): labelled texts outside the held-out fold, whole, in the order of a hash of their id: at most limit, and of at most limit_bytes in all.
 
-    The label rows are chosen first, so that what is joined to the documents is bounded in rows.
+    Labels of documents that are there are chosen first, by ids alone, so what is joined to the texts is bounded in rows.
+    A text that doesn't fit into what is left of limit_bytes is passed over; later, shorter ones still count.
     """
-    chosen = labels.where(F.col(label).isNotNull() & ~held_out(4)).select("doc_id", label).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    usable = labels.where(F.col(label).isNotNull() & ~held_out(4)).select("doc_id", label).join(docs.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    size = F.coalesce(F.octet_length("text"), F.lit(0))
-    upto = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return found.withColumn("bytes", F.sum(size).over(upto)).where(F.col("bytes") <= limit_bytes).select("text", F.col(label).cast("float").alias("label"))
+
+    def fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = limit_bytes
+        for b in batches:
+            take = []
+            for n in (pc.binary_length(b.column(0)).fill_null(0)).to_pylist():
+                take.append(n <= left)
+                left -= n if n <= left else 0
+            yield b.filter(pa.array(take, pa.bool_()))
+
+    # limit() leaves one partition in order, so the bytes are dealt out in that order, as the rows stream by.
+    return found.select("text", F.col(label).cast("float").alias("label")).coalesce(1).mapInArrow(fitting, "text string, label float")
 
 
 def trained(sample: DataFrame, train_: Callable) -> object:
