@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tractloom.functions import scalars as s
 from tractloom.operators import connectome as cn
 from tractloom.operators import graph as gr
+from tractloom.operators import paths as pt
 from tractloom.plans import inputs as inp
 from tractloom.plans.inputs import DISTANCES, EDGES, GRAPH, HOPS, PATHS, r, table
 
@@ -182,19 +183,18 @@ def _one(g: DataFrame) -> DataFrame:
 
 @query(f"WITH RECURSIVE {GRAPH} {HOPS} SELECT round(sum(1.0::DOUBLE / hops) / ((SELECT count(*) FROM deg) * ((SELECT count(*) FROM deg) - 1)), 6) AS global_efficiency FROM hop")
 def global_efficiency(spark: SparkSession, d: str) -> DataFrame:
-    return gr.per_graph(_one(inp.graph(spark, d)), ["subject"], lambda g: {"global_efficiency": [g.efficiency()]}, "global_efficiency double").select(r("global_efficiency").alias("global_efficiency"))
+    return pt.global_efficiency(inp.graph(spark, d)).select(r("global_efficiency").alias("global_efficiency"))
 
 
 @query(f"""WITH {GRAPH} {DISTANCES}, comp AS (SELECT src, min(dst) AS c FROM d5 GROUP BY 1), big AS (SELECT c FROM comp GROUP BY 1 ORDER BY count(*) DESC, c LIMIT 1)
 SELECT round(sum(d) / (sum(CASE WHEN src <> dst THEN 1 ELSE 0 END)), 6) AS path_length FROM d5 JOIN comp USING (src) WHERE c = (SELECT c FROM big)""")
 def char_path_length(spark: SparkSession, d: str) -> DataFrame:
-    return gr.per_graph(_one(inp.graph(spark, d)), ["subject"], lambda g: {"path_length": [g.path_length()]}, "path_length double").select(r("path_length").alias("path_length"))
+    return pt.path_length(inp.graph(spark, d)).select(r("path_length").alias("path_length"))
 
 
 @query(f"""WITH {GRAPH} {DISTANCES} SELECT src AS node, round(CASE WHEN sum(d) > 0 THEN (count(*) - 1) / sum(d) * (count(*) - 1) / ((SELECT count(*) FROM deg) - 1) ELSE 0 END, 6) AS closeness FROM d5 GROUP BY 1""")
 def closeness(spark: SparkSession, d: str) -> DataFrame:
-    f = lambda g: {"node": g.nodes, "closeness": g.closeness()}
-    return gr.per_graph(_one(inp.graph(spark, d)), ["subject"], f, "node int, closeness double").select("node", r("closeness").alias("closeness"))
+    return pt.closeness(inp.graph(spark, d)).select("node", r("closeness").alias("closeness"))
 
 
 @query(f"""WITH RECURSIVE {GRAPH} {HOPS},
@@ -204,24 +204,19 @@ pairs AS (SELECT a.src AS s, b.dst AS t, a.dst AS v, a.c * b.c / x.c AS share FR
   WHERE a.hops + b.hops = x.hops AND a.dst <> a.src AND a.dst <> b.dst)
 SELECT node, round(coalesce((SELECT sum(share) FROM pairs WHERE v = node), 0) / (((SELECT count(*) FROM deg) - 1) * ((SELECT count(*) FROM deg) - 2)), 6) AS betweenness FROM deg""")
 def betweenness_hop(spark: SparkSession, d: str) -> DataFrame:
-    f = lambda g: {"node": g.nodes, "betweenness": g.betweenness("hop")}
-    return gr.per_graph(_one(inp.graph(spark, d)), ["subject"], f, "node int, betweenness double").select("node", r("betweenness").alias("betweenness"))
+    return pt.betweenness(inp.graph(spark, d), "hop").select("node", r("betweenness").alias("betweenness"))
 
 
 @query(f"WITH RECURSIVE {GRAPH} {HOPS}, c AS (SELECT src AS node, least(src, min(dst)) AS component FROM hop GROUP BY 1) SELECT node, component FROM c")
 def components(spark: SparkSession, d: str) -> DataFrame:
-    f = lambda g: {"node": g.nodes, "component": g.nodes[g.components()]}
-    return gr.per_graph(_one(inp.graph(spark, d)), ["subject"], f, "node int, component int").select("node", "component")
+    return pt.components(inp.graph(spark, d))
 
 
 @query(f"WITH {GRAPH} {DISTANCES} SELECT dst, d AS distance FROM d5 WHERE src = (SELECT min(u) FROM ends)")
 def shortest_path_from(spark: SparkSession, d: str) -> DataFrame:
-    def f(g):
-        dist = g.distances()[0]
-        ok = dist < gr.INF
-        return {"dst": g.nodes[ok], "distance": dist[ok]}
-
-    return gr.per_graph(_one(inp.graph(spark, d)), ["subject"], f, "dst int, distance double").select("dst", "distance")
+    g = inp.graph(spark, d)
+    first = pt.nodes_of(g).agg(F.min("node").alias("node")).where("node IS NOT NULL")
+    return pt.distances_from(g, first).select(F.col("node").alias("dst"), F.col("d").alias("distance"))
 
 
 @query(f"""WITH RECURSIVE {GRAPH}, sub AS (SELECT x.u AS center, y.u AS u, y.v AS v FROM ends x JOIN ends y ON y.u = x.v JOIN ends z ON z.u = x.u AND z.v = y.v),
@@ -229,17 +224,21 @@ lw AS (SELECT DISTINCT u AS center, v AS src, v AS dst, 0 AS hops FROM ends UNIO
 lh AS (SELECT center, src, dst, min(hops) AS hops FROM lw GROUP BY 1, 2, 3 HAVING min(hops) > 0)
 SELECT node, round(CASE WHEN degree < 2 THEN 0 ELSE coalesce((SELECT sum(1.0::DOUBLE / hops) FROM lh WHERE center = node), 0) / (degree * (degree - 1)) END, 6) AS local_efficiency FROM deg""")
 def local_efficiency(spark: SparkSession, d: str) -> DataFrame:
-    f = lambda g: {"node": g.nodes, "local_efficiency": g.local_efficiency()}
-    return gr.per_graph(_one(inp.graph(spark, d)), ["subject"], f, "node int, local_efficiency double").select("node", r("local_efficiency").alias("local_efficiency"))
+    return pt.local_efficiency(inp.graph(spark, d)).select("node", r("local_efficiency").alias("local_efficiency"))
 
 
-@query(f"""WITH RECURSIVE {GRAPH}, st AS (SELECT CAST(unnest(range(0, 11)) AS BIGINT) AS step), ord AS (SELECT node, row_number() OVER (ORDER BY degree DESC, node) - 1 AS k, count(*) OVER () AS n FROM deg),
+def _resilience(order: str) -> str:
+    return f"""WITH RECURSIVE {GRAPH}, st AS (SELECT CAST(unnest(range(0, 11)) AS BIGINT) AS step), ord AS (SELECT node, row_number() OVER (ORDER BY {order}) - 1 AS k, count(*) OVER () AS n FROM deg),
 alive AS (SELECT step, node, n FROM st, ord WHERE k >= step * greatest(1, n // 10)), ae AS (SELECT a.step, u, v FROM alive a JOIN ends ON u = a.node JOIN alive b ON b.step = a.step AND b.node = v),
 w AS (SELECT step, node AS src, node AS dst, 0 AS hops FROM alive UNION SELECT w.step, w.src, ae.v, w.hops + 1 FROM w JOIN ae ON ae.step = w.step AND ae.u = w.dst WHERE w.hops < 20),
 h AS (SELECT step, src, dst, min(hops) AS hops FROM w GROUP BY 1, 2, 3 HAVING min(hops) > 0), e AS (SELECT step, sum(1.0::DOUBLE / hops) AS e FROM h GROUP BY 1), c AS (SELECT step, count(*) AS n FROM alive GROUP BY 1)
-SELECT step, round(CASE WHEN coalesce(n, 0) > 1 THEN coalesce(e, 0) / (n * (n - 1)) ELSE 0 END, 6) AS efficiency, coalesce(n, 0) AS size FROM st LEFT JOIN c USING (step) LEFT JOIN e USING (step)""")
+SELECT step, round(CASE WHEN coalesce(n, 0) > 1 THEN coalesce(e, 0) / (n * (n - 1)) ELSE 0 END, 6) AS efficiency, coalesce(n, 0) AS size FROM st LEFT JOIN c USING (step) LEFT JOIN e USING (step)"""
+
+
+@query(_resilience("degree DESC, node"))
 def resilience_targeted(spark: SparkSession, d: str) -> DataFrame:
-    return gr.resilience(_one(inp.graph(spark, d)), ["subject"]).select("step", r("efficiency").alias("efficiency"), "size")
+    g = inp.graph(spark, d)
+    return pt.removed_in_steps(g, pt.by_degree(g)).select("step", r("efficiency").alias("efficiency"), "size")
 
 
 @query()
@@ -262,11 +261,14 @@ def communities_leiden(spark: SparkSession, d: str) -> DataFrame:
     return gr.communities(_one(inp.graph(spark, d)), ["subject"], refine=True)
 
 
-@query()
+@query(f"""WITH RECURSIVE {GRAPH} {DISTANCES} {inp.BETWEENNESS} SELECT node, degree, strength, round(betweenness, 6) AS betweenness FROM deg JOIN bw USING (node)
+WHERE degree > (SELECT quantile_cont(degree, 0.75) FROM deg) AND betweenness > (SELECT quantile_cont(betweenness, 0.75) FROM bw)""")
 def hub_p75(spark: SparkSession, d: str) -> DataFrame:
-    return gr.hubs(gr.node_metrics(_one(inp.graph(spark, d)), ["subject"]))
+    g = inp.graph(spark, d)
+    return gr.hubs(gr.degree_strength(g).join(pt.betweenness(g), "node")).select("node", "degree", "strength", r("betweenness").alias("betweenness"))
 
 
-@query()
+@query(_resilience("md5('42:' || node), node"))
 def resilience_random(spark: SparkSession, d: str) -> DataFrame:
-    return gr.resilience(_one(inp.graph(spark, d)), ["subject"], strategy="random", seed=42)
+    g = inp.graph(spark, d)
+    return pt.removed_in_steps(g, pt.at_random(g, 42)).select("step", r("efficiency").alias("efficiency"), "size")

@@ -73,6 +73,17 @@ DISTANCES = """,
 d0 AS (SELECT u AS src, v AS dst, w AS d FROM ends UNION ALL SELECT DISTINCT u, u, 0.0 FROM ends)""" + "".join(_square(f"d{k}", f"d{k - 1}") for k in range(1, 6))
 
 
+#: Betweenness with weights as lengths: shortest paths are walked one by one and counted.
+BETWEENNESS = """,
+dag AS (SELECT x.src, u, v FROM d5 x JOIN ends ON x.dst = u JOIN d5 y ON y.src = x.src AND y.dst = v WHERE x.d + w = y.d),
+sp AS (SELECT DISTINCT u AS src, u AS v FROM ends UNION ALL SELECT sp.src, dag.v FROM sp JOIN dag ON dag.src = sp.src AND dag.u = sp.v),
+np AS (SELECT src, v AS dst, CAST(count(*) AS DOUBLE) AS c FROM sp GROUP BY 1, 2),
+via AS (SELECT a.dst AS node, sum(a.c * b.c / x.c) AS b FROM np a JOIN np b ON b.src = a.dst JOIN np x ON x.src = a.src AND x.dst = b.dst
+  JOIN d5 p ON p.src = a.src AND p.dst = a.dst JOIN d5 q ON q.src = b.src AND q.dst = b.dst JOIN d5 t ON t.src = x.src AND t.dst = x.dst
+  WHERE p.d + q.d = t.d AND a.dst <> a.src AND a.dst <> b.dst GROUP BY 1),
+bw AS (SELECT node, coalesce(b, 0) / greatest(((SELECT count(*) FROM deg) - 1) * ((SELECT count(*) FROM deg) - 2), 1) AS betweenness FROM deg LEFT JOIN via USING (node))"""
+
+
 def per_subject_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = cn.kept_pairs(paths(spark, sf_dir))
     return p.groupBy("subject", F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j")).agg(F.count(F.lit(1)).cast("double").alias("weight"))

@@ -131,12 +131,12 @@ def stratified_split(spark: SparkSession, d: str) -> DataFrame:
     return ml.stratified_split(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label"))
 
 
-@query("""WITH p AS (SELECT vec_id AS id, list_transform(embedding[1:4], lambda x: exp(CAST(x AS DOUBLE))) AS e FROM embeddings), q AS (SELECT id, list_transform(e, lambda x: x / list_sum(e)) AS p FROM p)
+@query("""WITH p AS (SELECT vec_id AS id, list_transform(embedding, lambda x: exp(CAST(x AS DOUBLE))) AS e FROM embeddings), q AS (SELECT id, list_transform(e, lambda x: x / list_sum(e)) AS p FROM p)
 SELECT id, round(list_max(p), 6) AS confidence, round(-list_sum(list_transform(p, lambda x: x * ln(x + 1e-10))), 6) AS uncertainty FROM q""")
 def prediction_entropy(spark: SparkSession, d: str) -> DataFrame:
     from tractloom.functions import scalars as s
 
-    e = F.transform(F.slice("embedding", 1, 4), lambda x: F.exp(x.cast("double")))
+    e = F.transform("embedding", lambda x: F.exp(x.cast("double")))
     p = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), e.alias("e")).withColumn("t", F.aggregate("e", F.lit(0.0), lambda a, x: a + x))
     p = p.select("id", F.transform("e", lambda x: x / F.col("t")).alias("p"))
     return p.select("id", r(s.confidence(F.col("p"))).alias("confidence"), r(s.entropy(F.col("p"))).alias("uncertainty"))

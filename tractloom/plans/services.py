@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from tractloom.functions import scalars as s
 from tractloom.operators import graph as gr
+from tractloom.operators import paths as pt
 from tractloom.operators import reports as rp
 from tractloom.operators import surfaces as sf
 from tractloom.operators import tracking as tk
 from tractloom.operators import voxels as vx
+from tractloom.plans import graphs as gp
 from tractloom.plans import inputs as inp
 from tractloom.plans import models as md
 from tractloom.plans.inputs import GRAPH, MASK, VOLUME, r, table
@@ -201,11 +203,21 @@ def layout_query(spark: SparkSession, d: str) -> DataFrame:
     return rp.scan_query(_tree(spark, d), modality="dwi", subject="sub-3").drop("size")
 
 
-@query(f"""WITH {GRAPH}, m AS (SELECT 'density' AS metric, 2.0::DOUBLE * (SELECT count(*) FROM g) / ((SELECT count(*) FROM deg) * ((SELECT count(*) FROM deg) - 1)) AS value)
-SELECT metric, round(value, 6) AS value, round((value - 0.20) / 0.06, 5) AS z, CASE WHEN abs((value - 0.20) / 0.06) > 2 THEN 'significant' WHEN abs((value - 0.20) / 0.06) > 1 THEN 'marginal' ELSE 'normal' END AS flag FROM m""")
+_SIX = {"global_efficiency": "global_efficiency", "path_length": "char_path_length", "density": "graph_density", "assortativity": "assortativity", "modularity": "modularity_of_lobes"}
+NORM_ROWS = ", ".join(f"('{k}', {m}, {sd})" for k, m, sd in rp.NORMS)
+SIX_VALUES = " UNION ALL ".join([f"SELECT '{k}' AS metric, (SELECT {k} FROM ({gp.SQL[q]})) AS value" if k != "density" else f"SELECT 'density', (SELECT round(density, 6) FROM ({gp.SQL[q]}))" for k, q in _SIX.items()])
+
+
+@query(f"""WITH v AS ({SIX_VALUES} UNION ALL SELECT 'clustering', (SELECT round(avg(clustering), 6) FROM ({gp.SQL["weighted_clustering"]}))),
+n AS (SELECT * FROM (VALUES {NORM_ROWS}) t(metric, mean, sd)), z AS (SELECT metric, value, (value - mean) / CAST(sd AS DOUBLE) AS z FROM v JOIN n USING (metric))
+SELECT metric, value, round(z, 5) AS z, CASE WHEN abs(z) > 2 THEN 'significant' WHEN abs(z) > 1 THEN 'marginal' ELSE 'normal' END AS flag FROM z""")
 def zscore_norms(spark: SparkSession, d: str) -> DataFrame:
-    m = gr.density(inp.graph(spark, d)).select(F.lit("density").alias("metric"), F.col("density").alias("value"))
-    return rp.z_scores(m).select("metric", r("value").alias("value"), r("z", 5).alias("z"), "flag")
+    """All six metrics of the graph against their norms; modularity is that of the lobes."""
+    value = {k: gp.Q[q](spark, d).select(F.lit(k).alias("metric"), r(k).alias("value")) for k, q in _SIX.items()}
+    rows = gp.Q["weighted_clustering"](spark, d).agg(r(F.avg("clustering")).alias("value")).select(F.lit("clustering").alias("metric"), "value")
+    for x in value.values():
+        rows = rows.union(x)
+    return rp.z_scores(rows).select("metric", "value", r("z", 5).alias("z"), "flag")
 
 
 def _summary(spark: SparkSession, d: str, strategy: str = "targeted") -> DataFrame:
@@ -237,11 +249,11 @@ def metrics_mapping(spark: SparkSession, d: str) -> DataFrame:
     return rp.metrics_mapping(_summary(spark, d))
 
 
-@query()
+@query(f"WITH RECURSIVE {GRAPH} {inp.DISTANCES} {inp.BETWEENNESS} SELECT node, round(betweenness * degree, 6) AS vulnerability FROM deg JOIN bw USING (node) ORDER BY betweenness * degree DESC, node LIMIT 15")
 def vulnerability_top(spark: SparkSession, d: str) -> DataFrame:
     """Degree times betweenness."""
-    one = inp.graph(spark, d).withColumn("subject", F.lit("all"))
-    return rp.vulnerability(gr.node_metrics(one, ["subject"])).select("node", r("vulnerability").alias("vulnerability"))
+    g = inp.graph(spark, d)
+    return rp.vulnerability(gr.degree_strength(g).join(pt.betweenness(g), "node")).select("node", r("vulnerability").alias("vulnerability"))
 
 
 @query("SELECT * FROM (VALUES ('error', 'finite', true), ('error', 'volumes', true), ('error', 'bvals', true), ('error', 'bvecs', true), ('warning', 'negative', true), ('warning', 'range', true), ('warning', 'constant', true)) t(level, \"check\", passed)")
