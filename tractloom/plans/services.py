@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +17,9 @@ from tractloom.operators import voxels as vx
 from tractloom.plans import graphs as gp
 from tractloom.plans import inputs as inp
 from tractloom.plans import models as md
-from tractloom.plans.inputs import GRAPH, MASK, VOLUME, r, table
-from tractloom.sources import sinks
+from tractloom.plans.inputs import GRAPH, MASK, POINTS, VOLUME, r, table
+from tractloom.session import checkpoint_folder
+from tractloom.sources import files, sinks
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -324,3 +327,30 @@ def job_progress(spark: SparkSession, d: str) -> DataFrame:
 SELECT 'whole_brain' AS strategy, 42 AS rng_seed, 'per_voxel=2, scale=0.5' AS parameters, count(*) AS n, CAST(sum(CAST(CAST('0x' || substr(md5(value), 1, 10) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS checksum FROM v""")
 def seed_log(spark: SparkSession, d: str) -> DataFrame:
     return sinks.seed_log(seeds_whole_brain(spark, d), "whole_brain", 42, per_voxel=2, scale=0.5)
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder where all machines can write."""
+    checkpoint_folder(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/files-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {VOLUME} SELECT CAST('part-' || z % 2 AS VARCHAR) AS name, x, y, CAST(z AS INTEGER) AS z, value FROM vol WHERE value <> 0")
+def nifti_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """The volume as two NIfTI files of doubles, written by the sink and read back by slabs; voxels without a row are 0 in a file."""
+    where = _folder(spark)
+    v = inp.volume(spark, d).select(F.concat(F.lit("part-"), F.col("z") % 2).alias("name"), "x", "y", F.col("z").cast("int").alias("z"), "value")
+    files.write_nifti(v, where, kind="f8")
+    back = spark.read.format("nifti").option("pieceBytes", 1 << 16).load(where)
+    return back.where("value <> 0").select(F.regexp_extract("path", r"(part-\d)\.nii$", 1).alias("name"), "x", "y", "z", "value")
+
+
+@query(f"""WITH {POINTS}, f AS (SELECT sl_id, pos, CAST(CAST(x AS FLOAT) AS DOUBLE) AS x, CAST(CAST(y AS FLOAT) AS DOUBLE) AS y FROM pts)
+SELECT count(*) AS n, round(arg_min(x, pos), 4) AS first_x, round(arg_max(x, pos), 4) AS last_x, round(sum(y), 3) AS sum_y FROM f GROUP BY sl_id""")
+def tck_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """All paths as TCK files, one a task, read back by ranges of points."""
+    where = _folder(spark)
+    files.write_lines(inp.streamlines(spark, d), where, "tck")
+    back = spark.read.format("tck").option("pieceBytes", 1 << 16).load(where)
+    p = F.col("points")
+    return back.select(F.size(p).cast("long").alias("n"), r(p[0]["x"], 4).alias("first_x"), r(F.element_at(p, -1)["x"], 4).alias("last_x"), r(F.aggregate(p, F.lit(0.0), lambda a, q: a + q["y"]), 3).alias("sum_y"))

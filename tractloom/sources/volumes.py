@@ -42,12 +42,12 @@ def nifti_array(raw: bytes) -> tuple[dict, np.ndarray]:
     return h, a * h["slope"] + h["inter"] if h["slope"] not in (0.0, 1.0) or h["inter"] else a
 
 
-def nifti_bytes(a: np.ndarray, affine: np.ndarray | None = None, zooms: tuple[float, ...] | None = None) -> bytes:
-    """A single-file NIfTI-1 volume of 32-bit floats."""
+def nifti_bytes(a: np.ndarray, affine: np.ndarray | None = None, zooms: tuple[float, ...] | None = None, kind: str = "f4") -> bytes:
+    """A single-file NIfTI-1 volume, of 32-bit floats unless kind names another type."""
     raw = bytearray(352)
     struct.pack_into("<i", raw, 0, 348)
     struct.pack_into("<8h", raw, 40, a.ndim, *a.shape, *[1] * (7 - a.ndim))
-    struct.pack_into("<hh", raw, 70, 16, 32)
+    struct.pack_into("<hh", raw, 70, next(k for k, v in KINDS.items() if v == kind), 8 * np.dtype(kind).itemsize)
     z = zooms or (1.0,) * a.ndim
     struct.pack_into("<8f", raw, 76, 1.0, *z, *[1.0] * (7 - len(z)))
     struct.pack_into("<fff", raw, 108, 352.0, 1.0, 0.0)
@@ -56,7 +56,7 @@ def nifti_bytes(a: np.ndarray, affine: np.ndarray | None = None, zooms: tuple[fl
     for r in range(3):
         struct.pack_into("<4f", raw, 280 + 16 * r, *m[r])
     raw[344:348] = b"n+1\0"
-    return bytes(raw) + np.asarray(a, "<f4").tobytes(order="F")
+    return bytes(raw) + np.asarray(a, "<" + kind).tobytes(order="F")
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
