@@ -116,16 +116,24 @@ def effect_sizes(values: DataFrame, keys: list[str]) -> DataFrame:
     return a.select(*keys, "n0", "n1", diff.alias("difference"), d.alias("cohens_d"), (d * (1 - 3.0 / (4 * df - 1))).alias("hedges_g"), F.coalesce(F.try_divide(diff, F.sqrt("v1")), F.lit(0.0)).alias("glass_delta"), t.alias("t"), df.alias("df"))
 
 
+#: Replicates whose sums are columns of one row.
+REPLICATES = 50
+
+
 def bootstrap(values: DataFrame, keys: list[str], n_boot: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
     """Percentile interval of the mean. Slot k of replicate r takes the row at floor(u(r, k) n) of the group's order by id. values (keys, id, value).
 
-    A replicate needs one value per slot: the rows are n times replicates per group, made where the group's values are.
+    Picks depend on replicate, slot and n alone, so they are drawn once for each size that a group has, as how often each
+    place is taken by the replicates of a chunk. A value then adds to all means of a chunk at once, on the map side.
     """
     order = Window.partitionBy(*keys).orderBy("id")
     x = values.withColumn("k", F.row_number().over(order) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-    slots = x.select(*keys, "k", "n", F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("r"))
-    picked = slots.select(*keys, "r", F.floor(rng.uniform(seed, "r", "k") * F.col("n")).alias("k"))
-    mean = picked.join(x.select(*keys, "k", "value"), [*keys, "k"]).groupBy(*keys, "r").agg(F.avg("value").alias("mean"))
+    sizes = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).select("n").distinct()
+    slots = sizes.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
+    picked = slots.select("n", F.floor(rng.uniform(seed, "r", "k") * F.col("n")).cast("long").alias("k"), F.floor((F.col("r") - 1) / REPLICATES).cast("int").alias("chunk"), ((F.col("r") - 1) % REPLICATES).alias("r"))
+    times = picked.groupBy("n", "k", "chunk").agg(F.array(*[F.count_if(F.col("r") == i) for i in range(REPLICATES)]).alias("times"))
+    sums = x.withColumn("k", F.col("k").cast("long")).join(times, ["n", "k"]).groupBy(*keys, "n", "chunk").agg(F.array(*[F.sum(F.col("value") * F.col("times")[i]) for i in range(REPLICATES)]).alias("s"))
+    mean = sums.select(*keys, "chunk", F.posexplode("s").alias("i", "s"), "n").where(F.col("chunk") * REPLICATES + F.col("i") < n_boot).select(*keys, (F.col("s") / F.col("n")).alias("mean"))
     low = (1 - level) / 2
     ci = mean.groupBy(*keys).agg(F.percentile("mean", low).alias("low"), F.percentile("mean", 1 - low).alias("high"))
     return values.groupBy(*keys).agg(F.avg("value").alias("estimate")).join(ci, keys)

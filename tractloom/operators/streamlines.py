@@ -108,8 +108,11 @@ def mdf_pairs(lines: DataFrame, most: float | None = None) -> DataFrame:
     cell = lines.select("sl_id", "points", *[F.floor(mean(c) / most).alias("c" + c) for c in "xyz"])
     around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]))
     a = cell.select(F.col("sl_id").alias("a"), F.col("points").alias("pa"), "cx", "cy", "cz")
-    b = cell.withColumn("o", around).select(F.col("sl_id").alias("b"), F.col("points").alias("pb"), (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"), (F.col("cz") + F.col("o.k")).alias("cz"))
-    return a.join(b, ["cx", "cy", "cz"]).where("a < b").select("a", "b", g.mdf(F.col("pa"), F.col("pb")).alias("mdf")).where(F.col("mdf") < most)
+    b = cell.withColumn("o", around).select(F.col("sl_id").alias("b"), (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"), (F.col("cz") + F.col("o.k")).alias("cz"))
+    pairs = a.drop("pa").join(b, ["cx", "cy", "cz"]).where("a < b").select("a", "b")
+    # Cells are met by ids alone; points join the pairs that are left.
+    paths = lambda k: lines.select(F.col("sl_id").alias(k), F.col("points").alias("p" + k))
+    return pairs.join(paths("a"), "a").join(paths("b"), "b").select("a", "b", g.mdf(F.col("pa"), F.col("pb")).alias("mdf")).where(F.col("mdf") < most)
 
 
 def consistency(lines: DataFrame, run: str) -> DataFrame:
