@@ -55,12 +55,37 @@ def test_local_metrics_on_frames(spark):
 def test_communities_of_two_cliques():
     a = [(i, j) for i in range(5) for j in range(i + 1, 5)]
     x = graph(a + [(i + 5, j + 5) for i, j in a] + [(0, 5)])
-    for refine in (False, True):
-        c = gr.louvain(x, refine=refine)
+    for find in (gr.louvain, gr.leiden):
+        c = find(x)
         assert len(set(c[:5])) == 1 and len(set(c[5:])) == 1 and c[0] != c[5]
         assert gr.partition_quality(x, c) == pytest.approx(20 / 21 - 2 * (21 / 42) ** 2, abs=1e-9)
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_leiden(seed):
+    """Connected communities, no gain left for a single node, and no worse than Louvain."""
+    r = np.random.default_rng(seed)
+    n = 30
+    pairs = [(i, j) for i in range(n) for j in range(i + 1, n) if r.random() < (0.5 if i % 4 == j % 4 else 0.06)]
+    x = gr.Graph(*(np.array(p) for p in zip(*pairs, strict=True)), r.random(len(pairs)) + 0.1)
+    c = gr.leiden(x)
+    q = gr.partition_quality(x, c)
+    assert (gr._parts(x.w, c) == np.array([np.flatnonzero(c == k)[0] for k in c])).all()
+    for v in range(x.n):
+        for k in {*c.tolist(), x.n}:
+            moved = c.copy()
+            moved[v] = k
+            assert gr.partition_quality(x, moved) <= q + 1e-9
+    assert q >= gr.partition_quality(x, gr.louvain(x)) - 1e-9
+
+
+def test_leiden_splits_what_hangs_by_a_bridge_alone():
+    x = graph([(0, 1), (1, 2), (0, 2), (3, 4), (4, 5), (3, 5)])
+    assert (gr._leiden(x, np.zeros(6, np.int64), 1.0) == np.array([0, 0, 0, 1, 1, 1])).all()
+    w = graph([(0, 1), (1, 2), (3, 4)]).w
+    assert gr._refined(w, np.zeros(5, np.int64), 1.0).tolist()[3:] != [0, 0]
+
+
 def test_paths(spark):
     pts = lambda *p: [dict(zip("xyz", map(float, q), strict=True)) for q in p]
     a = pts((0, 0, 0), (3, 4, 0), (3, 4, 12))
