@@ -222,9 +222,22 @@ def sorted_arrays(lang: np.ndarray, gram: np.ndarray, p: np.ndarray) -> tuple[np
 
 
 def score_by_broadcast(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """docs (doc_id, lang, text) scored in one narrow pass; only for a model whose rows were counted."""
-    m = model.toPandas()
-    shared = docs.sparkSession.sparkContext.broadcast(sorted_arrays(*[m[c].to_numpy() for c in ("lang_id", "gram", "p")]))
+    """docs (doc_id, lang, text) scored in one narrow pass; only for a model whose rows were counted.
+
+    Tasks turn the model's rows into bytes of keys and chances, 16 a row; the driver takes them partition by partition and sorts them once.
+    """
+
+    def compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                key, p = sorted_arrays(*[b.column(k).to_numpy() for k in range(3)])
+                yield pa.RecordBatch.from_arrays([pa.array([key.tobytes()]), pa.array([p.tobytes()])], names=["k", "p"])
+
+    got = [(np.frombuffer(r.k, np.uint64), np.frombuffer(r.p, np.float64)) for r in model.select("lang_id", "gram", "p").mapInArrow(compact, "k binary, p binary").toLocalIterator()]
+    key, p = (np.concatenate([np.zeros(0, t), *[g[c] for g in got]]) for c, t in enumerate((np.uint64, np.float64)))
+    del got
+    o = np.argsort(key)
+    shared = docs.sparkSession.sparkContext.broadcast((key[o], p[o]))
 
     def make() -> Callable:
         chances = Chances(*shared.value)
@@ -272,6 +285,7 @@ def score_by_packs(docs: DataFrame, model: DataFrame, pack_bytes: int = PACK_BYT
 
 
 def score(docs: DataFrame, model: DataFrame, most: int = BROADCAST_GRAMS) -> DataFrame:
+    model = stored(model, "model")
     return score_by_broadcast(docs, model) if model.count() <= most else score_by_packs(docs, model)
 
 
