@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tractloom.operators import connectome as cn
 from tractloom.operators import harmonize as hz
+from tractloom.operators import explain as ex
 from tractloom.operators import learning as ml
 from tractloom.operators import preprocessing as pp
 from tractloom.operators import training as tr
@@ -164,6 +165,13 @@ def linear_explanations(spark: SparkSession, d: str) -> DataFrame:
     return ml.top_contributions(ml.linear_contributions(ml.classifier(n=x.count()).fit(x), x), 5)
 
 
+@query()
+def tree_explanations(spark: SparkSession, d: str) -> DataFrame:
+    """The five features that move each prediction of a forest most."""
+    x = ml.with_vector(_binary(spark, d))
+    return ml.top_contributions(ex.tree_contributions(ml.classifier("random_forest", trees=20).fit(x), x), 5)
+
+
 # Voxels.
 
 
