@@ -259,10 +259,28 @@ def vulnerability_top(spark: SparkSession, d: str) -> DataFrame:
     return rp.vulnerability(gr.degree_strength(g).join(pt.betweenness(g), "node")).select("node", r("vulnerability").alias("vulnerability"))
 
 
-@query("SELECT * FROM (VALUES ('error', 'finite', true), ('error', 'volumes', true), ('error', 'bvals', true), ('error', 'bvecs', true), ('warning', 'negative', true), ('warning', 'range', true), ('warning', 'constant', true)) t(level, \"check\", passed)")
+#: Scans made of the volume: one in order, one with NaN, negative values and too few gradients, one of a single value.
+_SCANS = {
+    "sound": ("[value + 1, 2 * value + n]", 2, 2),
+    "broken": ("[value - 30, CASE WHEN n % 7 = 0 THEN CAST('NaN' AS DOUBLE) ELSE CAST(n AS DOUBLE) END, value]", 4, 2),
+    "constant": ("[CAST(5 AS DOUBLE), CAST(5 AS DOUBLE)]", 2, 2),
+}
+_CHECKS = "('error', 'finite', bad = 0), ('error', 'volumes', n0 = n1), ('error', 'bvals', n1 = {b}), ('error', 'bvecs', n1 = {v}), ('warning', 'negative', low >= 0), ('warning', 'range', high <= 1e6), ('warning', 'constant', high > low)"
+
+
+def _scan_sql(name: str, signal: str, b: int, v: int) -> str:
+    agg = f"(SELECT count(*) FILTER (len(list_filter(s, lambda x: x IS NULL OR isnan(x))) > 0) AS bad, min(len(s)) AS n0, max(len(s)) AS n1, min(list_min(s)) AS low, max(list_max(s)) AS high FROM (SELECT {signal} AS s FROM vol))"
+    return f"""SELECT '{name}' AS scan, t.level, t."check", t.passed FROM {agg} a, LATERAL (VALUES {_CHECKS.format(b=b, v=v)}) t(level, "check", passed)"""
+
+
+@query(f"WITH {VOLUME} " + " UNION ALL ".join(_scan_sql(k, *x) for k, x in _SCANS.items()))
 def quality_checks(spark: SparkSession, d: str) -> DataFrame:
-    sig, b, v = md._signals(spark, d)
-    return rp.quality_rows(sig, len(b), len(v))
+    """Checks of a sound scan and of two that must fail some."""
+    rows = []
+    for name, (signal, b, v) in _SCANS.items():
+        sig = inp.volume(spark, d).select("x", "y", "z", F.expr("array(" + signal[1:-1] + ")").alias("signal"))
+        rows.append(rp.quality_rows(sig, b, v).select(F.lit(name).alias("scan"), "level", "check", "passed"))
+    return rows[0].union(rows[1]).union(rows[2])
 
 
 @query(f"WITH {VOLUME} SELECT count(*) AS lines, CAST(sum(length(v)) AS BIGINT) AS chars FROM (SELECT printf('%.6f', value) AS v FROM vol)")
