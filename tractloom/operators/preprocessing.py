@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tractloom.operators import registration as rg
 from tractloom.operators import voxels as vx
 
 
@@ -16,13 +17,17 @@ def mean_unweighted(signal: DataFrame, grad: DataFrame, b0: float = 50.0) -> Dat
     return signal.crossJoin(F.broadcast(flags)).select("x", "y", "z", mean.alias("value"))
 
 
-def preprocess(signal: DataFrame, grad: DataFrame, extract: bool = True, correct: bool = True, sigma: float = 15.0) -> dict[str, DataFrame]:
-    """signal, grad, mask and qc of a scan: gradients rounded and normalised, background removed, bias divided out of every volume.
+def preprocess(signal: DataFrame, grad: DataFrame, extract: bool = True, correct: bool = True, sigma: float = 15.0, motion: str | None = None) -> dict[str, DataFrame]:
+    """signal, grad, mask and qc of a scan: gradients rounded and normalised, volumes moved to the unweighted one, background removed, bias divided out of every volume.
 
     signal (x, y, z, signal), grad (vol, bval, gx, gy, gz). extract and correct leave a step out. The mask is the largest
-    part above the threshold that best separates the mean unweighted volume. Motion is not corrected.
+    part above the threshold that best separates the mean unweighted volume. motion is rigid, affine or None (volumes stay
+    where they are); with it, gradients turn with their volumes, and qc has the summary of the motions.
     """
     table = vx.normalized_bvecs(vx.rounded_bvals(grad))
+    moves = None
+    if motion:
+        signal, table, moves = rg.motion_corrected(signal, table, kind=motion)
     mean = mean_unweighted(signal, table)
     mask = mean.select("x", "y", "z")
     if extract:
@@ -35,5 +40,7 @@ def preprocess(signal: DataFrame, grad: DataFrame, extract: bool = True, correct
         out = out.join(field, ["x", "y", "z"]).select("x", "y", "z", F.transform("signal", lambda v: v / F.col("field")).alias("signal"))
         after = vx.variation(vx.bias_corrected(inner, field), mask).select(F.col("cv").alias("cv_after"))
     qc = vx.gradient_quality(table).select("n_b0", "n_dwi", F.col("valid").alias("gradients_valid")).crossJoin(vx.mask_quality(mean, mask)).crossJoin(before).crossJoin(after)
+    if moves is not None:
+        qc = qc.crossJoin(vx.motion_summary(moves))
     good = F.col("gradients_valid") & F.col("fraction").between(0.05, 0.95)
     return {"signal": out, "grad": table, "mask": mask, "qc": qc.withColumn("passed", good)}

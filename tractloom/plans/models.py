@@ -10,6 +10,7 @@ from tractloom.operators import harmonize as hz
 from tractloom.operators import explain as ex
 from tractloom.operators import learning as ml
 from tractloom.operators import preprocessing as pp
+from tractloom.operators import registration as rg
 from tractloom.operators import training as tr
 from tractloom.operators import voxels as vx
 from tractloom.plans import inputs as inp
@@ -370,6 +371,23 @@ def preprocessing(spark: SparkSession, d: str) -> DataFrame:
     return pp.preprocess(s, _scan_gradients(spark, b, v), sigma=2.0)["qc"]
 
 
+_SHIFTS = {0: (0.0, 0.0, 0.0), 1: (1.5, 0.0, 0.0), 2: (0.0, -1.25, 0.5), 3: (-0.75, 1.0, 0.0)}
+
+
+@query()
+def motion_correction(spark: SparkSession, d: str) -> DataFrame:
+    """The table's volume, smoothed and around 0, and copies of it that are shifted: each shift as it was planted and as registration by correlation finds it (these 16 x 16 x 7 voxels are few for a joint histogram)."""
+    v = inp.volume(spark, d).select("x", "y", "z", "value")
+    for axis in "xyz":
+        v = vx.convolve_axis(v, axis, vx.gaussian(1.5))
+    v = v.crossJoin(F.broadcast(v.agg(F.avg("value").alias("mean")))).select("x", "y", "z", (F.col("value") - F.col("mean")).alias("value"))
+    planted = spark.createDataFrame([(k, *s) for k, s in _SHIFTS.items()], "vol int, px double, py double, pz double")
+    at = planted.select("vol", *[(-F.col("p" + c)).alias("t" + c) for c in "xyz"], F.array(*[F.lit(float(k % 4 == 0)) for k in range(9)]).alias("matrix"), F.array(*[F.lit(0.0)] * 3).alias("centre"))
+    copies = v.crossJoin(F.broadcast(planted.select("vol")))
+    volumes = rg.moved_back(copies, at).join(v.withColumnRenamed("value", "reference"), ["x", "y", "z"])
+    return rg.motions(volumes, metric="cc").join(planted, "vol").select("vol", "px", "py", "pz", *[r(c, 4).alias(c) for c in ("tx", "ty", "tz", "rx", "ry", "rz", "before", "after")])
+
+
 @query()
 def training_report(spark: SparkSession, d: str) -> DataFrame:
     return tr.train(_binary(spark, d))[1]
