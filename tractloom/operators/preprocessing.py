@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tractloom.operators import registration as rg
+from tractloom.operators import tiles as tl
 from tractloom.operators import voxels as vx
 
 
@@ -17,13 +18,16 @@ def mean_unweighted(signal: DataFrame, grad: DataFrame, b0: float = 50.0) -> Dat
     return signal.crossJoin(F.broadcast(flags)).select("x", "y", "z", mean.alias("value"))
 
 
-def preprocess(signal: DataFrame, grad: DataFrame, extract: bool = True, correct: bool = True, sigma: float = 15.0, motion: str | None = None) -> dict[str, DataFrame]:
+def preprocess(signal: DataFrame, grad: DataFrame, extract: bool = True, correct: bool = True, sigma: float = 15.0, motion: str | None = None, method: str = "otsu", radius: int = 4, passes: int = 4) -> dict[str, DataFrame]:
     """signal, grad, mask and qc of a scan: gradients rounded and normalised, volumes moved to the unweighted one, background removed, bias divided out of every volume.
 
     signal (x, y, z, signal), grad (vol, bval, gx, gy, gz). extract and correct leave a step out. The mask is the largest
-    part above the threshold that best separates the mean unweighted volume. motion is rigid, affine or None (volumes stay
+    part above the threshold that best separates the mean unweighted volume. method is otsu, or median_otsu,
+    which takes medians within radius voxels first, passes times. motion is rigid, affine or None (volumes stay
     where they are); with it, gradients turn with their volumes, and qc has the summary of the motions.
     """
+    if method not in ("otsu", "median_otsu"):
+        raise ValueError("method is otsu or median_otsu")
     table = vx.normalized_bvecs(vx.rounded_bvals(grad))
     moves = None
     if motion:
@@ -31,7 +35,8 @@ def preprocess(signal: DataFrame, grad: DataFrame, extract: bool = True, correct
     mean = mean_unweighted(signal, table)
     mask = mean.select("x", "y", "z")
     if extract:
-        mask = vx.largest_component(mean.crossJoin(F.broadcast(vx.otsu(mean))).where("value > threshold").select("x", "y", "z"))
+        bright = tl.median_otsu(mean, radius, passes) if method == "median_otsu" else mean.crossJoin(F.broadcast(vx.otsu(mean))).where("value > threshold").select("x", "y", "z")
+        mask = vx.largest_component(bright)
     inner = vx.masked(mean, mask)
     before = vx.variation(inner, mask).select(F.col("cv").alias("cv_before"))
     out, after = vx.masked(signal, mask), before.select(F.col("cv_before").alias("cv_after"))

@@ -11,6 +11,7 @@ from tractloom.operators import explain as ex
 from tractloom.operators import learning as ml
 from tractloom.operators import preprocessing as pp
 from tractloom.operators import registration as rg
+from tractloom.operators import tiles as tl
 from tractloom.operators import training as tr
 from tractloom.operators import voxels as vx
 from tractloom.plans import inputs as inp
@@ -371,6 +372,30 @@ def preprocessing(spark: SparkSession, d: str) -> DataFrame:
     return pp.preprocess(s, _scan_gradients(spark, b, v), sigma=2.0)["qc"]
 
 
+def _medians(name: str, before: str) -> str:
+    return f", {name} AS (SELECT a.x, a.y, a.z, median(b.value) AS value FROM {before} a JOIN {before} b ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND abs(a.z - b.z) <= 1 GROUP BY 1, 2, 3)"
+
+
+@query(f"WITH {VOLUME}{_medians('m', 'vol')} SELECT x, y, z, round(value, 5) AS value FROM m")
+def median_filter(spark: SparkSession, d: str) -> DataFrame:
+    return tl.median(inp.volume(spark, d), 1, edge=8).select("x", "y", "z", r("value", 5).alias("value"))
+
+
+@query(f"""WITH {VOLUME}{_medians('m1', 'vol')}{_medians('m2', 'm1')}, s AS (SELECT min(value) AS lo, (max(value) - min(value)) / 256 AS w FROM m2 WHERE value > 0), b AS (SELECT CAST(least(floor((value - lo) / w), 255) AS INTEGER) AS bin, lo, w FROM m2, s WHERE value > 0),
+h AS (SELECT any_value(lo) + bin * any_value(w) + any_value(w) / 2 AS c, count(*) AS n, bin FROM b GROUP BY bin), f AS (SELECT c, sum(n) OVER o AS w1, sum(n * c) OVER o AS s1, sum(n) OVER () - sum(n) OVER o AS w2, sum(n * c) OVER () - sum(n * c) OVER o AS s2 FROM h WINDOW o AS (ORDER BY bin)),
+t AS (SELECT arg_max(c, w1 * w2 * pow(s1 / (w1 + 1e-10) - s2 / (w2 + 1e-10), 2)) AS c FROM f) SELECT x, y, z FROM m2, t WHERE value > c""")
+def median_otsu_mask(spark: SparkSession, d: str) -> DataFrame:
+    return tl.median_otsu(inp.volume(spark, d), 1, 2, edge=8)
+
+
+_SIX = "abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z) <= 1"
+
+
+@query(f"WITH {MASK}, e AS (SELECT a.x, a.y, a.z FROM mask a JOIN mask b ON {_SIX} GROUP BY 1, 2, 3 HAVING count(*) = 7) SELECT DISTINCT b.x + k[1] AS x, b.y + k[2] AS y, b.z + k[3] AS z FROM e b, (SELECT unnest([[0,0,0],[1,0,0],[-1,0,0],[0,1,0],[0,-1,0],[0,0,1],[0,0,-1]]) AS k)")
+def mask_opened(spark: SparkSession, d: str) -> DataFrame:
+    return tl.morphology(inp.mask(spark, d), "ed", edge=8)
+
+
 _SHIFTS = {0: (0.0, 0.0, 0.0), 1: (1.5, 0.0, 0.0), 2: (0.0, -1.25, 0.5), 3: (-0.75, 1.0, 0.0)}
 
 
