@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tractloom.operators import connectome as cn
 from tractloom.operators import harmonize as hz
+from tractloom.operators import harmonizer as hr
 from tractloom.operators import explain as ex
 from tractloom.operators import learning as ml
 from tractloom.operators import preprocessing as pp
@@ -59,6 +60,13 @@ def combat_harmonized(spark: SparkSession, d: str) -> DataFrame:
     return hz.combat(_batched(spark, d)).select("id", "batch", "feature", r("value", 5).alias("value"))
 
 
+@query(SQL["combat_harmonized"])
+def harmonizer_transform(spark: SparkSession, d: str) -> DataFrame:
+    """The fitted form, row by row: on the rows of the fit it is the one-step form."""
+    x = _batched(spark, d)
+    return hr.Harmonizer(location="fitted").fit(x).transform(x).select("id", "batch", "feature", r("value", 5).alias("value"))
+
+
 @query(f"WITH {FEATURES}, x AS (SELECT id, feature, value, CAST(id AS DOUBLE) AS c FROM feat), b AS (SELECT feature, regr_slope(value, c) AS s, regr_intercept(value, c) AS i, avg(value) AS m FROM x GROUP BY 1) SELECT id, feature, round(value - s * c - i + m, 5) AS value FROM x JOIN b USING (feature)")
 def confound_residual(spark: SparkSession, d: str) -> DataFrame:
     v = inp.features(spark, d).select("id", "feature", "value")
