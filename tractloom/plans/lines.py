@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tractloom.functions import geometry as g
 from tractloom.functions import rng
 from tractloom.operators import connectome as cn
+from tractloom.operators import resample as rs
 from tractloom.operators import stats as st
 from tractloom.operators import streamlines as sl
 from tractloom.plans import inputs as inp
@@ -335,6 +336,20 @@ def bootstrap_ci_whole(spark: SparkSession, d: str) -> DataFrame:
     return st.bootstrap_in_batches(v, "label", 10000, level=0.95).select("label", "feature", *[r(c).alias(c) for c in ("estimate", "low", "high")])
 
 
+@query()
+def bootstrap_variation(spark: SparkSession, d: str) -> DataFrame:
+    """Standard deviation of each feature within each label, a statistic of three sums."""
+    v = inp.features(spark, d)
+    sums = {"n": F.lit(1), "s": F.col("value"), "ss": F.col("value") * F.col("value")}
+    reps = rs.replicates(v, ["label", "feature"], "id", sums, lambda n, s, ss: F.sqrt(F.greatest(F.try_divide(ss, n) - F.pow(F.try_divide(s, n), 2), F.lit(0.0))), 500)
+    return rs.interval(reps, ["label", "feature"])
+
+
+@query()
+def bootstrap_median(spark: SparkSession, d: str) -> DataFrame:
+    return rs.quantile_interval(inp.features(spark, d), ["label", "feature"], n_boot=500)
+
+
 @query()
 def mass_univariate(spark: SparkSession, d: str) -> DataFrame:
     return st.mass_univariate(_two_groups(spark, d))
