@@ -11,12 +11,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def bounds(df: DataFrame, value: str, parts: int | None = None) -> list[float]:
+    """Values that cut the rows into about equal parts."""
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sorted(set(df.approxQuantile(value, [k / n for k in range(1, n)], 0.01))) if n > 1 else []
+
+
+def bucket(value: str, cuts: list[float]) -> Column:
+    """The number of bounds below a value."""
+    return F.size(F.filter(F.array(*[F.lit(b) for b in cuts]), lambda x: x < F.col(value))) if cuts else F.lit(0)
+
+
 def bucketed(df: DataFrame, value: str, parts: int | None = None) -> DataFrame:
     """df with _b, which rises with value; null values come first."""
-    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = sorted(set(df.approxQuantile(value, [k / n for k in range(1, n)], 0.01))) if n > 1 else []
-    over = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda x: x < F.col(value))) if bounds else F.lit(0)
-    return df.withColumn("_b", F.when(F.col(value).isNull(), -1).otherwise(over))
+    return df.withColumn("_b", F.when(F.col(value).isNull(), -1).otherwise(bucket(value, bounds(df, value, parts))))
 
 
 def running(df: DataFrame, value: str, sums: dict[str, Column], ties: tuple[str, ...] = (), descending: bool = False, inclusive: bool = True, kind: str = "sum") -> DataFrame:

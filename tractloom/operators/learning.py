@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tractloom.functions import rng
 from tractloom.functions import scalars as s
-from tractloom.functions.ordered import running
+from tractloom.functions.ordered import bounds, bucket, running
 
 # scored: (id, y 0/1, score)
 
@@ -174,23 +174,33 @@ def auc_permutation(df: DataFrame, n_perm: int = 100, k: int = 5, kind: str = "l
     return spark.createDataFrame([(float(observed), (hits + 1) / (n_perm + 1), n_perm)], "observed double, p double, n_perm int")
 
 
-def permutation_importance(model: PipelineModel, df: DataFrame, seed: int = 42) -> DataFrame:
-    """(feature, importance): how much the AUC falls when a feature's values are dealt to other rows. df (id, label, features); all features in one pass."""
+def partners(df: DataFrame, seed: int = 42) -> DataFrame:
+    """df (id, label, features) with _other, the features of the row that each is dealt: a permutation of the rows."""
     x = df.select("id", "label", "features")
-    each = x.select("id", "label", "features", F.posexplode("features").alias("feature", "value"))
-    u = rng.uniform(seed, "feature", "id")
-    at = each.withColumn("u", u)
-    w = Window.partitionBy("feature")
-    to = at.select("feature", F.row_number().over(w.orderBy("u", "id")).alias("place"), F.col("value").alias("other"))
-    swapped = each.withColumn("place", F.row_number().over(w.orderBy("id"))).join(to, ["feature", "place"])
-    swapped = swapped.select("feature", "id", "label", F.transform("features", lambda v, k: F.when(k == F.col("feature"), F.col("other")).otherwise(v)).alias("features"))
-    real = x.select(F.lit(-1).alias("feature"), "id", "label", "features")
-    p = model.transform(with_vector(real.union(swapped))).select("feature", "label", vector_to_array("probability")[1].alias("score"))
+    placed = lambda k: running(x.withColumn("_u", rng.uniform(seed, F.lit(k), "id")), "_u", {"_place": F.lit(1)}, ties=("id",)).drop("_u")
+    return placed("to").join(placed("from").select("_place", F.col("features").alias("_other")), "_place").drop("_place")
+
+
+def permutation_importance(model: PipelineModel, df: DataFrame, seed: int = 42) -> DataFrame:
+    """(feature, importance): how much the AUC falls when a feature's values come from other rows. df (id, label, features).
+
+    One permutation of rows serves every feature, so only whole rows are shuffled; the rows of each feature are made where
+    they are scored, and leave as counts of scores. These are ordered in buckets of the unchanged rows' scores.
+    """
+    each = partners(df, seed).withColumn("feature", F.explode(F.sequence(F.lit(-1), F.size("features") - 1)))  # -1 changes nothing
+    swapped = each.select("feature", "label", F.transform("features", lambda v, k: F.when(k == F.col("feature"), F.col("_other")[k]).otherwise(v)).alias("features"))
+    score = vector_to_array("probability")[1].alias("score")
+    cuts = bounds(model.transform(with_vector(df.select("features"))).select(score), "score")
+    p = model.transform(with_vector(swapped)).select("feature", "label", score)
     # AUC by counts of each score: pairs of a positive and a negative row in the right order, ties half.
-    n = p.groupBy("feature", "score").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
-    below = Window.partitionBy("feature").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    pairs = n.withColumn("less", F.coalesce(F.sum("neg").over(below), F.lit(0)))
-    auc = pairs.groupBy("feature").agg((F.sum(F.col("pos") * (F.col("less") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("auc"))
+    n = p.groupBy("feature", "score").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")).withColumn("_b", bucket("score", cuts))
+    first = Window.unboundedPreceding
+    lower = Window.partitionBy("_f").orderBy("_c").rowsBetween(first, -1)
+    skip = n.groupBy(F.col("feature").alias("_f"), F.col("_b").alias("_c")).agg(F.sum("neg").alias("k")).select("_f", "_c", F.coalesce(F.sum("k").over(lower), F.lit(0)).alias("skip"))
+    inner = Window.partitionBy("feature", "_b").orderBy("score").rowsBetween(first, -1)
+    pairs = n.withColumn("less", F.coalesce(F.sum("neg").over(inner), F.lit(0))).join(skip, (F.col("feature") == F.col("_f")) & (F.col("_b") == F.col("_c")))
+    less = F.col("skip") + F.col("less")
+    auc = pairs.groupBy("feature").agg(F.try_divide(F.sum(F.col("pos") * (less + F.col("neg") / 2)), F.sum("pos") * F.sum("neg")).alias("auc"))
     base = auc.where("feature < 0").select(F.col("auc").alias("base"))
     return auc.where("feature >= 0").crossJoin(F.broadcast(base)).select("feature", (F.col("base") - F.col("auc")).alias("importance"))
 
