@@ -187,7 +187,8 @@ def permutation_importance(model: PipelineModel, df: DataFrame, seed: int = 42)
     One permutation of rows serves every feature, so only whole rows are shuffled; the rows of each feature are made where
     they are scored, and leave as counts of scores. These are ordered in buckets of the unchanged rows' scores.
     """
-    each = partners(df, seed).withColumn("feature", F.explode(F.sequence(F.lit(-1), F.size("features") - 1)))  # -1 changes nothing
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # rows grow by the number of features after this: few tasks would hold them
+    each = partners(df, seed).repartition(parts, "id").withColumn("feature", F.explode(F.sequence(F.lit(-1), F.size("features") - 1)))  # -1 changes nothing
     swapped = each.select("feature", "label", F.transform("features", lambda v, k: F.when(k == F.col("feature"), F.col("_other")[k]).otherwise(v)).alias("features"))
     score = vector_to_array("probability")[1].alias("score")
     cuts = bounds(model.transform(with_vector(df.select("features"))).select(score), "score")
