@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from hashlib import md5
 from itertools import combinations
 
 import numpy as np
@@ -154,3 +155,38 @@ def test_levels_beyond_the_bound_are_refused(spark):
         hz.design(s, ["site", "age"])
     assert len(hz.design(s.where("id < 1000"), ["site", "age"]).first()["x"]) == 1 + 999 + 1
     assert len(hz.design(s.where("id < 9"), ["age"]).first()["x"]) == 9 and len(hz.design(s.where("id < 10"), ["age"]).first()["x"]) == 2
+
+
+def _random_pairs(spark, n=70):
+    g = np.random.default_rng(5)
+    rows = [(int(k), int(k) % 3, float(x), None if k == 9 else float(y)) for k, (x, y) in enumerate(g.normal(size=(n, 2)))]
+    return spark.createDataFrame([*rows, (1000, 7, 1.0, 2.0), (1001, 7, 2.0, 5.0)], "id long, g int, a double, b double")
+
+
+def _broadcast_explosions(df):
+    """Broadcasts of rows that were exploded and not summed up since."""
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    below = [lines[k + 1 :] for k, x in enumerate(lines) if "BroadcastExchange" in x]
+    upto = [next((j for j, x in enumerate(b) if "Aggregate" in x or "Scan" in x), len(b)) for b in below]
+    return [b for b, j in zip(below, upto, strict=True) if any("Generate" in x for x in b[:j])]
+
+
+def test_draws_of_effect_sizes_are_not_broadcast(spark):
+    assert not _broadcast_explosions(catalogue.queries()["effect_size_ci"](spark, SF))
+
+
+def test_effect_sizes_drawn_with_nulls(spark):
+    p = _random_pairs(spark).where("id < 1000").select("id", F.lit(0).alias("feature"), (F.col("id") % 2).cast("int").alias("group"), (F.col("b") + 1e6).alias("value"))
+    x = p.toPandas().sort_values("id")
+    d = []
+    for r in range(1, 61):
+        part = []
+        for k in (0, 1):
+            v = x[x["group"] == k]["value"].to_numpy(float)
+            u = np.array([int(md5(f"3:{r}:{j}".encode()).hexdigest()[:12], 16) / 16**12 for j in range(len(v))])
+            w = v[(u * len(v)).astype(int)]
+            part.append(w[~np.isnan(w)])
+        a, b = part
+        d.append((a.mean() - b.mean()) / np.sqrt(((len(a) - 1) * a.var(ddof=1) + (len(b) - 1) * b.var(ddof=1)) / (len(a) + len(b) - 2)))
+    r = st.effect_size_interval(p, ["feature"], 60, seed=3).collect()[0]
+    assert [r["low"], r["high"]] == pytest.approx(np.quantile(d, [0.025, 0.975]).tolist(), abs=1e-6)

@@ -104,14 +104,23 @@ def bonferroni(p: DataFrame, alpha: float = 0.05) -> DataFrame:
     return p.crossJoin(F.broadcast(n)).select("id", "p", F.least(F.lit(1.0), F.col("p") * F.col("n")).alias("adjusted"), (F.col("p") * F.col("n") <= alpha).alias("rejected"))
 
 
+def pooled_spread() -> Column:
+    return F.sqrt(F.try_divide((F.col("n0") - 1) * F.col("v0") + (F.col("n1") - 1) * F.col("v1"), F.col("n0") + F.col("n1") - 2))
+
+
+def cohens_d() -> Column:
+    """Of columns n0, n1 (rows), m0, m1 (means), v0, v1 (variances)."""
+    return F.coalesce(F.try_divide(F.col("m0") - F.col("m1"), pooled_spread()), F.lit(0.0))
+
+
 def effect_sizes(values: DataFrame, keys: list[str]) -> DataFrame:
     """Cohen's d (pooled), Hedges' g, Glass' delta (spread of group 1), t of equal variances. values (keys, group 0/1, value)."""
     of = lambda f, k: f(F.when(F.col("group") == k, F.col("value")))
     a = values.groupBy(*keys).agg(*[of(f, k).alias(f"{n}{k}") for n, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp)) for k in (0, 1)])
     df = F.col("n0") + F.col("n1") - 2
-    pooled = F.sqrt(F.try_divide((F.col("n0") - 1) * F.col("v0") + (F.col("n1") - 1) * F.col("v1"), df))
+    pooled = pooled_spread()
     diff = F.col("m0") - F.col("m1")
-    d = F.coalesce(F.try_divide(diff, pooled), F.lit(0.0))
+    d = cohens_d()
     t = F.coalesce(F.try_divide(diff, pooled * F.sqrt(F.try_divide(F.lit(1.0), F.col("n0")) + F.try_divide(F.lit(1.0), F.col("n1")))), F.lit(0.0))
     return a.select(*keys, "n0", "n1", diff.alias("difference"), d.alias("cohens_d"), (d * (1 - 3.0 / (4 * df - 1))).alias("hedges_g"), F.coalesce(F.try_divide(diff, F.sqrt("v1")), F.lit(0.0)).alias("glass_delta"), t.alias("t"), df.alias("df"))
 
@@ -120,6 +129,19 @@ def effect_sizes(values: DataFrame, keys: list[str]) -> DataFrame:
 REPLICATES = 50
 
 
+def picks(values: DataFrame, keys: list[str], n_boot: int, seed: int) -> DataFrame:
+    """(n, k, chunk, times): how often the replicates of a chunk take place k of a group of n rows, for each size that a group has.
+
+    Joins with it are told how to go: the planner takes exploded rows for as few as there were before, and would broadcast them.
+    """
+    sizes = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).select("n").distinct()
+    places = sizes.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    # Dealt anew before the replicates are drawn: a few sizes would be the work of a few tasks.
+    slots = places.repartition("n", "k").withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
+    picked = slots.select("n", F.floor(rng.uniform(seed, "r", "k") * F.col("n")).cast("long").alias("k"), F.floor((F.col("r") - 1) / REPLICATES).cast("int").alias("chunk"), ((F.col("r") - 1) % REPLICATES).alias("r"))
+    return picked.groupBy("n", "k", "chunk").agg(F.array(*[F.count_if(F.col("r") == i) for i in range(REPLICATES)]).alias("times"))
+
+
 def bootstrap(values: DataFrame, keys: list[str], n_boot: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
     """Percentile interval of the mean. Slot k of replicate r takes the row at floor(u(r, k) n) of the group's order by id. values (keys, id, value).
 
@@ -128,11 +150,8 @@ def bootstrap(values: DataFrame, keys: list[str], n_boot: int = 1000, level: flo
     """
     order = Window.partitionBy(*keys).orderBy("id")
     x = values.withColumn("k", F.row_number().over(order) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-    sizes = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).select("n").distinct()
-    slots = sizes.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
-    picked = slots.select("n", F.floor(rng.uniform(seed, "r", "k") * F.col("n")).cast("long").alias("k"), F.floor((F.col("r") - 1) / REPLICATES).cast("int").alias("chunk"), ((F.col("r") - 1) % REPLICATES).alias("r"))
-    times = picked.groupBy("n", "k", "chunk").agg(F.array(*[F.count_if(F.col("r") == i) for i in range(REPLICATES)]).alias("times"))
-    sums = x.withColumn("k", F.col("k").cast("long")).join(times, ["n", "k"]).groupBy(*keys, "n", "chunk").agg(F.array(*[F.sum(F.col("value") * F.col("times")[i]) for i in range(REPLICATES)]).alias("s"))
+    times = picks(values, keys, n_boot, seed)
+    sums = x.withColumn("k", F.col("k").cast("long")).join(times.hint("merge"), ["n", "k"]).groupBy(*keys, "n", "chunk").agg(F.array(*[F.sum(F.col("value") * F.col("times")[i]) for i in range(REPLICATES)]).alias("s"))
     mean = sums.select(*keys, "chunk", F.posexplode("s").alias("i", "s"), "n").where(F.col("chunk") * REPLICATES + F.col("i") < n_boot).select(*keys, (F.col("s") / F.col("n")).alias("mean"))
     low = (1 - level) / 2
     ci = mean.groupBy(*keys).agg(F.percentile("mean", low).alias("low"), F.percentile("mean", 1 - low).alias("high"))
@@ -322,13 +341,24 @@ def nbs_in_batches(wide: DataFrame, subjects: DataFrame, n_nodes: int, threshold
 
 
 def effect_size_interval(values: DataFrame, keys: list[str], n_boot: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
-    """Cohen's d with its percentile interval: both groups are drawn anew, each by its own order of ids. values (keys, group 0/1, id, value)."""
+    """Cohen's d with its percentile interval: both groups are drawn anew, each by its own order of ids. values (keys, group 0/1, id, value).
+
+    As in bootstrap(), picks are drawn once for each size of a group; a value adds to the sums of a chunk's replicates at once.
+    Sums are of what lies over the group's mean, so that squares lose no digits.
+    """
     by = [*keys, "group"]
     w = Window.partitionBy(*by)
-    x = values.select(*by, "id", "value", (F.row_number().over(w.orderBy("id")) - 1).alias("k"), F.count(F.lit(1)).over(w).alias("n"))
-    u = rng.uniform(seed, "r", "k")
-    drawn = x.select(*by, "k", "n", F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("r")).select(*by, "r", F.floor(u * F.col("n")).cast("int").alias("k"))
-    d = effect_sizes(drawn.join(x.select(*by, F.col("k").cast("int").alias("k"), "value"), [*by, "k"]), [*keys, "r"])
+    n = F.count(F.lit(1)).over(w)
+    x = values.select(*by, "value", (F.row_number().over(w.orderBy("id")) - 1).cast("long").alias("k"), n.alias("n"), F.avg("value").over(w).alias("m")).withColumn("v", F.col("value") - F.col("m"))
+    times = picks(values, by, n_boot, seed)
+    there = F.col("v").isNotNull().cast("double")
+    sums = x.join(times.hint("merge"), ["n", "k"]).groupBy(*by, "m", "chunk").agg(*[F.array(*[F.sum(c * F.col("times")[i]) for i in range(REPLICATES)]).alias(s) for s, c in (("s0", there), ("s1", F.col("v")), ("s2", F.col("v") * F.col("v")))])
+    one = sums.select(*by, "m", "chunk", F.posexplode(F.arrays_zip("s0", "s1", "s2")).alias("i", "s")).where(F.col("chunk") * REPLICATES + F.col("i") < n_boot)
+    n, s1, s2 = (F.col(f"s.s{k}") for k in range(3))
+    one = one.select(*by, "chunk", "i", F.col("s.s0").alias("n"), (F.col("m") + F.try_divide(s1, n)).alias("mean"), F.greatest(F.try_divide(s2 - F.try_divide(s1 * s1, n), n - 1), F.lit(0.0)).alias("var"))
+    of = lambda c, g: F.max(F.when(F.col("group") == g, F.col(c)))
+    d = one.groupBy(*keys, "chunk", "i").agg(*[of(c, g).alias(f"{s}{g}") for c, s in (("n", "n"), ("mean", "m"), ("var", "v")) for g in (0, 1)])
     tail = (1 - level) / 2
-    ci = d.groupBy(*keys).agg(F.percentile("cohens_d", tail).alias("low"), F.percentile("cohens_d", 1 - tail).alias("high"))
+    d = d.withColumn("d", cohens_d())
+    ci = d.groupBy(*keys).agg(F.percentile("d", tail).alias("low"), F.percentile("d", 1 - tail).alias("high"))
     return effect_sizes(values, keys).select(*keys, "cohens_d").join(ci, keys)
