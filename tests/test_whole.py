@@ -10,6 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tractloom.functions.digests import Names
 from tractloom.operators import graph as gr
 from tractloom.operators import harmonize as hz
 from tractloom.operators import stats as st
@@ -163,6 +164,14 @@ def _random_pairs(spark, n=70):
     return spark.createDataFrame([*rows, (1000, 7, 1.0, 2.0), (1001, 7, 2.0, 5.0)], "id long, g int, a double, b double")
 
 
+@pytest.mark.parametrize("most", [1_000_000, 23, 1])
+def test_correlations_in_batches_are_those_by_rows(spark, monkeypatch, most):
+    monkeypatch.setattr(st, "GROUP_ROWS", most)
+    p = _random_pairs(spark)
+    by = lambda d: {r["g"]: (r["n"], round(r["r"], 9), round(r["p"], 9)) for r in d.collect()}
+    assert by(st.correlation_permutation_in_batches(p, 40, keys=("g",))) == by(st.correlation_permutation(p, 40, keys=("g",)))
+
+
 def _broadcast_explosions(df):
     """Broadcasts of rows that were exploded and not summed up since."""
     lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
@@ -171,6 +180,11 @@ def _broadcast_explosions(df):
     return [b for b, j in zip(below, upto, strict=True) if any("Generate" in x for x in b[:j])]
 
 
+def test_permutations_are_not_broadcast(spark):
+    assert not _broadcast_explosions(st.correlation_permutation(inp.table(spark, SF, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding")[0].alias("a"), F.col("embedding")[1].alias("b")), 100, keys=("label",)))
+    assert not _broadcast_explosions(catalogue.queries()["corr_permutation_whole"](spark, SF))
+
+
 def test_draws_of_effect_sizes_are_not_broadcast(spark):
     assert not _broadcast_explosions(catalogue.queries()["effect_size_ci"](spark, SF))
 
@@ -190,3 +204,10 @@ def test_effect_sizes_drawn_with_nulls(spark):
         d.append((a.mean() - b.mean()) / np.sqrt(((len(a) - 1) * a.var(ddof=1) + (len(b) - 1) * b.var(ddof=1)) / (len(a) + len(b) - 2)))
     r = st.effect_size_interval(p, ["feature"], 60, seed=3).collect()[0]
     assert [r["low"], r["high"]] == pytest.approx(np.quantile(d, [0.025, 0.975]).tolist(), abs=1e-6)
+
+
+def test_digests_are_those_of_md5():
+    names = [b"", b"7", b"12345", "ä".encode() * 9, b"x" * 30] * 3
+    for start in (b"42:1:", b"42:10000:", b"s" * 30):
+        high, low = Names(names).after(start)
+        assert [f"{h:016x}{v:016x}" for h, v in zip(high.tolist(), low.tolist(), strict=True)] == [md5(start + n).hexdigest() for n in names]

@@ -6,10 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tractloom.functions import rng
+from tractloom.functions.digests import Names
 from tractloom.functions.ordered import running
 
 
@@ -208,13 +211,90 @@ def correlation_permutation(pairs: DataFrame, n_perm: int = 500, method: str = "
     x = pairs.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm))))
     left = x.withColumn("k", F.row_number().over(a)).select(*keys, "perm", "k", "a")
     right = x.withColumn("k", F.when(F.col("perm") == 0, F.row_number().over(a)).otherwise(F.row_number().over(b))).select(*keys, "perm", "k", "b")
-    c = correlation(left.join(right, [*keys, "perm", "k"]), [*keys, "perm"], method)
+    # Exploded rows look small to the planner; neither side may be broadcast.
+    c = correlation(left.join(right.hint("merge"), [*keys, "perm", "k"]), [*keys, "perm"], method)
     obs = c.where("perm = 0").select(*keys, F.col("r").alias("observed"), "n")
     null = c.where("perm > 0").select(*keys, "r")
     both = null.join(obs, list(keys)) if keys else null.crossJoin(F.broadcast(obs))
     return both.groupBy(*keys, "n", "observed").agg(F.avg((F.abs("r") >= F.abs("observed")).cast("double")).alias("p")).select(*keys, "n", F.col("observed").alias("r"), "p")
 
 
+#: Rows of a group that a task holds at once; larger groups go the way by rows.
+GROUP_ROWS = 1_000_000
+#: Batches of replicates that a group is dealt to.
+DEALT = 16
+
+
+def dealt(rows: DataFrame, keys: list[str], parts: int = DEALT) -> DataFrame:
+    """rows once for each batch of replicates (_chunk), each group's batch in one partition."""
+    x = rows.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return x.repartition(4 * parts, *keys, "_chunk")
+
+
+def by_size(values: DataFrame, keys: list[str], most: int, rows: Column | None = None) -> tuple[DataFrame | None, DataFrame | None]:
+    """The groups of at most so many rows, and those of more; None where there are none."""
+    n = F.count(F.lit(1)) if rows is None else rows
+    sizes = values.groupBy(*[F.col(c).alias(f"_{c}") for c in keys]).agg(n.alias("_n"))
+    big, small = sizes.where(F.col("_n") > most), sizes.where(F.col("_n") <= most)
+    if big.isEmpty():
+        return values, None
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
+    part = lambda s: None if s.isEmpty() else values.join(s, same if same else F.lit(True), "left_semi")
+    return part(small), part(big)
+
+
+def shuffled(seed: int, perm: int, names: Names) -> np.ndarray:
+    """Places in the order of rng.order_key(seed, perm, name), ties in the order given."""
+    high, low = names.after(f"{seed}:{perm}:".encode())
+    order = np.argsort(high, kind="stable")
+    return np.lexsort((low, high)) if (np.diff(high[order]) == 0).any() else order
+
+
+def correlation_permutation_in_batches(pairs: DataFrame, n_perm: int = 10000, method: str = "pearson", seed: int = 42, keys: tuple[str, ...] = ()) -> DataFrame:
+    """correlation_permutation() with the same orders: a group's pairs go to a few tasks, each of which does a batch of its permutations.
+
+    A group of more than GROUP_ROWS pairs goes the way by rows. Correlations that differ by rounding alone are equal.
+    """
+    few, many = by_size(pairs, list(keys), GROUP_ROWS)
+    rest = correlation_permutation(many, n_perm, method, seed, keys) if many is not None else None
+    if few is None:
+        return rest
+    kinds, names, parts = dict(pairs.dtypes), list(keys), DEALT
+    if method == "spearman":
+        few = average_ranks(average_ranks(few, "a", "ra", names), "b", "rb", names).select(*names, "id", F.col("ra").alias("a"), F.col("rb").alias("b"))
+    x = few.select(*names, "id", F.coalesce(F.col("id").cast("string"), F.lit("")).alias("_name"), F.col("a").cast("double").alias("a"), F.col("b").cast("double").alias("b"))
+
+    def r(a: np.ndarray, b: np.ndarray) -> float:
+        a, b = a - a.mean(), b - b.mean()
+        d = np.sqrt((a @ a) * (b @ b))
+        return float(a @ b / d) if d > 0 else 0.0
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.take(pc.sort_indices(t, [("id", "ascending")], null_placement="at_start"))
+        ids = Names([n.encode() for n in t.column("_name").to_pylist()])
+        a, b = (t.column(c).to_numpy() for c in "ab")
+        there = [~t.column(c).combine_chunks().is_null().to_numpy(zero_copy_only=False) for c in "ab"]
+        whole = there[0].all() and there[1].all()
+
+        def of(order: np.ndarray) -> float:
+            if whole:
+                return r(a, b[order])
+            on = there[0] & there[1][order]
+            return r(a[on], b[order][on]) if on.any() else 0.0
+
+        with np.errstate(all="ignore"):
+            seen = of(np.arange(t.num_rows))
+            least = abs(seen) * (1 - 1e-12)
+            first = t.column("_chunk")[0].as_py()
+            hits = sum(abs(of(shuffled(seed, perm, ids))) >= least for perm in range(first + 1, n_perm + 1, parts))
+        return pa.table({**{c: t.column(c).slice(0, 1) for c in names}, "n": pa.array([t.num_rows], pa.int64()), "r": pa.array([seen]), "hits": pa.array([int(hits)], pa.int64())})
+
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in names], "n long, r double, hits long"])
+    got = dealt(x, names, parts).groupBy(*names, "_chunk").applyInArrow(run, schema)
+    got = got.groupBy(*names).agg(F.max("n").alias("n"), F.max("r").alias("r"), (F.sum("hits") / F.lit(float(n_perm))).alias("p"))
+    return got if rest is None else got.unionByName(rest)
+
+
 # Student's t distribution.
 
 
