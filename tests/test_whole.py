@@ -211,3 +211,19 @@ def test_digests_are_those_of_md5():
     for start in (b"42:1:", b"42:10000:", b"s" * 30):
         high, low = Names(names).after(start)
         assert [f"{h:016x}{v:016x}" for h, v in zip(high.tolist(), low.tolist(), strict=True)] == [md5(start + n).hexdigest() for n in names]
+
+
+@pytest.mark.parametrize("most", [32_000_000, 20])
+def test_bootstrap_in_batches_passes_nothing_through_the_driver(spark, monkeypatch, most):
+    """Groups that are no bounded matrix (label 7 lacks a value, or most is small) go by rows; nothing is collected on the way."""
+    monkeypatch.setattr(st, "MATRIX", most)
+    monkeypatch.setattr("pyspark.sql.DataFrame.toPandas", None)
+    monkeypatch.setattr("pyspark.sql.classic.dataframe.DataFrame.toPandas", None)
+    g = np.random.default_rng(8)
+    rows = [(k % 2 + 6, f, k, float(g.normal())) for k in range(14) for f in range(2) if (k, f) != (3, 1)]
+    v = spark.createDataFrame(rows, "label int, feature int, id long, value double")
+    by = lambda d: {(r["label"], r["feature"]): (r["estimate"], r["low"], r["high"]) for r in d.collect()}
+    got, want = by(st.bootstrap_in_batches(v, "label", 40)), by(st.bootstrap(v, ["label", "feature"], 40))
+    assert set(got) == set(want) and len(got) == 4
+    for k in want:
+        assert got[k] == pytest.approx(want[k], abs=1e-12)

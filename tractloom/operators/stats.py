@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tractloom.functions import rng
-from tractloom.functions.digests import Names
+from tractloom.functions.digests import Names, uniforms
 from tractloom.functions.ordered import running
 
 
@@ -43,42 +43,61 @@ def permutation_test(values: DataFrame, subjects: DataFrame, n_perm: int = 1000,
     return s.where("perm > 0").join(obs, "feature").groupBy("feature", "observed").agg(F.avg(tail(F.col("stat"), F.col("observed"), alternative).cast("double")).alias("p"))
 
 
-def fits(values: DataFrame) -> bool:
-    """Whether so many values can be broadcast as a matrix; they are counted."""
-    return values.count() * 8 <= 64 << 20
+#: Numbers of a group that a task holds as a matrix; larger groups go the way by rows.
+MATRIX = 32_000_000
 
 
-def permutation_test_in_batches(values: DataFrame, subjects: DataFrame, n_perm: int = 10000, batch: int = 200, seed: int = 42) -> DataFrame:
-    """permutation_test() of both sides with the same groups, as matrix products: each task does a batch of permutations. Values beyond 64 MB go the way by rows."""
-    if not fits(values):
-        return permutation_test(values, subjects, n_perm, seed=seed)
-    spark = values.sparkSession
-    x = values.join(subjects, "id").toPandas().pivot(index=["id", "group"], columns="feature", values="value").sort_index()
-    if x.isna().any().any():
-        return permutation_test(values, subjects, n_perm, seed=seed)
-    ids, group = x.index.get_level_values(0).to_numpy(), x.index.get_level_values(1).to_numpy()
-    m, n0 = x.to_numpy(float), int((group == 0).sum())
-    stat = lambda on: (on @ m) / n0 - ((1 - on) @ m) / (len(ids) - n0)
-    observed = stat((group == 0).astype(float)[None])[0]
-    data = spark.sparkContext.broadcast((m, ids.tolist(), n0, observed))
+def matrices(values: DataFrame, keys: list[str], shared: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Rows (keys, shared, id, names, v) with all features of an id, of the groups that are matrices of bounded size; and the keys of the other groups.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from hashlib import md5
+    A group is a matrix if all its ids have the same features, each once and not null. shared are columns that an id has once.
+    """
+    cell = F.struct("feature", F.col("value").cast("double").alias("value"))
+    x = values.groupBy(*keys, *shared, "id").agg(F.sort_array(F.collect_list(cell)).alias("x"))
+    x = x.select(*keys, *shared, "id", F.col("x.feature").alias("names"), F.col("x.value").alias("v"))
+    whole = F.min((F.size(F.array_distinct("names")) == F.size("names")) & ~F.exists("v", F.isnull) & ~F.exists("names", F.isnull))
+    sizes = x.groupBy(*keys).agg((whole & (F.min("names") == F.max("names"))).alias("_whole"), F.sum(F.size("v").cast("long")).alias("_n"))
+    other = sizes.where(~F.col("_whole") | (F.col("_n") > MATRIX)).select(*[F.col(k).alias(f"_{k}") for k in keys], "_n")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return x.join(other, same if same else F.lit(True), "left_anti"), other
 
-        m, ids, n0, observed = data.value
-        for pdf in batches:
-            on = np.zeros((len(pdf), len(ids)))
-            for row, perm in enumerate(pdf["perm"]):
-                order = sorted(range(len(ids)), key=lambda k: (md5(f"{seed}:{perm}:{ids[k]}".encode()).hexdigest(), ids[k]))
-                on[row, order[:n0]] = 1
-            s = (on @ m) / n0 - ((1 - on) @ m) / (len(ids) - n0)
-            yield pd.DataFrame({"place": np.arange(len(observed)), "hits": (np.abs(s) >= np.abs(observed)).sum(0)})
 
-    perms = spark.range(1, n_perm + 1, 1, max(1, n_perm // batch)).select(F.col("id").cast("int").alias("perm"))
-    hits = perms.mapInPandas(run, "place int, hits long").groupBy("place").agg((F.sum("hits") / F.lit(float(n_perm))).alias("p"))
-    kind = dict(values.dtypes)["feature"]
-    names = spark.createDataFrame([(k, f, float(o)) for k, (f, o) in enumerate(zip(x.columns.tolist(), observed, strict=True))], f"place int, feature {kind}, observed double")
-    return names.join(F.broadcast(hits), "place").select("feature", "observed", "p")
+def matrix(t: pa.Table) -> np.ndarray:
+    v = t.column("v").combine_chunks()
+    return v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
+
+
+def permutation_test_in_batches(values: DataFrame, subjects: DataFrame, n_perm: int = 10000, batch: int = 200, seed: int = 42) -> DataFrame:
+    """permutation_test() of both sides with the same groups, as matrix products: each task does a share of the permutations, at most batch at once.
+
+    Values that are no matrix of at most MATRIX numbers go the way by rows. Statistics that differ by rounding alone are equal.
+    """
+    kind, parts = dict(values.dtypes)["feature"], DEALT
+    x, other = matrices(values.join(subjects, "id"), [], ("group",))
+    if not other.isEmpty():
+        return permutation_test(values, subjects, n_perm, seed=seed)
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("id")
+        m, on = matrix(t), (t.column("group").to_numpy() == 0).astype(float)
+        names, n, n0 = Names([i.encode() for i in t.column("_name").to_pylist()]), len(m), int(on.sum())
+        stat = lambda on: (on @ m) / n0 - ((1 - on) @ m) / (n - n0)
+        with np.errstate(all="ignore"):
+            seen = stat(on[None])[0]
+            hits = np.zeros(m.shape[1], np.int64)
+            perms = range(t.column("_chunk")[0].as_py() + 1, n_perm + 1, parts)
+            step = max(1, min(batch, HELD // n))
+            for k in range(0, len(perms), step):
+                some = perms[k : k + step]
+                on = np.zeros((len(some), n))
+                for row, perm in enumerate(some):
+                    on[row, shuffled(seed, perm, names)[:n0]] = 1
+                hits += (np.abs(stat(on)) >= np.abs(seen) * (1 - 1e-12)).sum(0)
+        return pa.table({"feature": t.column("names")[0].values, "observed": pa.array(seen), "hits": pa.array(hits)})
+
+    x = x.withColumn("_name", F.col("id").cast("string"))
+    got = dealt(x, [], parts).groupBy("_chunk").applyInArrow(run, f"feature {kind}, observed double, hits long")
+    return got.groupBy("feature").agg(F.max("observed").alias("observed"), (F.sum("hits") / F.lit(float(n_perm))).alias("p"))
 
 
 def fdr(p: DataFrame, alpha: float = 0.05, method: str = "bh", keys: tuple[str, ...] = ()) -> DataFrame:
@@ -162,32 +181,33 @@ def bootstrap(values: DataFrame, keys: list[str], n_boot: int = 1000, level: flo
 
 
 def bootstrap_in_batches(values: DataFrame, key: str, n_boot: int = 10000, level: float = 0.95, batch: int = 200, seed: int = 42) -> DataFrame:
-    """bootstrap() of many features of each group of a key with the same picks: each task does a batch of replicates. values (key, feature, id, value); beyond 64 MB they go the way by rows."""
-    if not fits(values):
-        return bootstrap(values, [key, "feature"], n_boot, level, seed)
-    spark = values.sparkSession
-    x = values.toPandas().sort_values("id")
-    parts = [(k, g.pivot(index="id", columns="feature", values="value").sort_index()) for k, g in x.groupby(key)]
-    if any(g.isna().any().any() for _, g in parts):
-        return bootstrap(values, [key, "feature"], n_boot, level, seed)
-    data = spark.sparkContext.broadcast([(k, g.columns.tolist(), g.to_numpy(float)) for k, g in parts])
-    kinds = dict(values.dtypes)
+    """bootstrap() of many features of each group of a key with the same picks: a task does a share of a group's replicates as matrix products, at most batch at once.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from hashlib import md5
-
-        most = max(len(m) for _, _, m in data.value)
-        for pdf in batches:
-            for rep in pdf["r"]:
-                u = np.array([int(md5(f"{seed}:{rep}:{k}".encode()).hexdigest()[: rng.DIGITS], 16) for k in range(most)]) / float(16**rng.DIGITS)
-                for k, names, m in data.value:
-                    yield pd.DataFrame({key: k, "feature": names, "mean": m[np.floor(u[: len(m)] * len(m)).astype(int)].mean(0)})
+    values (key, feature, id, value). Groups that are no matrix of at most MATRIX numbers go the way by rows.
+    """
+    kinds, parts = dict(values.dtypes), DEALT
+    x, other = matrices(values, [key])
 
-    reps = spark.range(1, n_boot + 1, 1, max(1, n_boot // batch)).select(F.col("id").cast("int").alias("r"))
-    mean = reps.mapInPandas(run, f"{key} {kinds[key]}, feature {kinds['feature']}, mean double")
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("id")
+        m = matrix(t)
+        n, places = len(m), Names([str(k).encode() for k in range(len(m))])
+        reps, step, means = range(t.column("_chunk")[0].as_py() + 1, n_boot + 1, parts), max(1, min(batch, HELD // n)), []
+        for k in range(0, len(reps), step):
+            times = np.stack([np.bincount((uniforms(seed, r, places) * n).astype(np.int64), minlength=n) for r in reps[k : k + step]])
+            means.append(times.astype(float) @ m / n)
+        mean = np.concatenate(means) if means else np.zeros((0, m.shape[1]))
+        group = pa.chunked_array([t.column(key).slice(0, 1).combine_chunks().take(np.zeros(mean.size, np.int64))])
+        return pa.table({key: group, "feature": t.column("names")[0].values.take(np.tile(np.arange(m.shape[1]), len(mean))), "mean": pa.array(mean.ravel())})
+
+    mean = dealt(x, [key], parts).groupBy(key, "_chunk").applyInArrow(run, f"`{key}` {kinds[key]}, feature {kinds['feature']}, mean double")
     low = (1 - level) / 2
     ci = mean.groupBy(key, "feature").agg(F.percentile("mean", low).alias("low"), F.percentile("mean", 1 - low).alias("high"))
-    return values.groupBy(key, "feature").agg(F.avg("value").alias("estimate")).join(ci, [key, "feature"])
+    got = values.groupBy(key, "feature").agg(F.avg("value").alias("estimate")).join(ci, [key, "feature"])
+    if other.isEmpty():
+        return got
+    rest = values.join(other, F.col(key).eqNullSafe(F.col(f"_{key}")), "left_semi")
+    return got.unionByName(bootstrap(rest, [key, "feature"], n_boot, level, seed))
 
 
 def average_ranks(df: DataFrame, value: str, out: str, keys: list[str]) -> DataFrame:
@@ -221,8 +241,8 @@ def correlation_permutation(pairs: DataFrame, n_perm: int = 500, method: str = "
 
 #: Rows of a group that a task holds at once; larger groups go the way by rows.
 GROUP_ROWS = 1_000_000
-#: Batches of replicates that a group is dealt to.
-DEALT = 16
+#: Batches of replicates that a group is dealt to, and numbers that a batch holds besides the group.
+DEALT, HELD = 16, 4_000_000
 
 
 def dealt(rows: DataFrame, keys: list[str], parts: int = DEALT) -> DataFrame:
