@@ -227,3 +227,17 @@ def test_bootstrap_in_batches_passes_nothing_through_the_driver(spark, monkeypat
     assert set(got) == set(want) and len(got) == 4
     for k in want:
         assert got[k] == pytest.approx(want[k], abs=1e-12)
+
+
+def test_ranks_hold_where_p_is_never_the_same_twice(spark):
+    """p from sums that arrive in another order each time: every use sees other last digits."""
+
+    @F.udf("double")
+    def shaken(p):
+        from random import random
+
+        return p * (1 + 1e-9 * random())
+
+    p = spark.range(400).select("id", (F.col("id") / 400.0 + 0.001).alias("p")).withColumn("p", shaken.asNondeterministic()("p"))
+    x = st.fdr(p, 0.2).toPandas()
+    assert sorted(x["rank"]) == list(range(1, 401))

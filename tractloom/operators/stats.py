@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tractloom.functions import rng
 from tractloom.functions.digests import Names, uniforms
 from tractloom.functions.ordered import running
+from tractloom.session import checkpoint_folder
 
 
 def permuted_groups(subjects: DataFrame, n_perm: int, seed: int = 42) -> DataFrame:
@@ -114,6 +115,9 @@ def fdr(p: DataFrame, alpha: float = 0.05, method: str = "bh", keys: tuple[str,
         back = part.orderBy(F.desc("rank")).rowsBetween(Window.unboundedPreceding, 0)
         x = x.withColumn("low", F.min(raw).over(back)).withColumn("last", F.max(F.when(ok, F.col("rank"))).over(part))
     else:
+        # p is often made of sums, whose last digits change as rows arrive: it is worked out once, so that ranks and buckets are of the same numbers.
+        checkpoint_folder(p.sparkSession)
+        p = p.checkpoint()
         total = p.agg(F.count(F.lit(1)).alias("n")).withColumn("c", spread(F.col("n")))
         x = running(p, "p", {"rank": F.lit(1)}, ties=("id",)).crossJoin(F.broadcast(total))
         last = x.agg(F.max(F.when(ok, F.col("rank"))).alias("last"))
