@@ -73,3 +73,29 @@ def test_matrix_round_trip(s, tmp_path):
     assert (np.load(tmp_path / "matrix.npy") == a).all()
     back = s.read.format("npy").option("pieceBytes", 5 * 8 * 10).load(str(tmp_path))
     assert back.rdd.getNumPartitions() == 4 and [r.row for r in back.orderBy("u").collect()] == a.tolist()
+
+
+def test_lines_are_written_batch_by_batch(tmp_path):
+    """The writer holds one batch: each is let go before the next is asked for."""
+    import gc
+    import weakref
+
+    import pyarrow as pa
+
+    from tractloom.sources import files
+
+    seen = []
+
+    def batches():
+        for k in range(5):
+            gc.collect()
+            assert sum(w() is not None for w in seen) <= 1
+            b = pa.RecordBatch.from_arrays([files.points_array([np.full((k + 1, 3), float(k))])], names=["points"])
+            seen.append(weakref.ref(b))
+            yield b
+            del b
+
+    w = files.LinesWriter({"path": str(tmp_path / "out")}, False)
+    w.commit([w.write(batches())])
+    raw = next((tmp_path / "out").glob("*.tck")).read_bytes()
+    assert b"count: 5\n" in raw and [len(x) for x in volumes.tck_lines(raw)] == [1, 2, 3, 4, 5]
