@@ -241,3 +241,13 @@ def test_ranks_hold_where_p_is_never_the_same_twice(spark):
     p = spark.range(400).select("id", (F.col("id") / 400.0 + 0.001).alias("p")).withColumn("p", shaken.asNondeterministic()("p"))
     x = st.fdr(p, 0.2).toPandas()
     assert sorted(x["rank"]) == list(range(1, 401))
+
+
+def test_rows_without_points_are_resampled_to_none(spark):
+    s = spark.createDataFrame([(1, None), (2, [(0.0, 0.0, 0.0), (2.0, 0.0, 0.0)]), (3, [])], "sl_id long, points array<struct<x: double, y: double, z: double>>")
+    got = {r["sl_id"]: [q["x"] for q in r["points"]] for r in sl.resample(s, n=3).collect()}
+    assert got == {1: [], 2: [0.0, 1.0, 2.0], 3: []}
+
+
+def test_groups_of_paths_are_resampled_before_they_meet(spark):
+    assert "MapInArrow" in catalogue.queries()["quickbundles"](spark, SF)._jdf.queryExecution().executedPlan().toString()
