@@ -251,3 +251,69 @@ def test_rows_without_points_are_resampled_to_none(spark):
 
 def test_groups_of_paths_are_resampled_before_they_meet(spark):
     assert "MapInArrow" in catalogue.queries()["quickbundles"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def _linkage_by_brute_force(d, near):
+    d, size, label = d.copy(), np.ones(len(d)), np.arange(len(d))
+    live = list(range(len(d)))
+    while len(live) > 1:
+        best, a, b = min((d[a, b], a, b) for a, b in combinations(live, 2))
+        if best > near:
+            break
+        d[a] = d[:, a] = (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b])
+        size[a] += size[b]
+        live.remove(b)
+        label[label == b] = a
+    return np.unique(label, return_inverse=True)[1]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_linkage_of_copies_and_parts(seed):
+    g = np.random.default_rng(seed)
+    p = g.normal(size=(40, 5, 3)) + g.integers(0, 4, (40, 1, 1)) * 3
+    p = p[g.integers(0, 40, 90)]
+    d = np.array([[mdf(a, b) for b in p] for a in p])
+    near = [1.2, 2.0, 2.6][seed % 3]
+    want = _linkage_by_brute_force(d, near)
+    group, medoid = sl.linked(p, near)
+    assert group.tolist() == want.tolist() == sl.average_linkage(d, near).tolist()
+    for j in range(want.max() + 1):
+        own = np.flatnonzero(want == j)
+        s = d[np.ix_(own, own)].sum(1)
+        assert s[own == medoid[own[0]]][0] == pytest.approx(s.min()) and len(set(medoid[own])) == 1
+
+
+def test_linkage_holds_no_matrix_of_all_paths(monkeypatch):
+    """4000 copies of 40 paths: a matrix of all has 16,000,000 numbers."""
+    most = []
+    kept = sl.average_linkage
+    monkeypatch.setattr(sl, "average_linkage", lambda d, *x: most.append(d.size) or kept(d, *x))
+    p = np.tile(np.random.default_rng(1).normal(size=(40, 5, 3)), (100, 1, 1))
+    group, _ = sl.linked(p, 1.5)
+    assert sum(most) <= 1600 and (group[:40] == group[40:80]).all()
+
+
+def _near(spark):
+    """Three copies of 30 paths, by their ids."""
+    g = np.random.default_rng(2)
+    p = g.normal(size=(30, 4, 3)) * 2
+    rows = [(30 * c + k, [tuple(map(float, q)) for q in p[k]]) for c in range(3) for k in range(30)]
+    return p, spark.createDataFrame(rows, "sl_id long, points array<struct<x: double, y: double, z: double>>")
+
+
+def test_near_pairs_of_copies(spark):
+    p, s = _near(spark)
+    got = {(r["a"], r["b"]): r["mdf"] for r in sl.mdf_pairs(s, most=3.0).collect()}
+    want = {(a, b): m for a, b in combinations(range(90), 2) if (m := mdf(p[a % 30], p[b % 30])) < 3.0}
+    assert got == pytest.approx(want, abs=1e-9) and len(want) > 100
+
+
+def test_points_of_paths_are_not_dealt_by_pairs(spark):
+    """Points meet by cells; only ids and distances are dealt after that."""
+    plan = sl.near_pairs(_near(spark)[1], _near(spark)[1], 3.0)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 1
+
+
+def test_reproducibility_forms_no_cross_product(spark):
+    plan = catalogue.queries()["reproducibility"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Join Cross" in x and "mdf" in x] and "cx" in plan
