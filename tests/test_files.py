@@ -99,3 +99,20 @@ def test_lines_are_written_batch_by_batch(tmp_path):
     w.commit([w.write(batches())])
     raw = next((tmp_path / "out").glob("*.tck")).read_bytes()
     assert b"count: 5\n" in raw and [len(x) for x in volumes.tck_lines(raw)] == [1, 2, 3, 4, 5]
+
+
+def test_lines_written_are_not_held(tmp_path):
+    """What a task holds stays that of a batch: 60 of them have 14 MB of points as files hold them."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from tractloom.sources import files
+
+    b = pa.RecordBatch.from_arrays([files.points_array([np.ones((200, 3))] * 100)], names=["points"])
+    w = files.LinesWriter({"path": str(tmp_path / "out")}, False)
+    tracemalloc.start()
+    w.write(b for _ in range(60))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 10 << 20
