@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tractloom.functions import geometry as g
 from tractloom.operators import pairs as pr
+from tractloom.operators import streamlines as sl
 from tractloom.operators import voxels as vx
 from tractloom.plans import catalogue
 
@@ -31,7 +32,9 @@ def row_by_row(grad, b0=50.0):
 
 
 def rows(df):
-    return {(r["a"], r["b"]): tuple("nan" if x != x else x if x is None or x == INF else round(x, 9) for x in r[2:]) for r in df.collect()}
+    """All rows, also those of ids that come twice."""
+    plain = lambda x: repr(x) if x is None or x != x or x in (INF, -INF) else repr(round(x, 9) + 0.0)
+    return sorted((r["a"], r["b"], *map(plain, r[2:])) for r in df.collect())
 
 
 def no_join(df):
@@ -66,3 +69,32 @@ def test_rounding_is_that_of_spark(spark, digits):
     x = np.concatenate([e.integers(0, 2_000_000, 2000) / 2 / 10**digits, e.normal(size=500) * 100, [NAN, INF, 1e300, 123456789012.345675, 0.285, 1.005, 2.5]])
     want = [r[0] for r in spark.createDataFrame([(k, float(v)) for k, v in enumerate(x)], "k int, v double").orderBy("k").select(F.round("v", digits)).collect()]
     assert np.array_equal(pr.rounded(x, digits), want, equal_nan=True)
+
+
+POINTS = "sl_id long, points array<struct<x: double, y: double, z: double>>"
+
+
+def test_paths_of_blocks_equal_rows(spark):
+    e = np.random.default_rng(3)
+    paths = [e.normal(size=(5, 3)).tolist() for _ in range(25)] * 2 + [[[0.0, 1.0, None]] * 5, [[NAN, 0.0, 0.0]] * 5, [], e.normal(size=(4, 3)).tolist(), e.normal(size=(4, 3)).tolist()]
+    x = spark.createDataFrame([(k, [tuple(q) for q in p]) for k, p in enumerate(paths)] + [(3, [(1.0, 1.0, 1.0)] * 5)], POINTS)
+    a, b = (x.select(F.col("sl_id").alias(k), F.col("points").alias("p" + k)) for k in "ab")
+    # Of different numbers of points, rows give null.
+    want = a.join(b, F.col("a") < F.col("b")).select("a", "b", F.when(F.size("pa") == F.size("pb"), g.mdf(F.col("pa"), F.col("pb"))).alias("mdf"))
+    got = sl.mdf_pairs(x)
+    assert rows(got) == rows(want)
+    assert no_join(got) and not no_join(want)
+
+
+def test_equal_rows_are_measured_once(spark, tmp_path):
+    """3000 copies of 3 paths: a row of a batch for each would be 4,498,500 distances."""
+    x = spark.range(3000).select(F.col("id").alias("sl_id"), F.array(*[F.struct(*[(F.col("id") % 3 * k + j).cast("double").alias(c) for j, c in enumerate("xyz")]) for k in (1, 2)]).alias("points"))
+
+    def measure(a, b, seen=str(tmp_path / "seen"), whole=sl._mdf_of_parts):
+        with open(seen, "a") as f:
+            f.write(f"{len(a[0]) * len(b[0])}\n")
+        return [whole(a, b, None)]
+
+    got = pr.all_pairs(x.withColumn("whole", F.lit(True)), "sl_id", sl._paths, measure, ["mdf"], blocks=2)
+    assert got.count() == 3000 * 2999 // 2
+    assert sum(map(int, (tmp_path / "seen").read_text().split())) < 10_000
