@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tractloom.functions import geometry as g
+from tractloom.operators import directions as dr
 from tractloom.operators import pairs as pr
 from tractloom.operators import streamlines as sl
 from tractloom.operators import voxels as vx
@@ -98,3 +99,60 @@ def test_equal_rows_are_measured_once(spark, tmp_path):
     got = pr.all_pairs(x.withColumn("whole", F.lit(True)), "sl_id", sl._paths, measure, ["mdf"], blocks=2)
     assert got.count() == 3000 * 2999 // 2
     assert sum(map(int, (tmp_path / "seen").read_text().split())) < 10_000
+
+
+def judged(grad, b0=50.0):
+    """duplicates and least_angle of all pairs, row by row."""
+    r = row_by_row(grad, b0).agg(F.count_if(F.col("distance") < 0.01).alias("duplicates"), F.min("angle").alias("least_angle")).first()
+    return r["duplicates"], r["least_angle"]
+
+
+def found(grad):
+    r = vx.gradient_quality(grad).first()
+    return r["duplicates"], r["least_angle"]
+
+
+def unit(p):
+    return p / np.linalg.norm(p, axis=1, keepdims=True)
+
+
+def sets():
+    e = np.random.default_rng(5)
+    ball = unit(e.normal(size=(300, 3)))
+    cap = unit(np.array([0.3, -0.4, 0.5]) + e.normal(size=(300, 3)) * 0.01)
+    flat = unit(np.concatenate([e.normal(size=(40, 2)), np.zeros((40, 1))], axis=1))
+    spread = e.normal(size=(3, 3))
+    yield from ([], ODD[:1], ODD[:2], ODD[2:3], ODD[2:4], ODD[3:4], ODD[3:5], ODD[5:6], ODD[5:7], [ODD[5], ODD[7]], [ODD[2], ODD[5]], [ODD[3], ODD[5]], [ODD[0], ODD[2]], [ODD[0], ODD[3]], ODD)
+    yield from (ball.tolist(), cap.tolist(), flat.tolist(), (flat * [1, 1, 0] - [0, 0, 1e-9]).tolist(), spread.tolist(), np.concatenate([ball, ball[:7], -ball[:9], ball[:5] * 3 + 1e-3]).tolist())
+    yield [(1e200, 0.0, 0.0)] * 2 + [(5e9, 1.0, 0.0), (5e9, 1.001, 0.0), (-7.0, 0.0, 0.0)]
+
+
+@pytest.mark.parametrize("k", range(22))
+def test_closeness_equals_all_pairs(spark, k):
+    x = list(sets())[k]
+    grad = table(spark, x) if x else spark.createDataFrame([], GRAD)
+    assert found(grad) == judged(grad)
+
+
+def test_boxes_equal_brute_force(monkeypatch):
+    monkeypatch.setattr(dr, "AT_ONCE", 30)
+    e = np.random.default_rng(6)
+    p = unit(np.concatenate([e.normal(size=(150, 3)), [0, 0, 1] + e.normal(size=(150, 3)) * 0.004]))
+    m = np.column_stack([p, p * 2, e.integers(1, 4, 300)])
+    d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(2))
+    assert dr.near_rows(m, m, 0.01) == (m[:, 6][:, None] * m[:, 6][None])[d < 0.01].sum()
+    m[:, 6] = 1
+    cos = np.abs(p @ p.T) - 2 * np.eye(300)
+    # A line is met at both of its ends.
+    both = lambda x: np.concatenate([x, x * ([-1] * 3 + [1] * 4)])
+    assert dr.greatest_cosine(m[:150], both(m[150:])) == pytest.approx(cos[:150, 150:].max(), abs=1e-14)
+    assert dr.greatest_cosine(m, both(m)) == pytest.approx(cos.max(), abs=1e-14)
+
+
+def test_quality_forms_no_pairs(spark):
+    """Rows that any step makes grow no faster than the directions; all pairs of 12,000 are 72 million."""
+    plan = catalogue.queries()["gradient_quality"](spark, SF)
+    assert no_join(plan)
+    e = np.random.default_rng(7).normal(size=(12_000, 3))
+    tiles = dr._tiled(table(spark, unit(e).tolist()).select(F.lit(1).alias("n"), "gx", "gy", "gz", *[F.col("g" + c).alias(c) for c in "xyz"], F.lit(1).alias("way")), F.lit(0.01), F.lit(0.4))
+    assert tiles.where("own").count() == 12_000 and tiles.count() < 24_000

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tractloom.functions import geometry as g
 from tractloom.functions import scalars as s
+from tractloom.operators import directions as dr
 from tractloom.operators import pairs as pr
 from tractloom.session import checkpoint_folder
 
@@ -222,7 +223,7 @@ def gradient_quality(grad: DataFrame, b0: float = 50.0) -> DataFrame:
     n = g.norm(F.col("gx"), F.col("gy"), F.col("gz"))
     w = F.col("bval") > b0
     one = grad.agg(F.count_if(~w).alias("n_b0"), F.count_if(w).alias("n_dwi"), F.max(F.when(w, F.abs(n - 1))).alias("worst_norm"), F.max("bval").alias("max_b"), F.count_if(w & (n < 0.1)).alias("near_zero"))
-    two = direction_pairs(grad, b0).agg(F.count_if(F.col("distance") < 0.01).alias("duplicates"), F.min("angle").alias("least_angle"))
+    two = dr.closeness(grad.where(w).select("gx", "gy", "gz"))
     ok = (F.col("n_dwi") >= 6) & (F.col("n_b0") >= 1) & (F.coalesce("worst_norm", F.lit(0.0)) <= 0.1) & (F.col("duplicates") == 0) & (F.coalesce("least_angle", F.lit(180.0)) >= 5)
     return one.crossJoin(two).withColumn("valid", ok)
 
