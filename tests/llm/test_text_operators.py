@@ -6,6 +6,7 @@ import collections
 import functools
 import hashlib
 import math
+import os
 import random
 import re
 import time
@@ -18,8 +19,11 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as hs
 
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
 from tests.llm.helpers import ALNUM, SF, no_docs, odd_docs, words
-from tractloom.llm import bpe, html_text, katz, kneser_ney, pii, quality_gam, queries, textscan, toxicity
+from tractloom.llm import bpe, html_text, katz, kneser_ney, pii, quality_gam, queries, runtime, textscan, toxicity
 
 TEXT = hs.text(alphabet=hs.sampled_from(list("aAbB zZ\n\t.,#1é ß\U0001f600@+-")), max_size=60)
 
@@ -330,6 +334,33 @@ def test_training_sample_keeps_what_fits(spark):
     assert toxicity.labelled(docs, labels, "toxic", 1000, 0).toPandas().text.isna().all()
 
 
+def test_training_takes_the_sample_in_one_python_pass(spark):
+    docs = spark.createDataFrame([(i, "y" * (20 + i)) for i in range(40)] + [(i, "x" * 1500) for i in range(40, 60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    want = [(r.text, r.label) for r in toxicity.labelled(docs, labels, "toxic", 1000, 900).collect()]
+    text, y = toxicity.trained(docs, labels, "toxic", 1000, lambda t, y: (t.to_pylist(), y.tolist()), 900)
+    assert list(zip(text, y, strict=True)) == want and want
+    sample = toxicity.sampled(docs, labels, "toxic", 1000)
+    assert "MapInArrow" not in sample._jdf.queryExecution().executedPlan().toString() and sample.rdd.getNumPartitions() == 1
+
+
+def test_workers_give_back_what_a_task_freed(spark):
+    def rss(pid="self"):
+        return int(re.search(r"VmRSS:\s+(\d+)", open(f"/proc/{pid}/status").read())[1]) >> 10
+
+    def make():
+        def f(b):
+            held = [np.ones(8000) for _ in range(4000)]
+            np.kept_by_a_test = np.ones(8000)  # above what goes, as a table that a worker keeps
+            return {"pid": [os.getpid()] * b.num_rows, "mb": [rss() if held else 0] * b.num_rows}
+
+        return f
+
+    out = T.StructType([T.StructField("pid", T.IntegerType()), T.StructField("mb", T.IntegerType())])
+    r = runtime.flat(runtime.arrow_pass(spark.range(1).coalesce(1), {"id": F.col("id")}, ["id"], make, out)).collect()[0]
+    assert rss(r.pid) < r.mb - 150
+
+
 def labelled(d):
     x = pd.read_parquet(f"{d}/documents.parquet").merge(pd.read_parquet(f"{d}/labels.parquet"), on="doc_id")
     return x, np.array([zlib.crc32(str(i).encode()) % 4 == 2 for i in x.doc_id])

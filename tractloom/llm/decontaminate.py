@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tractloom.llm import textscan as ts
-from tractloom.llm.runtime import arrow_pass, flat, out_name
+from tractloom.llm.runtime import arrow_pass, flat, given_back, out_name
 
 WINDOW = 13
 #: Windows in one block: the size bound of what is broadcast (about 150 bytes a window).
@@ -115,7 +115,7 @@ def word_counts(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["word", "n"])
 
-    got = docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
+    got = docs.select("text").mapInArrow(given_back(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(len(vocabulary), np.int64)
     out[got["word"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
     return out

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from tractloom.llm import textscan as ts
 from tractloom.llm import textstats as st
 from tractloom.llm.components import components
-from tractloom.llm.runtime import arrow_pass, stored
+from tractloom.llm.runtime import arrow_pass, given_back, stored
 
 SHINGLE = 3
 BANDS, ROWS = 24, 5
@@ -154,7 +154,7 @@ def agreeing(pairs: DataFrame) -> DataFrame:
                 ok = pa.array((s[0] == s[1]).sum(1) >= LEAST_AGREE)
                 yield pa.RecordBatch.from_arrays([x.column(0).filter(ok), x.column(1).filter(ok)], names=["a", "b"])
 
-    return pairs.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "sa", "sb").mapInArrow(given_back(run), "a long, b long")
 
 
 def picked_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tractloom.llm import textscan as ts
-from tractloom.llm.runtime import arrow_pass, flat
+from tractloom.llm.runtime import arrow_pass, flat, given_back
 
 KINDS = ("email", "ip", "card", "phone", "secret", "number", "name", "address", "spelled")
 SECRET, NUMBER, PERSON, ADDRESS, SPELLED = range(4, 9)
@@ -195,7 +195,7 @@ def vote_table(docs: DataFrame) -> DataFrame:
         text = [[" ".join(map(str, k[i])) for k in keys] for i in (1, 2)]
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array(text[0], pa.string()), pa.array(text[1], pa.string()), pa.array([c[k] for k in keys], pa.int64())], names=["kind", "votes", "features", "n"])
 
-    return docs.select("text").mapInArrow(run, "kind int, votes string, features string, n long").groupBy("kind", "votes", "features").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(given_back(run), "kind int, votes string, features string, n long").groupBy("kind", "votes", "features").agg(F.sum("n").alias("n"))
 
 
 def reliabilities(v: np.ndarray, n: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, float]:

@@ -5,7 +5,7 @@ of features. The tables are learned by cyclic boosting: in turn each feature get
 fitted to the current residuals with a small step; then pairs are ranked by what a coarse grid still explains, and
 the best get trees over two features in the same way. Scoring adds bins up, for a batch at a time.
 
-The labelled sample that is learned from is bounded by TRAIN_DOCS and by the TRAIN_BYTES that labelled() takes. Only the text is looked at.
+The labelled sample that is learned from is bounded by TRAIN_DOCS and by the TRAIN_BYTES that trained() takes. Only the text is looked at.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from tractloom.llm import textscan as ts
 from tractloom.llm import textstats as st
 from tractloom.llm.runtime import arrow_pass, held_out
-from tractloom.llm.toxicity import labelled, trained, sigmoid
+from tractloom.llm.toxicity import trained, sigmoid
 
 FEATURES = (
     "log_words", "word_length", "word_length_spread", "symbol_share", "upper_share", "digit_share", "bang_share", "stop_share",
@@ -192,7 +192,7 @@ def _train(texts: pa.Array, y: np.ndarray) -> Gam:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Gam:
-    return trained(labelled(docs, labels, "quality", TRAIN_DOCS), _train)
+    return trained(docs, labels, "quality", TRAIN_DOCS, _train)
 
 
 OUT = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
@@ -65,12 +67,25 @@ def discarded(*frames: DataFrame) -> None:
 
 def released(spark: SparkSession) -> None:
     """Lets Spark drop shuffle files of frames that nothing refers to any more."""
-    import gc
-
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
+def given_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """run, which at its end returns what it freed to the system: Spark keeps Python workers between tasks, beside those of the next."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
+                trim(0)
+
+    return f
+
+
 def fold(modulus: int, id_column: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo modulus; null for a null id."""
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % modulus
@@ -119,7 +134,7 @@ def arrow_pass(
             yield pa.RecordBatch.from_arrays([b.column(0), o], names=["_row", "_out"])
 
     short_batches(df.sparkSession)
-    done = src.mapInArrow(run, schema)
+    done = src.mapInArrow(given_back(run), schema)
     return done.select(*[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(names)], F.col("_out").alias(out_name(names)))
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tractloom.llm import textscan as ts
-from tractloom.llm.runtime import arrow_pass, held_out
+from tractloom.llm.runtime import arrow_pass, given_back, held_out, short_batches
 
 WINDOW, STRIDE = 16, 8
 HIDDEN = 8
@@ -335,17 +335,23 @@ def platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(a, 0.05), c
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, limit: int, limit_bytes: int = TRAIN_BYTES) -> DataFrame:
-    """(text, label): labelled texts outside the held-out fold, whole, in the order of a hash of their id: at most limit, and of at most limit_bytes in all.
+def sampled(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> DataFrame:
+    """(text, label) in one partition: labelled texts outside the held-out fold, in the order of a hash of their id, at most limit.
 
     Labels of documents that are there are chosen first, by ids alone, so what is joined to the texts is bounded in rows.
-    A text that doesn't fit into what is left of limit_bytes is passed over; later, shorter ones still count.
     """
     usable = labels.where(F.col(label).isNotNull() & ~held_out(4)).select("doc_id", label).join(docs.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    short_batches(docs.sparkSession)
+    # limit() leaves one partition in order.
+    return found.select("text", F.col(label).cast("float").alias("label")).coalesce(1)
+
+
+def fitting(limit_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Deals the bytes out in the rows' order, as they stream by. A text that doesn't fit into what is left is passed over; later, shorter ones still count."""
 
-    def fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left = limit_bytes
         for b in batches:
             take = []
@@ -354,26 +360,34 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, limit: int, limit_b
                 left -= n if n <= left else 0
             yield b.filter(pa.array(take, pa.bool_()))
 
-    # limit() leaves one partition in order, so the bytes are dealt out in that order, as the rows stream by.
-    return found.select("text", F.col(label).cast("float").alias("label")).coalesce(1).mapInArrow(fitting, "text string, label float")
+    return run
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, limit: int, limit_bytes: int = TRAIN_BYTES) -> DataFrame:
+    """The rows that trained() learns from: those of sampled(), whole, of at most limit_bytes in all."""
+    return sampled(docs, labels, label, limit).mapInArrow(given_back(fitting(limit_bytes)), "text string, label float")
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> tuple[pa.Array, np.ndarray]:
+    """Texts and labels of all batches."""
+    got = [b for b in batches if b.num_rows]
+    texts = pa.chunked_array([pa.array([], pa.large_string()), *[b.column(0).cast(pa.large_string()) for b in got]])
+    return texts.combine_chunks(), np.concatenate([np.zeros(0, np.float32), *[b.column(1).to_numpy(zero_copy_only=False) for b in got]])
 
 
-def trained(sample: DataFrame, train_: Callable) -> object:
-    """train_(texts, labels) over a bounded sample, in one task of its own; only the model comes to the driver."""
+def trained(docs: DataFrame, labels: DataFrame, label: str, limit: int, train_: Callable, limit_bytes: int = TRAIN_BYTES) -> object:
+    """train_(texts, labels) over the rows of labelled(), in one task and one Python worker; only the model comes to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        texts = [pa.array([], pa.string()), *[b.column(0) for b in got]]
-        y = [np.zeros(0, np.float32), *[b.column(1).to_numpy(zero_copy_only=False) for b in got]]
-        model = train_(pa.chunked_array([x.cast(pa.large_string()) for x in texts]).combine_chunks(), np.concatenate(y))
+        model = train_(*gathered(fitting(limit_bytes)(batches)))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
-    rows = sample.coalesce(1).mapInArrow(run, "model binary").collect()
+    rows = sampled(docs, labels, label, limit).mapInArrow(given_back(run), "model binary").collect()
     return pickle.loads(rows[0]["model"]) if rows else train_(pa.array([], pa.large_string()), np.zeros(0, np.float32))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Network:
-    return trained(labelled(docs, labels, "toxic", TRAIN_DOCS), train)
+    return trained(docs, labels, "toxic", TRAIN_DOCS, train)
 
 
 OUT = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
