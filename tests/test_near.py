@@ -72,6 +72,8 @@ def test_near_pairs_equal_rows(spark):
     e = np.random.default_rng(3)
     x, y = (spark.createDataFrame(rows(e, 40, shift), POINTS) for shift in (0, 1000))
     assert found(sl.near_pairs(x, y, 1.5)) == found(row_by_row(x, y, 1.5))
+    want = found(row_by_row(x, x, 1.5).where("a < b"))
+    assert found(sl.mdf_pairs(x, most=1.5)) == want and len(want) > 100
     hits = {a for a, _, _ in found(row_by_row(x, y, 1.0))}
     assert {(r["sl_id"], r["hit"]) for r in sl.any_near(x, y, 1.0).collect()} == {(k, k in hits) for k in range(len(rows(e, 40)))}
     assert not any(r["hit"] for r in sl.any_near(x, y.limit(0), 1.0).collect())
@@ -79,7 +81,7 @@ def test_near_pairs_equal_rows(spark):
 
 def test_distances_are_not_worked_out_row_by_row(spark):
     x = spark.createDataFrame(rows(np.random.default_rng(3), 4), POINTS)
-    for df in (sl.near_pairs(x, x, 1.0),):
+    for df in (sl.near_pairs(x, x, 1.0), sl.mdf_pairs(x, most=1.0)):
         assert "zip_with" not in df._jdf.queryExecution().optimizedPlan().toString()
 
 
