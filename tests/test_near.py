@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -112,3 +114,47 @@ def test_tiles_apart_are_passed_over(monkeypatch):
     p = np.random.default_rng(7).normal(size=(40 * ne.SIDE, 3, 4)) + np.repeat(np.arange(40) * 50, ne.SIDE)[:, None, None]
     one = ne.block(p, p.mean(0))
     assert sum(len(i) for i, _, _ in ne.near(one, one, 1.0, same=True)) > 0 and len(seen) <= 2 * 40
+
+
+def linkage_by_brute_force(d, most):
+    d, size, label = d.copy(), np.ones(len(d)), np.arange(len(d))
+    live = list(range(len(d)))
+    while len(live) > 1:
+        best, a, b = min((d[a, b], a, b) for a, b in combinations(live, 2))
+        if best > most:
+            break
+        d[a] = d[:, a] = (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b])
+        size[a] += size[b]
+        live.remove(b)
+        label[label == b] = a
+    return label
+
+
+@pytest.mark.parametrize("seed", range(8))
+@pytest.mark.parametrize("dense", [0, 2])
+def test_linkage_by_links_equals_brute_force(monkeypatch, seed, dense):
+    """Copies, turned paths, and a path that isn't finite; by links and by matrices."""
+    monkeypatch.setattr(ne, "DENSE", dense)
+    e = np.random.default_rng(seed)
+    p = e.normal(size=(60, 5, 3)) + e.integers(0, 3, (60, 1, 1)) * 2
+    p[::7] = p[::7, ::-1]
+    p = np.concatenate([p[e.integers(0, 60, 90)], np.full((2, 5, 3), INF)])
+    most = [1.2, 1.7, 2.2, 2.8][seed % 4]
+    with np.errstate(all="ignore"):
+        d = distances(p.transpose(0, 2, 1))
+        group, medoid = sl.linked(p, most)
+    want = linkage_by_brute_force(np.where(np.isnan(d), INF, d), most)
+    assert group[:90].tolist() == np.unique(want[:90], return_inverse=True)[1].tolist() and len(set(group[:90])) < 60
+    for k in set(group[:90]):
+        own = np.flatnonzero(group == k)
+        total = d[np.ix_(own, own)].sum(1)
+        assert total[own == medoid[own[0]]][0] == pytest.approx(total.min()) and len(set(medoid[own])) == 1
+
+
+def test_linkage_of_different_paths_holds_no_matrix(monkeypatch):
+    """3000 different paths that are all linked by steps: their matrix would have 9,000,000 numbers."""
+    monkeypatch.setattr(sl, "average_linkage", None)
+    e = np.random.default_rng(1)
+    p = e.normal(size=(3000, 6, 3)).cumsum(1) + np.linspace(0, 400, 3000)[:, None, None]
+    group, _ = sl.linked(p, 3.0)
+    assert 100 < len(set(group)) < 1500
