@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,3 +157,34 @@ def test_quality_forms_no_pairs(spark):
     e = np.random.default_rng(7).normal(size=(12_000, 3))
     tiles = dr._tiled(table(spark, unit(e).tolist()).select(F.lit(1).alias("n"), "gx", "gy", "gz", *[F.col("g" + c).alias(c) for c in "xyz"], F.lit(1).alias("way")), F.lit(0.01), F.lit(0.4))
     assert tiles.where("own").count() == 12_000 and tiles.count() < 24_000
+
+
+def test_ids_of_pairs_take_little_in_files(spark, tmp_path):
+    """a stays the same for a while and b comes again: 1.5 bytes a pair and more where blocks are dealt by a hash of their keys."""
+    e = np.random.default_rng(9).normal(size=(3000, 3))
+    ids = np.random.default_rng(10).permutation(3000)
+    x = spark.createDataFrame([(int(k), 1000.0, *map(float, v)) for k, v in zip(ids, e, strict=True)], GRAD)
+    vx.direction_pairs(x, digits=(5, 4)).write.parquet(str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.count() == back.select("a", "b").distinct().count() == 3000 * 2999 // 2
+    files = [pq.ParquetFile(f).metadata for f in (tmp_path / "out").glob("*.parquet")]
+    took = sum(m.row_group(g).column(c).total_compressed_size for m in files for g in range(m.num_row_groups) for c in (0, 1))
+    assert took < 0.75 * 3000 * 2999 // 2
+
+
+def test_blocks_are_ranges_of_keys_of_any_kind(spark):
+    """Keys that are far apart, negative, unknown or come twice; fewer keys than blocks."""
+    read, measure = (lambda t: [t["v"].to_numpy()]), (lambda a, b: [np.ma.array(a[0][:, None] * b[0][None])])
+    for keys in ([], [5], [7, 7, 7], [-(2**62), -3, 0, 1, 1, 2**62, None, 9], list(range(100, 40, -1))):
+        x = spark.createDataFrame([(k, float(n)) for n, k in enumerate(keys)], "id long, v double")
+        got = sorted((r["a"], r["b"], r["v"]) for r in pr.all_pairs(x, "id", read, measure, ["v"], blocks=5).collect())
+        known = [(k, float(n)) for n, k in enumerate(keys) if k is not None]
+        assert got == sorted((a, b, u * v) for a, u in known for b, v in known if a < b)
+
+
+def test_rows_of_near_numbers_stand_together():
+    x = np.random.default_rng(11).normal(size=(4096, 3))
+    order = np.argsort(pr.together(x), kind="stable")
+    parts = x[order].reshape(64, 64, 3)
+    assert parts.std(1).mean() < 0.45 < 0.95 < x.std()
+    assert len(set(pr.together(np.repeat(x[:50], 3, axis=0)).tolist())) <= 50
